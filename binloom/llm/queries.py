@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, exact_dedup
 from .bpe import encode_and_decode
 from .common import table
 from .packing import pack_documents
+from .simhash import simhash_dedup
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,9 +35,21 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_bpe_round_trip, op6_chat_formatting, op8_exact_dedup, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_formatting": chat.SQL, "op8_exact_dedup": exact_dedup.SQL}
