@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, exact_dedup
 from .bpe import encode_and_decode
 from .common import table
+from .embedding_dedup import embedding_dedup
 from .packing import pack_documents
 from .simhash import simhash_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +33,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -39,6 +45,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,7 +58,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_bpe_round_trip, op6_chat_formatting, op8_exact_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embedding_dedup, op4_bpe_round_trip, op6_chat_formatting, op7_suffix_dedup, op8_exact_dedup, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
