@@ -11,9 +11,11 @@ from .bpe import encode_and_decode
 from .common import table
 from .embedding_dedup import embedding_dedup
 from .packing import pack_documents
+from .quality import score_quality
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +43,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -53,12 +59,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embedding_dedup, op4_bpe_round_trip, op6_chat_formatting, op7_suffix_dedup, op8_exact_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embedding_dedup, op4_bpe_round_trip, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_exact_dedup, op9_toxicity, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, cut, runs
 
@@ -268,8 +269,8 @@ def repeats(texts: DataFrame, window: int) -> DataFrame:
     return cut(spans.groupBy("text_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept_text.
+def suffix_dedup(docs: DataFrame, window: int = 400, keep_text: bool = False, keep_columns: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept_text; with keep_columns all columns of docs instead, their text what is kept.
 
     Texts are UTF-8 bytes, null and empty ones without any; no match crosses documents; overlapping
     repeats count, and all are judged on the input.  Copies of a text are searched once and all lose
@@ -278,7 +279,8 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep_text: bool = False) ->
     """
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_id"), text.alias("text"))
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")] if keep_columns else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_id"), text.alias("text"), *others, *[F.col("text").isNull().alias("no_text")] * keep_columns)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +293,15 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep_text: bool = False) ->
                 out.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64()] * 3 + [pa.string()] * 2)]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns[: 4 + keep_text]], ["doc_id", *names[: 4 + keep_text]])
-
-    found = texts.join(repeats(texts, window).hint("shuffle_hash"), "text_id", "left")
+            if keep_columns:
+                yield pa.RecordBatch.from_arrays([columns[4], batch.column("others"), batch.column("no_text")], ["text", "others", "no_text"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns[: 4 + keep_text]], ["doc_id", *names[: 4 + keep_text]])
+
+    found = texts.join(repeats(texts.select("doc_id", "text_id", "text"), window).hint("shuffle_hash"), "text_id", "left")
+    if keep_columns:
+        keep_text = True
+        schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("others", found.schema["others"].dataType), T.StructField("no_text", T.BooleanType())])
+        kept = found.select(F.col("text").cast("binary").alias("raw"), "spans", "others", "no_text").mapInArrow(removed, schema)
+        return kept.select(*[F.when(~F.col("no_text"), F.col("text")).alias(c) if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns])
     return found.select("doc_id", F.col("text").cast("binary").alias("raw"), "spans").mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
