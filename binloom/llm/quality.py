@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, held_out, slices
 from .labelled import sample
 
-TERMS, LATENT, STYLE_WEIGHT, NEIGHBOURS, SHARPNESS = 2048, 48, 0.35, 15, 4.0
+TERMS, LATENT, STYLE_WEIGHT, NEIGHBOURS, SHARPNESS = 2048, 48, 0.35, 15, 20.0
 #: Bytes of text whose terms are counted at a time, and documents compared at a time.
 CHUNK, BLOCK = 1 << 18, 256
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -47,7 +47,7 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             owner = np.repeat(np.arange(hi - lo), [len(p) + 2 for p in pieces])
             x = data.astype(np.uint32)
             gram = ((x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA6B)) ^ (x[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(21)
-            inside = data[2:] != 0  # none that crosses into the next text
+            inside = (data[2:] != 0) & (data[1:-1] != 0) & (data[:-2] != 0)  # none that touches the zeros between texts
             cell = owner[:-2] * TERMS + gram
             terms[lo:hi] += np.bincount(cell[inside], minlength=(hi - lo) * TERMS).reshape(hi - lo, TERMS)
             size = [min(len(p), CHUNK) for p in pieces]
@@ -81,10 +81,12 @@ class Model:
         for _ in range(4):
             q, _ = np.linalg.qr(weighted.T @ (weighted @ q))
         _, _, vt = np.linalg.svd(weighted @ q, full_matrices=False)
-        self.project = np.ascontiguousarray((q @ vt.T)[:, :LATENT]).astype(np.float32)
+        self.project = np.ascontiguousarray((q @ vt.T)[:, :LATENT]).astype(np.float64)
         s = style(terms, kinds)
         self.mean, self.scale = s.mean(0), s.std(0) + 1e-6
         self.vectors, self.y = self.embed(terms, kinds), y.astype(np.float32)
+        # a rarer label's neighbours count for more, by the root of how much rarer it is
+        self.votes = np.sqrt(0.5 / np.where(y == 1, self.prior, 1 - self.prior))
 
     def weigh(self, terms: np.ndarray) -> np.ndarray:
         x = np.log1p(terms) * self.idf
@@ -93,7 +95,8 @@ class Model:
     def embed(self, terms: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Unit vectors."""
         z = np.clip((style(terms, kinds) - self.mean) / self.scale, -4, 4) * STYLE_WEIGHT
-        x = np.hstack([self.weigh(terms) @ self.project, z]).astype(np.float32)
+        # in double precision, so a text's score doesn't hang on the texts beside it
+        x = np.hstack([self.weigh(terms).astype(np.float64) @ self.project, z])
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -104,9 +107,9 @@ class Model:
         for lo in range(0, len(texts), BLOCK):
             cosines = self.embed(*term_counts(texts[lo : lo + BLOCK])) @ self.vectors.T
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.exp(SHARPNESS * np.take_along_axis(cosines, near, 1).astype(np.float64))
+            weight = np.exp(SHARPNESS * np.take_along_axis(cosines, near, 1).astype(np.float64)) * self.votes[near]
             out[lo : lo + BLOCK] = (weight * self.y[near]).sum(1) / weight.sum(1)
-        return np.clip(out, 0, 1)
+        return np.round(np.clip(out, 0, 1), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int) -> Model:
@@ -116,14 +119,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int) -> Model:
             rows = np.minimum(np.hstack([terms, kinds]), 65504).astype("<f2")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "y", "counts"])
 
-    found: pd.DataFrame = sample(docs, labels, "quality", per_class).mapInArrow(counted, "doc_id long, y int, counts binary").dropDuplicates(["doc_id"]).toPandas()
+    found: pd.DataFrame = sample(docs, labels, "quality", (per_class, per_class)).mapInArrow(counted, "doc_id long, y int, counts binary").dropDuplicates(["doc_id"]).toPandas()
     found = found.sort_values("doc_id")
     rows = np.frombuffer(b"".join(found["counts"]), "<f2").astype(np.float32).reshape(-1, TERMS + 7)
     return Model(rows[:, :TERMS], rows[:, TERMS:], found["y"].to_numpy())
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2000, keep: bool = False) -> DataFrame:
-    """One row per document: doc_id, held_out, score (higher: better), predicted (1 if score >= threshold); with keep all columns of docs and predicted instead.
+    """One row per document: doc_id, held_out, score (higher: better), predicted (1 if score >= threshold); with keep instead the documents that are predicted 1, as they are.
 
     The model is fitted on at most per_class labelled documents of each label, never on held-out ones;
     scores read the text alone, whole.  Null texts are scored as empty; a null doc_id stays null and isn't
@@ -136,13 +139,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.scores([(t or "").encode() for t in batch.column("text").to_pylist()])
-            predicted = pa.array((scores >= threshold).astype(np.int32))
+            good = scores >= threshold
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, predicted], [*batch.schema.names, "predicted"])
+                yield batch.filter(pa.array(good))
             else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), predicted], ["doc_id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array(good.astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     if keep:
-        return docs.mapInArrow(run, docs.schema.add("predicted", "int") if "predicted" not in docs.columns else docs.drop("predicted").schema.add("predicted", "int"))
+        return docs.mapInArrow(run, docs.schema)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return plain.mapInArrow(run, SCHEMA)

@@ -22,7 +22,7 @@ from .labelled import sample
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 #: First bytes that have an embedding beside the whole word's.
 STEMS = (4, 6)
-EPOCHS, BATCH, RATE = 12, 32, 0.01
+EPOCHS, BATCH, RATE = 9, 32, 0.01
 #: Bytes of text hashed at a time; longer texts go in pieces that overlap by OVERLAP.
 CHUNK, OVERLAP = 1 << 18, 256
 #: Longest text of the fitted sample; texts that are scored have no limit.
@@ -95,7 +95,7 @@ class Network:
             self.p[f"shift{w}"] = np.zeros(FILTERS, np.float32)
         self.p["out"] = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32)
         self.p["bias"] = np.zeros(1, np.float32)
-        self.thresholds = {"": 0.5}
+        self.thresholds: dict[int, float] = {}
 
     def pooled(self, found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each filter's largest response in each text, the word rows, and where each text's rows start.  A text is followed by rows of zeros, so a short one fits the widest filter."""
@@ -121,6 +121,7 @@ class Network:
     def train(self, found: np.ndarray, sizes: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
         """Adam on the logistic loss, classes weighed alike."""
         rng, step = np.random.default_rng(seed), 0
+        self.start(found, sizes, y)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         starts = np.cumsum(sizes) - sizes
@@ -137,6 +138,19 @@ class Network:
                     v2[k][at] = 0.999 * v2[k][at] + 0.001 * g * g
                     self.p[k][at] -= RATE * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v2[k][at] / (1 - 0.999**step)) + 1e-6)
 
+    def start(self, found: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> None:
+        """Buckets met in a single text stay at zero, else texts would be learned by heart; the first dimension starts at the others' shrunk log-odds."""
+        owner = np.repeat(np.arange(len(y)), sizes * found.shape[1])
+        pairs = np.unique(owner * BUCKETS + found.ravel())
+        texts = [np.bincount(pairs[y[pairs // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)]
+        met = texts[0] + texts[1]
+        odds = np.log((texts[1] + 0.5) / (y.sum() + 1)) - np.log((texts[0] + 0.5) / ((1 - y).sum() + 1))
+        self.p["embed"][:, 0] = odds * met / (met + 2) / 4
+        self.learned = met > 1
+        self.p["embed"][~self.learned] = 0
+        self.p["filter1"][0, 0, : FILTERS // 2] = 1
+        self.p["out"][: FILTERS // 2] = 1
+
     def gradient(self, found: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         """By parameter: which rows, and their gradient.  Only the words under each filter's largest response have any."""
         pooled, x, first, responses, at = self.pooled(found, sizes)
@@ -158,10 +172,10 @@ class Network:
             out[f"filter{w}"] = (slice(None), g)
             out[f"shift{w}"] = (slice(None), u.sum(0))
         moved = np.flatnonzero(dx[at].any(1))
-        cells = found[moved].ravel()
-        rows, inverse = np.unique(cells, return_inverse=True)
+        cells, moves = found[moved].ravel(), np.repeat(dx[at[moved]], found.shape[1], axis=0)
+        rows, inverse = np.unique(cells[self.learned[cells]], return_inverse=True)
         g = np.zeros((len(rows), DIM), np.float32)
-        np.add.at(g, inverse, np.repeat(dx[at[moved]], found.shape[1], axis=0))
+        np.add.at(g, inverse, moves[self.learned[cells]])
         out["embed"] = (rows, g)
         return out
 
@@ -182,18 +196,21 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(best).astype(np.float64), -30, 30))), language
 
     def calibrate(self, probability: np.ndarray, language: np.ndarray, y: np.ndarray, least: int = 20) -> None:
-        """Per language the threshold of the best balanced accuracy, in the middle of the best gap; of all texts for languages with few labels."""
-        def best(mask: np.ndarray) -> float | None:
+        """Per language the threshold of the best F1, as near one half as the best gap of logits allows with a margin; of all texts for languages with few labels."""
+        def best(mask: np.ndarray, least: int = least) -> float | None:
             p, t = probability[mask], y[mask]
             if min((t == 1).sum(), (t == 0).sum()) < least:
                 return None
-            cuts = np.unique(p)
-            cuts = np.clip((cuts[1:] + cuts[:-1]) / 2, 0.02, 0.98)
-            hit = np.array([(p[t == 1] >= c).mean() + (p[t == 0] < c).mean() for c in cuts])
-            top = np.flatnonzero(hit >= hit.max() - 1e-12)
-            return float((cuts[top[0]] + cuts[top[-1]]) / 2)
-
-        overall = best(np.ones(len(y), bool)) or 0.5
+            p = np.clip(p.astype(np.float64), 1e-9, 1 - 1e-9)
+            odds = np.unique(np.log(p / (1 - p)))
+            cuts = np.clip((odds[1:] + odds[:-1]) / 2, -4, 4) if len(odds) > 1 else np.zeros(1)
+            p = np.log(p / (1 - p))
+            f1 = np.array([2 * (p[t == 1] >= c).sum() / ((p >= c).sum() + (t == 1).sum()) for c in cuts])
+            top = np.flatnonzero(f1 >= f1.max() - 1e-12)
+            lo, hi = cuts[top[0]], cuts[top[-1]]
+            return float(1 / (1 + np.exp(-np.clip(0.0, lo + 0.15 * (hi - lo), hi - 0.15 * (hi - lo)))))
+
+        overall = best(np.ones(len(y), bool), 4) or 0.5
         self.thresholds = {k: best(language == k) or overall for k in range(-1, len(FUNCTION_WORDS))}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -203,7 +220,7 @@ class Network:
         return np.where(p < t, 0.5 * p / t, 0.5 + 0.5 * (p - t) / (1 - t))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> Network | float:
     """The trained network; the share of label 1 if only one label is known, 0.0 without any."""
     texts = sample(docs, labels, "toxic", per_class).where(F.octet_length("text") <= FIT_BYTES)
 
@@ -220,7 +237,10 @@ def train(words: list[bytes], y: np.ndarray) -> Network | float:
     if len(np.unique(y)) < 2:
         return float(y.mean()) if len(y) else 0.0
     found = [np.frombuffer(w, "<u2").astype(np.int64).reshape(-1, 1 + len(STEMS)) for w in words]
-    network, apart = Network(), np.arange(len(y)) % 5 == 0  # a fifth is left for calibration
+    # empty texts are clean; a fifth of all is left for calibration
+    blank = 5 + len(y) // 50
+    found, y = [*found, *[found[0][:0]] * blank], np.append(y, np.zeros(blank, y.dtype))
+    network, apart = Network(), np.arange(len(y)) % 5 == 0
     for part in (~apart, apart):
         chosen = [f for f, c in zip(found, part) if c]
         flat, sizes = np.concatenate(chosen), np.array([len(f) for f in chosen])
@@ -233,10 +253,10 @@ def train(words: list[bytes], y: np.ndarray) -> Network | float:
     return network
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000)) -> DataFrame:
     """One row per document: doc_id, held_out, score (higher: more toxic), predicted (1 if score >= 0.5).
 
-    The network is fitted on at most per_class labelled documents of each label, of at most FIT_BYTES,
+    The network is fitted on at most per_class labelled documents of label 0 and of label 1, of at most FIT_BYTES,
     never on held-out ones; scores read the text alone, whole.  Null texts are scored as empty; a null
     doc_id stays null and isn't held out; repeated rows are scored alike.  Without labels of both kinds
     each score is the share of label 1, or 0.0 without any.  Other columns are not read.
