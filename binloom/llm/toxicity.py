@@ -118,33 +118,31 @@ class Network:
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled, 0) @ self.p["out"] + self.p["bias"]
 
-    def train(self, found: np.ndarray, sizes: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
-        """Adam on the logistic loss, classes weighed alike."""
+    def train(self, texts: list[np.ndarray], y: np.ndarray, seed: int = 5) -> None:
+        """Adam on the logistic loss, classes weighed alike.  texts: word buckets of each."""
         rng, step = np.random.default_rng(seed), 0
-        self.start(found, sizes, y)
+        self.start(texts, y)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        starts = np.cumsum(sizes) - sizes
         weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
         for _ in range(EPOCHS):
             order = rng.permutation(len(y))
             for lo in range(0, len(y), BATCH):
                 ids = order[lo : lo + BATCH]
-                rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in ids])
-                gradient = self.gradient(found[rows], sizes[ids], y[ids], weight[ids])
+                gradient = self.gradient(*together([texts[i] for i in ids]), y[ids], weight[ids])
                 step += 1
                 for k, (at, g) in gradient.items():
                     m[k][at] = 0.9 * m[k][at] + 0.1 * g
                     v2[k][at] = 0.999 * v2[k][at] + 0.001 * g * g
                     self.p[k][at] -= RATE * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v2[k][at] / (1 - 0.999**step)) + 1e-6)
 
-    def start(self, found: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> None:
+    def start(self, texts: list[np.ndarray], y: np.ndarray) -> None:
         """Buckets met in a single text stay at zero, else texts would be learned by heart; the first dimension starts at the others' shrunk log-odds."""
-        owner = np.repeat(np.arange(len(y)), sizes * found.shape[1])
-        pairs = np.unique(owner * BUCKETS + found.ravel())
-        texts = [np.bincount(pairs[y[pairs // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)]
-        met = texts[0] + texts[1]
-        odds = np.log((texts[1] + 0.5) / (y.sum() + 1)) - np.log((texts[0] + 0.5) / ((1 - y).sum() + 1))
+        counts = np.zeros((2, BUCKETS))
+        for words, label in zip(texts, y):
+            counts[int(label), np.unique(words)] += 1
+        met = counts.sum(0)
+        odds = np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - y).sum() + 1))
         self.p["embed"][:, 0] = odds * met / (met + 2) / 4
         self.learned = met > 1
         self.p["embed"][~self.learned] = 0
@@ -233,23 +231,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> Netwo
     return train(rows["words"].tolist(), rows["y"].to_numpy())
 
 
+def together(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The word buckets of several texts in one array, and words per text."""
+    return np.concatenate(texts).astype(np.int64), np.array([len(t) for t in texts])
+
+
 def train(words: list[bytes], y: np.ndarray) -> Network | float:
     if len(np.unique(y)) < 2:
         return float(y.mean()) if len(y) else 0.0
-    found = [np.frombuffer(w, "<u2").astype(np.int64).reshape(-1, 1 + len(STEMS)) for w in words]
+    texts = [np.frombuffer(w, "<u2").reshape(-1, 1 + len(STEMS)) for w in words]
     # empty texts are clean; a fifth of all is left for calibration
     blank = 5 + len(y) // 50
-    found, y = [*found, *[found[0][:0]] * blank], np.append(y, np.zeros(blank, y.dtype))
+    texts, y = [*texts, *[texts[0][:0]] * blank], np.append(y, np.zeros(blank, y.dtype))
     network, apart = Network(), np.arange(len(y)) % 5 == 0
-    for part in (~apart, apart):
-        chosen = [f for f, c in zip(found, part) if c]
-        flat, sizes = np.concatenate(chosen), np.array([len(f) for f in chosen])
-        if part is apart:
-            languages = np.stack([np.add.reduceat(np.append(np.isin(flat[:, 0], w), False), np.minimum(np.cumsum(sizes) - sizes, len(flat))) * (sizes > 0) for w in function_buckets().values()], 1)
-            p = 1 / (1 + np.exp(-np.clip(network.logits(network.pooled(flat, sizes)[0]), -30, 30)))
-            network.calibrate(p, np.where(languages.any(1), languages.argmax(1), -1), y[part])
-        else:
-            network.train(flat, sizes, y[part].astype(np.float32))
+    network.train([t for t, a in zip(texts, apart) if not a], y[~apart].astype(np.float32))
+    probability, language = [], []
+    functions = function_buckets().values()
+    for i in np.flatnonzero(apart):
+        found, sizes = together([texts[i]])
+        probability.append(network.logits(network.pooled(found, sizes)[0])[0])
+        votes = [np.isin(found[:, 0], w).sum() for w in functions]
+        language.append(int(np.argmax(votes)) if any(votes) else -1)
+    network.calibrate(1 / (1 + np.exp(-np.clip(np.array(probability, np.float64), -30, 30))), np.array(language), y[apart])
     return network
 
 
