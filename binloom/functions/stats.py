@@ -63,10 +63,10 @@ def population_skewness(x: str) -> Column:
 
 
 def guarded_corr(x: str, y: str) -> Column:
-    """Pearson correlation; NULL for fewer than three pairs or a constant side."""
+    """Pearson correlation; NULL for fewer than three pairs or a constant side, for which corr() raises under ANSI rules."""
     paired = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(paired, F.col(x)), F.when(paired, F.col(y))
-    return F.when((F.count(a) >= 3) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))
+    return F.when((F.count(a) >= 3) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def average_rank(keys: list[str], x: str) -> Column:

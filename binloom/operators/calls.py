@@ -27,10 +27,11 @@ def encode_states(state: Column) -> Column:
 
 
 def five_states(whole: Column, continuous: Column) -> Column:
-    """The five-state call from a rounded and a continuous copy number; -1 where the two contradict each other."""
+    """The five-state call from a rounded and a continuous copy number; -1 where the two contradict each other, NULL without them."""
     rounded = F.greatest(F.lit(1), F.least(F.lit(3), whole)) - 1
     banded = F.when(continuous <= 1, 0).when(continuous >= 3, 2).otherwise(1)
-    return F.when(rounded == banded, rounded.cast("double")).when((rounded == 0) & (banded == 1), 0.5).when((rounded == 2) & (banded == 1), 1.5).otherwise(-1.0)
+    state = F.when(rounded == banded, rounded.cast("double")).when((rounded == 0) & (banded == 1), 0.5).when((rounded == 2) & (banded == 1), 1.5).otherwise(-1.0)
+    return F.when(whole.isNotNull() & continuous.isNotNull(), state)
 
 
 def transitions(before: Column, after: Column, rows: DataFrame, keys: list[str]) -> DataFrame:

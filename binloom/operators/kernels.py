@@ -70,6 +70,26 @@ def permutation_p(left: np.ndarray, right: np.ndarray, observed: float, n: int,
     return (1 + reached) / (n + 1)
 
 
+def split_tests(profile: DataFrame, cuts: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:
+    """Both permutation tests of given cuts (source, chrom, cut) of whole chromosomes: source, chrom, cut, ad, p_local, p_global.
+
+    The global test samples from the profile of all of the source's chromosomes.
+    """
+    pools = profile.groupBy("source").agg(F.collect_list("x").alias("pool"))  # one value per bin of the axis, some thousands
+    nodes = profile.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("node")).join(pools, "source")
+    rows = cuts.join(nodes.select(*PLACE, F.col("node.x").alias("x"), "pool"), PLACE)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for source, chrom, cut, x, pool in zip(*(rows[c] for c in ("source", "chrom", "cut", "x", "pool"))):
+            observed = float(ad_statistics(np.asarray(x))[cut - 1])
+            rng = draws(seed, f"{source}:{chrom}:{cut}", permutations)
+            out.append((source, chrom, cut, observed, permutation_p(x[:cut], x[cut:], observed, permutations, rng), permutation_p(x[:cut], x[cut:], observed, permutations, rng, np.sort(pool))))
+        return pd.DataFrame(out, columns=["source", "chrom", "cut", "ad", "p_local", "p_global"])
+
+    return rows.groupBy(*PLACE).applyInPandas(run, "source string, chrom int, cut long, ad double, p_local double, p_global double")
+
+
 def geometry_reasons(start: int, end: int, cut: int, n: int, min_child: int, min_terminal: int) -> list[str]:
     """Why a cut of [start, end) isn't allowed: children must be long enough, those at a chromosome's end longer."""
     out = []
@@ -125,9 +145,12 @@ def merge_step(profile: DataFrame, boundaries: DataFrame, rules: RuleSet) -> Dat
 
     Scores and dispersion are computed anew from the boundaries given.
     """
-    claims = evaluate(flank_scores(labelled(profile, boundaries)), rules).where("claimed_by IS NOT NULL AND blocked IS NULL")
-    first = F.min(F.struct("phase", "rule_order", "score", "s", "e", "side", "claimed_by")).alias("c")
-    return claims.groupBy(*PLACE).agg(first).select(*PLACE, "c.*", F.when(F.col("c.side") == "left", F.col("c.s")).otherwise(F.col("c.e")).alias("removed"))
+    claims = evaluate(flank_scores(labelled(profile, boundaries)), rules)
+    # chosen inside the aggregate: a filter would be pushed through every rule's columns and repeat them all
+    free = F.col("claimed_by").isNotNull() & F.col("blocked").isNull()
+    first = F.min(F.when(free, F.struct("phase", "rule_order", "score", "s", "e", "side", "claimed_by"))).alias("c")
+    removed = F.when(F.col("c.side") == "left", F.col("c.s")).otherwise(F.col("c.e")).alias("removed")
+    return claims.groupBy(*PLACE).agg(first).where("c IS NOT NULL").select(*PLACE, "c.*", removed)
 
 
 class Segments:

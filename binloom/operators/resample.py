@@ -71,3 +71,34 @@ def duplicate_region(rows: DataFrame, lo: int, hi: int, to: int, length: int) ->
     inside = (F.col("i") >= to) & (F.col("i") < to + length)
     k = F.when(inside, F.pmod(F.col("i") - to, F.lit(hi - lo)))
     return rows.withColumn("k", k).join(donors, [*PLACE, "k"], "left").withColumn("edited", F.coalesce("donor", "x")).drop("k", "donor")
+
+
+def region_draws(rows: DataFrame, donors: DataFrame, lo: int, hi: int, seed: int = 42) -> DataFrame:
+    """rows with `edited`: bins [lo, hi) take the values of donor bins (source, chrom, k, x), k from 0, drawn by a hash of seed, place and bin."""
+    n = donors.groupBy(*PLACE).agg(F.count("*").alias("n"))
+    picked = donors.select(*PLACE, F.col("k").alias("drawn"), F.col("x").alias("donor"))
+    number = hashed_number(F.lit(str(seed)), F.col("source"), F.col("chrom").cast("string"), F.col("i").cast("string"))
+    drawn = F.when((F.col("i") >= lo) & (F.col("i") < hi), F.pmod(number, F.col("n")))
+    return rows.join(n, PLACE, "left").withColumn("drawn", drawn).join(picked, [*PLACE, "drawn"], "left").withColumn("edited", F.coalesce("donor", "x")).drop("n", "drawn", "donor")
+
+
+def flank_replicates(cell_segments: DataFrame, weights: DataFrame) -> DataFrame:
+    """source, rep, chrom, seg, delta_left, delta_right of resampled segment means.
+
+    cell_segments: source, cell, chrom, seg, mean.  The weighted sums of a replicate replace copies of its cells.
+    """
+    rows = cell_segments.join(weights, ["source", "cell"]).groupBy("source", "rep", "chrom", "seg").agg((F.sum(F.col("mean") * F.col("w"))).alias("m"))
+    order = W.partitionBy("source", "rep", "chrom").orderBy("seg")
+    deltas = {f"delta_{side}": log2_ratio(F.col("m"), f("m").over(order)) for side, f in (("left", F.lag), ("right", F.lead))}
+    return rows.withColumns(deltas).drop("m")
+
+
+def flank_uncertainty(replicates: DataFrame, least: int = 10) -> DataFrame:
+    """Per source, chrom and segment: valid replicates, standard errors, covariance of both sides, and why a summary is withheld."""
+    both = F.col("delta_left").isNotNull() & F.col("delta_right").isNotNull()
+    found = replicates.groupBy(*PLACE, "seg").agg(
+        F.count_if(both).alias("n_valid"), F.stddev_samp("delta_left").alias("se_left"), F.stddev_samp("delta_right").alias("se_right"), F.covar_samp("delta_left", "delta_right").alias("covariance"),
+        F.count("delta_left").alias("n_left"), F.count("delta_right").alias("n_right"),
+    )
+    withheld = F.when((F.col("n_left") == 0) | (F.col("n_right") == 0), "terminal").when(F.col("n_valid") < least, "too_few").otherwise("")
+    return found.withColumn("withheld", withheld).drop("n_left", "n_right")

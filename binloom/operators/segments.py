@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from binloom.functions.stats import inside_fences, log2_ratio, signed_srd
+from binloom.functions.stats import log2_ratio, signed_srd
 
 PLACE = ["source", "chrom"]
 LEVELS = ("mean", "median", "iqr_mean")
@@ -32,31 +32,49 @@ def labelled(profile: DataFrame, boundaries: DataFrame) -> DataFrame:
     return marked.withColumn("seg", F.sum(cut).over(order).cast("long")).drop("cut")
 
 
+def _summary(x: str) -> list[Column]:
+    """The aggregates of level_summary; a group is at most a chromosome's bins, so its values fit in a row."""
+    return [
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg(F.when(F.col(x) == 0, 1.0).otherwise(0.0)).alias("zero_fraction"),
+        F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.75)).alias("q3"), F.collect_list(x).alias("values"),
+    ]
+
+
+def _retained(df: DataFrame) -> DataFrame:
+    """Adds iqr_mean and retained, of the values within the fences, and cv."""
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    kept = F.filter("values", lambda v: (F.round(v - F.col("q1") + reach, 9) >= 0) & (F.round(v - F.col("q3") - reach, 9) <= 0))
+    df = df.withColumn("values", kept).withColumn("retained", F.size("values").cast("long"))
+    mean = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v) / F.col("retained")
+    return df.withColumns({"iqr_mean": F.when(F.col("retained") > 0, mean), "cv": F.when(F.col("mean") > 0, F.col("std") / F.col("mean"))}).drop("values", "q1", "q3")
+
+
 def level_summary(rows: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """Per group: n, mean, median, iqr_mean of the retained values, retained, std (n - 1), cv (mean > 0), zero_fraction."""
-    stats = rows.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_samp(x).alias("std"),
-        F.avg(F.when(F.col(x) == 0, 1.0).otherwise(0.0)).alias("zero_fraction"), F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"),
-    )
-    kept = rows.join(stats.select(*keys, "q1", "q3"), keys).where(inside_fences(x))
-    kept = kept.groupBy(*keys).agg(F.avg(x).alias("iqr_mean"), F.count("*").alias("retained"))
-    cv = F.when(F.col("mean") > 0, F.col("std") / F.col("mean"))
-    return stats.join(kept, keys, "left").select(*keys, "n", "mean", "median", "iqr_mean", F.coalesce("retained", F.lit(0)).alias("retained"), "std", cv.alias("cv"), "zero_fraction")
+    return _retained(rows.groupBy(*keys).agg(*_summary(x))).select(*keys, "n", "mean", "median", "iqr_mean", "retained", "std", "cv", "zero_fraction")
 
 
 def segment_summaries(labelled_rows: DataFrame) -> DataFrame:
-    """level_summary of each segment with s, e, start, end and sum."""
-    keys = [*PLACE, "seg"]
-    bounds = labelled_rows.groupBy(*keys).agg(F.min("i").alias("s"), (F.max("i") + 1).alias("e"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("x").alias("sum"))
-    return bounds.join(level_summary(labelled_rows, keys), keys)
+    """level_summary of each segment with s, e, start, end, sum and variance (population).
+
+    Labels come from a window over (source, chrom); that partitioning serves this aggregate and the
+    flanks' windows too, so the profile is shuffled once.
+    """
+    bounds = [F.min("i").alias("s"), (F.max("i") + 1).alias("e"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("x").alias("sum"), F.var_pop("x").alias("variance")]
+    return _retained(labelled_rows.groupBy(*PLACE, "seg").agg(*bounds, *_summary("x")))
+
+
+def _dispersion() -> tuple[Column, Column]:
+    """A segment's Pearson sum and degrees of freedom, if it has two bins or more and a positive mean."""
+    used = (F.col("n") >= 2) & (F.col("mean") > 0)
+    return F.when(used, F.col("variance") * F.col("n") / F.col("mean")), F.when(used, F.col("n") - 1)
 
 
 def pooled_phi(labelled_rows: DataFrame) -> DataFrame:
     """Per (source, chrom) the Pearson dispersion of the whole partition: segments of two bins or more with a positive mean; NULL without any."""
-    per = labelled_rows.groupBy(*PLACE, "seg").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
-    used = (F.col("n") >= 2) & (F.col("m") > 0)
-    total = F.sum(F.when(used, F.col("v") * F.col("n") / F.col("m")))
-    return per.groupBy(*PLACE).agg((total / F.sum(F.when(used, F.col("n") - 1))).alias("phi"))
+    pearson, freedom = _dispersion()
+    per = labelled_rows.groupBy(*PLACE, "seg").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
+    return per.groupBy(*PLACE).agg((F.sum(pearson) / F.sum(freedom)).alias("phi"))
 
 
 def with_flanks(summaries: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,8 +85,10 @@ def with_flanks(summaries: DataFrame, columns: list[str]) -> DataFrame:
 
 def flank_scores(labelled_rows: DataFrame) -> DataFrame:
     """Per internal segment: srd, srd_phi and log2 fold changes of three levels against both neighbours, and whether a gap lies between."""
-    rows = with_flanks(segment_summaries(labelled_rows), ["sum", "n", "start", "end", *LEVELS])
-    rows = rows.where("n_left IS NOT NULL AND n_right IS NOT NULL").join(pooled_phi(labelled_rows), PLACE)
+    whole = W.partitionBy(*PLACE)
+    pearson, freedom = _dispersion()
+    rows = segment_summaries(labelled_rows).withColumn("phi", F.sum(pearson).over(whole) / F.sum(freedom).over(whole))
+    rows = with_flanks(rows, ["sum", "n", "start", "end", *LEVELS]).where("n_left IS NOT NULL AND n_right IS NOT NULL")
     out: dict[str, Column] = {}
     for side in ("left", "right"):
         srd = signed_srd(F.col("sum"), F.col("n"), F.col(f"sum_{side}"), F.col(f"n_{side}"))

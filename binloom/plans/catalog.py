@@ -201,7 +201,7 @@ query("a11_autocorrelation", "source chrom:i lag:i r:r", " UNION ALL ".join(f"SE
 )
 
 
-@query("a12_spearman", "source r:r", """SELECT source, corr(ra, rb) AS r FROM (SELECT source, rank() OVER (PARTITION BY source ORDER BY coverage) + (count(*) OVER (PARTITION BY source, coverage) - 1) / 2::DOUBLE AS ra,
+@query("a12_spearman", "source r:r", """SELECT source, CASE WHEN count(*) >= 3 AND var_pop(ra) > 0 AND var_pop(rb) > 0 THEN corr(ra, rb) END AS r FROM (SELECT source, rank() OVER (PARTITION BY source ORDER BY coverage) + (count(*) OVER (PARTITION BY source, coverage) - 1) / 2::DOUBLE AS ra,
  rank() OVER (PARTITION BY source ORDER BY n_seen) + (count(*) OVER (PARTITION BY source, n_seen) - 1) / 2::DOUBLE AS rb FROM cells JOIN membership USING (cell)) GROUP BY source""")
 def a12(g: Genome) -> DataFrame:
     rows = cells(g).join(g.membership, "cell").withColumns({"ra": stats.average_rank(["source"], "coverage"), "rb": stats.average_rank(["source"], "n_seen")})
@@ -264,8 +264,8 @@ query("a27_selection_geometry", "source chrom:i bins:i bp:i gaps:i", 'SELECT sou
 
 # joins
 
-query("j5_neighbours", "source chrom:i seg:i left_seg:i right_seg:i", "SELECT source, chrom, seg, lag(seg) OVER w AS left_seg, lead(seg) OVER w AS right_seg FROM st WINDOW w AS (PARTITION BY source, chrom ORDER BY seg)")(
-    lambda g: segments.with_flanks(segments.segment_summaries(labelled(g)), ["seg"]).withColumnsRenamed({"seg_left": "left_seg", "seg_right": "right_seg"})
+query("j5_neighbours", "source chrom:i seg:i left_seg:i right_seg:i", "SELECT source, chrom, seg, coalesce(lag(seg) OVER w, -1) AS left_seg, coalesce(lead(seg) OVER w, -1) AS right_seg FROM st WINDOW w AS (PARTITION BY source, chrom ORDER BY seg)")(
+    lambda g: segments.with_flanks(segments.segment_summaries(labelled(g)), ["seg"]).withColumns({"left_seg": F.coalesce("seg_left", F.lit(-1)), "right_seg": F.coalesce("seg_right", F.lit(-1))})
 )
 
 
@@ -402,10 +402,10 @@ query("m14_any_rule", "source chrom:i seg:i outcome side score:r blocked", _rule
 query("m18_outcome_counts", "source outcome n:i", f"SELECT source, outcome, count(*) AS n FROM ({_rule_sql(_RULE0)}) GROUP BY ALL")(lambda g: scores(g).transform(flank_rule, _RULE0).groupBy("source", "outcome").agg(F.count("*").alias("n")))
 _USER = ConditionRule("weak", (Condition("weak_flank", "delta_median", 0.02), Condition("max_size", max_bins=25)), "delta_median")
 RULES = RuleSet(_RULE0, (_USER,))
-query("m15_rules", "source chrom:i seg:i claimed_by phase:i side score:r blocked", f"""SELECT source, chrom, seg, CASE WHEN outcome = 'would_merge' THEN 'rule0' WHEN w THEN 'weak' END AS claimed_by, CASE WHEN outcome = 'would_merge' OR w THEN 1 END AS phase,
+query("m15_rules", "source chrom:i seg:i claimed_by phase:i side score:r blocked", f"""SELECT source, chrom, seg, CASE WHEN outcome = 'would_merge' THEN 'rule0' WHEN w THEN 'weak' END AS claimed_by, CASE WHEN outcome = 'would_merge' OR w THEN 1 ELSE 0 END AS phase,
  CASE WHEN outcome = 'would_merge' THEN side WHEN w THEN us END AS side, CASE WHEN outcome = 'would_merge' THEN score WHEN w THEN least(abs(delta_median_left), abs(delta_median_right)) END AS score,
  CASE WHEN outcome = 'would_merge' THEN blocked WHEN w AND CASE WHEN us = 'left' THEN gap_left ELSE gap_right END THEN 'gap' END AS blocked FROM (SELECT *, coalesce(least(abs(delta_median_left), abs(delta_median_right)) < 0.02 AND delta_median_left IS NOT NULL AND delta_median_right IS NOT NULL, false) AND e - s <= 25 AS w, CASE WHEN abs(delta_median_left) <= abs(delta_median_right) THEN 'left' ELSE 'right' END AS us FROM ({_rule_sql(_RULE0)}))""")(
-    lambda g: evaluate(scores(g), RULES)
+    lambda g: evaluate(scores(g), RULES).withColumn("phase", F.coalesce("phase", F.lit(0)))
 )
 
 
@@ -441,7 +441,7 @@ def _before_after(g: Genome) -> DataFrame:
     return fine.withColumns({"before": calls.encode_states(F.col("state")), "after": calls.encode_states(F.when(F.col("med") > 0, calls.state_by_ratio(F.round(coarse / F.col("med"), 9), STATE_CUTS)))})
 
 
-_BA = "SELECT *, coalesce(round_even(state * 2, 0), 255)::INT AS before, coalesce((" + " + ".join(f"(CASE WHEN r >= {c}::DOUBLE THEN 1 ELSE 0 END)" for c in STATE_CUTS) + ")::INT, 255) AS after FROM (SELECT lab.*, st2.state, round(avg(lab.x) OVER (PARTITION BY lab.source, lab.chrom, lab.i // 30) / med, 9) AS r FROM lab JOIN (SELECT source, chrom, seg, state FROM states) AS st2 USING (source, chrom, seg) JOIN base USING (source))"
+_BA = "SELECT *, coalesce(round_even(state * 2, 0), 255)::INT AS before, coalesce((" + " + ".join(f"(CASE WHEN r >= {c}::DOUBLE THEN 1 WHEN r IS NOT NULL THEN 0 END)" for c in STATE_CUTS) + ")::INT, 255) AS after FROM (SELECT lab.*, st2.state, CASE WHEN med > 0 THEN round(avg(lab.x) OVER (PARTITION BY lab.source, lab.chrom, lab.i // 30) / med, 9) END AS r FROM lab JOIN (SELECT source, chrom, seg, state FROM states) AS st2 USING (source, chrom, seg) JOIN base USING (source))"
 query("c9_transitions", "source before:i after:i n:i", f"SELECT source, before, after, count(*) AS n FROM ({_BA}) WHERE before <> after GROUP BY ALL")(lambda g: calls.transitions(F.col("before"), F.col("after"), _before_after(g), ["source"]))
 query("c10_changes", "source n_called:i n_changed:i pct_changed:r", f"SELECT source, count(*) FILTER (before <> 255 AND after <> 255) AS n_called, count(*) FILTER (before <> 255 AND after <> 255 AND before <> after) AS n_changed, round_even(100.0::DOUBLE * count(*) FILTER (before <> 255 AND after <> 255 AND before <> after) / count(*) FILTER (before <> 255 AND after <> 255), 3) AS pct_changed FROM ({_BA}) GROUP BY source")(
     lambda g: calls.changed_share(_before_after(g), ["source"])
@@ -504,3 +504,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+from . import catalog_compare  # noqa: E402,F401  its queries are added to these
