@@ -10,7 +10,8 @@ they are.  What is left are runs with a common anchor and unlike bytes.  For eac
 that start at it, and the reversed prefixes that end there, are sorted: by multikey quicksort to a
 shallow depth, and by blind tries below it.  Common prefixes of sorted neighbours tell how far each
 pair agrees on either side of the anchor.  Anchors with more than HOT unlike runs are decided by counting
-the hashes of their single windows instead, which Spark combines before it shuffles.
+instead, which Spark combines before it shuffles: windows are taken in blocks of neighbours, a block whose
+common part is met once holds no repeat, one whose bytes are met twice is a repeat, and the rest is split.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, cut, runs
 
-GRAM, HOT, SHALLOW = 32, 256, 64
+GRAM, HOT, SHALLOW, BLOCK = 32, 256, 64, 256
 #: Bytes of a text whose anchors are found at a time; positions within fit in 24 bits.
 SEGMENT = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -216,13 +217,45 @@ def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
     return cut(copies.join(cut(todo, "todo"), "t").select("text_id", "first_id", "todo"), "todo")
 
 
+def repeated_blocks(rows: DataFrame, window: int) -> DataFrame:
+    """text_id, lo and hi of the repeated windows among runs (key, text_id, lo, anchor, bytes) with unlike bytes.
+
+    A window's offset is how far before its anchor it starts; equal windows have equal offsets.  Blocks
+    are ranges of offsets: first of up to BLOCK, then of a quarter of that, down to single windows.
+    """
+    size, done = BLOCK, []
+    while size:
+        n = F.octet_length("bytes") - window + 1
+        first = F.explode(F.sequence(F.floor(F.greatest(F.col("anchor") - n + 1, F.lit(0)) / size), F.floor(F.col("anchor") / size)))
+        blocks = rows.withColumn("n", n).withColumn("first", first).withColumn("first", F.col("first") * size)
+        # the block's windows start at bytes p1 to p2; all windows of its offsets share the core
+        blocks = blocks.withColumns({"p1": F.greatest(F.col("anchor") - F.col("first") - size + 1, F.lit(0)), "p2": F.least(F.col("anchor") - F.col("first"), F.col("n") - 1)})
+        core = F.substring("bytes", F.col("anchor") - F.col("first") + 1, F.lit(window - size + 1))
+        blocks = blocks.withColumns({"core": F.md5(core), "part": F.substring("bytes", F.col("p1") + 1, F.col("p2") - F.col("p1") + window), "offset": F.col("anchor") - F.col("p2")})
+        blocks = blocks.withColumn("content", F.md5("part"))
+        shared = cut(blocks.groupBy("key", "first", "core").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "cores")
+        blocks = blocks.withColumn("at", F.struct("text_id", (F.col("lo") + F.col("p1")).alias("lo")))
+        equal = blocks.groupBy("key", "offset", "content").agg(F.count("*").alias("k"), F.min("at").alias("speaker")).where("k > 1").drop("k")
+        blocks = blocks.join(shared, ["key", "first", "core"], "left_semi").join(cut(equal, "equal-blocks"), ["key", "offset", "content"], "left")
+        # equal blocks are repeats; one of them goes on, for blocks that share a part of its windows
+        goes_on = F.col("speaker").isNull() | (F.col("speaker") == F.col("at"))
+        blocks = blocks.select("key", "text_id", "at.lo", (F.col("anchor") - F.col("p1")).alias("anchor"), F.when(goes_on, F.col("part")).alias("bytes"), F.col("speaker").isNotNull().alias("repeated"), (F.col("lo") + F.col("p2") + window).alias("hi"))
+        blocks = cut(blocks, "blocks")
+        done.append(blocks.where("repeated").select("text_id", "lo", "hi"))
+        rows, size = blocks.where("bytes IS NOT NULL").drop("hi", "repeated"), size // 4
+    found = done[0]
+    for more in done[1:]:
+        found = found.union(more)
+    return found
+
+
 def repeats(texts: DataFrame, window: int) -> DataFrame:
     """text_id and the repeated spans (lists of lo and hi) of every text that has some."""
     todo = repeated_runs(texts, window)
 
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "key", "other", "text_id", "lo", "anchor", "bytes"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["kind", "key", "text_id", "lo", "anchor", "bytes"]
+        types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text_id, text, first_id, todo in zip(*[batch.column(c) for c in ("doc_id", "text_id", "raw", "first_id", "todo")]):
@@ -239,13 +272,9 @@ def repeats(texts: DataFrame, window: int) -> DataFrame:
                     if repeated:
                         spans.append((lo, lo + n + window - 1))
                         do[key, content(data)] = (True, 0)  # the first of equal ones speaks for them
-                    if search == 1:
-                        rows.append((1, key, 0, text_id, lo, anchor - lo, data))
-                    elif search == 2:
-                        for p in range(n):
-                            h = xxhash.xxh3_128_digest(data[p : p + window])
-                            rows.append((2, int.from_bytes(h[:8], signed=True), int.from_bytes(h[8:], signed=True), text_id, lo + p, 0, None))
-                rows += [(0, 0, 0, text_id, lo, hi, None) for lo, hi in merged(spans)]
+                    if search:
+                        rows.append((search, key, text_id, lo, anchor - lo, data))
+                rows += [(0, 0, text_id, lo, hi, None) for lo, hi in merged(spans)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,14 +286,12 @@ def repeats(texts: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([group.column("text_id").combine_chunks().take(pa.array(at)), pa.array(middle - before[at]), pa.array(middle + after[at])], ["text_id", "lo", "hi"])
 
     chosen = texts.join(todo.hint("shuffle_hash"), "text_id").select("doc_id", "text_id", F.col("text").cast("binary").alias("raw"), "first_id", "todo")
-    chosen = chosen.mapInArrow(selected, "kind int, key long, other long, text_id string, lo long, anchor long, bytes binary")
+    chosen = chosen.mapInArrow(selected, "kind int, key long, text_id string, lo long, anchor long, bytes binary")
     chosen = cut(chosen, "chosen")
     whole = chosen.where("kind = 0").select("text_id", "lo", F.col("anchor").alias("hi"))
     sorting = chosen.where("kind = 1").select("key", "text_id", "lo", "anchor", "bytes").repartition("key").sortWithinPartitions("key")
     partly = sorting.mapInArrow(sorted_out, "text_id string, lo long, hi long")
-    single = chosen.where("kind = 2").select("key", "other", "text_id", "lo")
-    counted = cut(single.groupBy("key", "other").agg(F.count("*").alias("n")).where("n > 1").select("key", "other"), "windows")
-    counted = single.join(counted, ["key", "other"], "left_semi").select("text_id", "lo", (F.col("lo") + window).alias("hi"))
+    counted = repeated_blocks(chosen.where("kind = 2").select("key", "text_id", "lo", "anchor", "bytes"), window)
     spans = whole.union(partly).union(counted)
     return cut(spans.groupBy("text_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
