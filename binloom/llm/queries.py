@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, exact_dedup
+from . import embedding_dedup as vectors
+from . import suffix_dedup as repeats
 from .bpe import encode_and_decode
 from .common import table
 from .embedding_dedup import embedding_dedup
@@ -72,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {"op3_embedding_dedup": vectors.SQL, "op7_suffix_dedup": repeats.SQL, "op6_chat_formatting": chat.SQL, "op8_exact_dedup": exact_dedup.SQL}

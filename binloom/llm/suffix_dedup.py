@@ -332,3 +332,17 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep_text: bool = False, ke
         kept = found.select(F.col("text").cast("binary").alias("raw"), "spans", "others", "no_text").mapInArrow(removed, schema)
         return kept.select(*[F.when(~F.col("no_text"), F.col("text")).alias(c) if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns])
     return found.select("doc_id", F.col("text").cast("binary").alias("raw"), "spans").mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, f, substr(h, 2 * f + 1, 1398) AS h, least(300, n - 399 - f) AS m FROM (SELECT doc_id, h, n, unnest(range(0, n - 399, 300)) AS f FROM d WHERE n >= 400)),
+w AS (SELECT doc_id, f + p AS p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, f, h, unnest(range(0, m)) AS p FROM b)),
+r AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+s AS (SELECT doc_id, min(p) AS lo, max(p) + 400 AS hi FROM (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY p) AS g
+  FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS o FROM r)) GROUP BY doc_id, g),
+e AS (SELECT doc_id, lo, hi FROM s UNION ALL SELECT doc_id, n, n FROM d),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (lo - a)), '' ORDER BY lo, hi) AS kept FROM (SELECT e.*, d.h, coalesce(lag(hi) OVER (PARTITION BY e.doc_id ORDER BY lo, hi), 0) AS a FROM e JOIN d USING (doc_id)) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(k.kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM s GROUP BY doc_id) AS c USING (doc_id)
+"""
