@@ -506,4 +506,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from . import catalog_compare  # noqa: E402,F401  its queries are added to these
+from . import catalog_compare, catalog_review  # noqa: E402,F401  their queries are added to these
