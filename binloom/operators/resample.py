@@ -22,7 +22,7 @@ def bootstrap_weights(membership: DataFrame, replicates: int, seed: int = 42) ->
     Each (source, rep) has one draw per member; a draw is an ordinal, joined to the member that has it.
     Ordinals are counted within hashed parts of a source, then offset, so no source is sorted as a whole.
     """
-    part = F.pmod(F.xxhash64("cell"), F.lit(64))
+    part = hashed_number(F.col("cell").cast("string")) % 64
     counted = membership.withColumn("part", part)
     sizes = counted.groupBy("source", "part").agg(F.count("*").alias("k"))
     ends = W.partitionBy("source").orderBy("part")  # over at most 64 rows a source

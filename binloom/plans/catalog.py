@@ -459,10 +459,19 @@ query("c1_copy_numbers", "source chrom:i seg:i status best_s:r continuous:r whol
 # resampling and edits
 
 _LEVELS = "SELECT source, cell, sum(CASE WHEN i BETWEEN 60 AND 119 THEN x ELSE 0 END) / 60 AS a, sum(CASE WHEN i BETWEEN 10 AND 49 THEN x ELSE 0 END) / 40 AS b FROM signal JOIN membership USING (cell) GROUP BY ALL"
-_DRAWS = "SELECT m.source, rep, cell, w FROM (SELECT source, rep, k, count(*) AS w FROM (SELECT source, rep, (('0x' || substr(md5('42:' || source || ':' || rep || ':' || o), 1, 8))::BIGINT % n) AS k FROM (SELECT source, o, n, unnest(range(1, 51)) AS rep FROM ord)) GROUP BY ALL) AS d JOIN ord AS m ON m.source = d.source AND m.o = d.k"
 
 
-@query("b1_bootstrap", "source observed:r ci_low:r ci_high:r se:r sign_agreement:r invalid:i")
+def _draws(replicates: int) -> str:
+    """Bootstrap weights in SQL: cells are numbered by a hashed part and their id, and drawn by number."""
+    return f"""WITH ord AS (SELECT source, cell, row_number() OVER (PARTITION BY source ORDER BY part, cell) - 1 AS o, count(*) OVER (PARTITION BY source) AS n FROM (SELECT source, cell, ('0x' || substr(md5(cell::VARCHAR), 1, 8))::BIGINT % 64 AS part FROM membership)),
+ drawn AS (SELECT source, rep, ('0x' || substr(md5('42:' || source || ':' || rep || ':' || o), 1, 8))::BIGINT % n AS o FROM (SELECT source, o, n, unnest(range(1, {replicates + 1})) AS rep FROM ord)),
+ weights AS (SELECT d.source, d.rep, ord.cell, count(*) AS w FROM drawn AS d JOIN ord ON ord.source = d.source AND ord.o = d.o GROUP BY ALL)"""
+
+
+@query("b1_bootstrap", "source observed:r ci_low:r ci_high:r se:r sign_agreement:r invalid:i", f"""{_draws(50)}, levels AS ({_LEVELS}),
+ obs AS (SELECT source, CASE WHEN avg(a) > 0 AND avg(b) > 0 THEN log2(avg(a) / avg(b)) END AS observed FROM levels GROUP BY source),
+ reps AS (SELECT source, rep, CASE WHEN sum(a * w) > 0 AND sum(b * w) > 0 THEN log2(sum(a * w) / sum(b * w)) END AS v FROM levels JOIN weights USING (source, cell) GROUP BY ALL)
+ SELECT source, any_value(observed) AS observed, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, stddev_samp(v) AS se, avg(CASE WHEN sign(v) = sign(observed) THEN 1::DOUBLE ELSE 0::DOUBLE END) AS sign_agreement, count(*) FILTER (v IS NULL) AS invalid FROM reps JOIN obs USING (source) GROUP BY source""")
 def b1(g: Genome) -> DataFrame:
     rows = g.with_sources(g.signal)
     levels = rows.groupBy("source", "cell").agg(*[(F.sum(F.when(F.col("i").between(*r), F.col("x")).otherwise(0.0)) / (r[1] - r[0] + 1)).alias(n) for n, r in (("a", (60, 119)), ("b", (10, 49)))])
