@@ -16,8 +16,13 @@ KEY = ["doc_id", "n_bytes", "hash"]
 
 
 def _named(distinct: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The distinct rows with their numbers in sorted order.  The table is written, so a number never changes."""
-    return cut(distinct.orderBy(*columns).withColumn("name", F.monotonically_increasing_id()), name)
+    """The distinct rows with their numbers in sorted order.  The table is written, so a number never changes.
+
+    The order is by a hash, then by the whole value: rows whose hashes meet still get numbers of their
+    own, and what Spark samples to find the ranges is a number, not a block.
+    """
+    placed = distinct.withColumn("place", F.xxhash64(*columns)).repartitionByRange("place").sortWithinPartitions("place", *columns)
+    return cut(placed.select(*columns, F.monotonically_increasing_id().alias("name")), name)
 
 
 def block_names(texts: DataFrame, block_bytes: int) -> DataFrame:
