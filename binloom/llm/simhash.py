@@ -9,7 +9,7 @@ split into parts, and each pair of parts is searched as a task's own small tree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +25,34 @@ RADIUS, SHARD = 2, 256
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """64 bits; a bit is set if more than half of the shingles' hashes have it."""
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """The shingles' XXH64, in chunks; the whole sequence is the shingle of a text with fewer words, and no words have none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     n = max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.append(0, ends)[:n].tolist()
     ends = (ends[-n:] - 1).tolist()
-    counts = np.zeros(64, np.int64)
     for lo in range(0, n, CHUNK):
         hi = min(n, lo + CHUNK)
-        found = np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts[lo:hi], ends[lo:hi])), "<u8", hi - lo)
+        yield np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts[lo:hi], ends[lo:hi])), "<u8", hi - lo)
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """64 bits; a bit is set if more than half of the hashes have it."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for found in chunks:
+        n += len(found)
         counts += np.unpackbits(found.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and bits (long) of every document."""
     bounded_batches(docs.sparkSession)

@@ -9,7 +9,7 @@ import corpus_pipeline
 from binloom.llm.quality import score_quality
 from binloom.llm.toxicity import pieces, score_toxicity, word_buckets
 
-from .test_dedup import brute_components, brute_fingerprint
+from .test_near_copies import brute
 
 SF, MORE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -72,11 +72,7 @@ def test_pipeline(spark, tmp_path):
     assert sum(v == 0 and d in left for d, v in truth.items()) <= 1
     texts = [r.text for r in q.collect()]
     assert sorted(r.text for r in e.collect()) == sorted(set(texts))
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in e.collect()}
-    group, least = brute_components(prints.values()), {}
-    for d, f in prints.items():
-        least[group[f]] = min(d, least.get(group[f], d))
-    assert {r.doc_id for r in s.collect()} == set(least.values())
+    assert {r.doc_id for r in s.collect()} == set(brute([(r.doc_id, r.text) for r in e.collect()]).values())
     rows, kept = s.collect(), {r.doc_id: r.text for r in a.collect()}
     seen = Counter(h for r in rows for h in windows(r.text))
     assert set(kept) == {r.doc_id for r in rows}
