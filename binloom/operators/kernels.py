@@ -87,7 +87,7 @@ def split_tests(profile: DataFrame, cuts: DataFrame, permutations: int = 1000, s
             out.append((source, chrom, cut, observed, permutation_p(x[:cut], x[cut:], observed, permutations, rng), permutation_p(x[:cut], x[cut:], observed, permutations, rng, np.sort(pool))))
         return pd.DataFrame(out, columns=["source", "chrom", "cut", "ad", "p_local", "p_global"])
 
-    return rows.groupBy(*PLACE).applyInPandas(run, "source string, chrom int, cut long, ad double, p_local double, p_global double")
+    return rows.groupBy(*PLACE, "cut").applyInPandas(run, "source string, chrom int, cut long, ad double, p_local double, p_global double")
 
 
 def geometry_reasons(start: int, end: int, cut: int, n: int, min_child: int, min_terminal: int) -> list[str]:

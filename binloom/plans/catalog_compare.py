@@ -91,16 +91,26 @@ query("g4_spliced_labels", "source g:i label:i", """SELECT source, g, dense_rank
     .withColumn("label", F.dense_rank().over(W.partitionBy("source").orderBy("chrom", "seg")))
 )
 query("g9_split_tests", "source chrom:i cut:i ad:r p_local:r p_global:r")(
-    lambda g: kernels.split_tests(g.profile, g.boundaries.where("source = 'all'").groupBy(*PLACE).agg(F.max("bin").alias("cut")), 200)
+    lambda g: kernels.split_tests(g.profile, g.boundaries.withColumnRenamed("bin", "cut"), 200)
 )
 query("m20_live_scores", "source chrom:i seg:i srd_left:r delta_mean_right:r", "SELECT * FROM hs WHERE source = 'cluster2'")(
     lambda g: segments.flank_scores(segments.labelled(g.profile.where("source = 'cluster2'"), g.boundaries.where("source = 'cluster2'")))
 )
+query("m20_live_scores_whole", "source chrom:i seg:i srd_left:r delta_mean_right:r", "SELECT * FROM hs")(lambda g: segments.flank_scores(labelled(g)))
 query("m24_constituent_range", "source chrom:i range:r below", f"SELECT source, chrom, CASE WHEN count(*) = count(l) THEN max(l) - min(l) END AS range, coalesce(CASE WHEN count(*) = count(l) THEN max(l) - min(l) END < {TAU}, false) AS below FROM (SELECT source, chrom, CASE WHEN median > 0 THEN log2(median) END AS l FROM st WHERE seg < 3) GROUP BY ALL")(
     lambda g: segments.segment_summaries(labelled(g)).where("seg < 3").withColumn("l", F.when(F.col("median") > 0, F.log2("median"))).groupBy(*PLACE).agg(F.when(F.count("*") == F.count("l"), F.max("l") - F.min("l")).alias("range")).withColumn("below", F.coalesce(F.col("range") < TAU, F.lit(False)))
 )
 
 
+@query("m24_constituent_range_whole", "source chrom:i first:i range:r below", f"SELECT source, chrom, first, CASE WHEN count(*) = count(l) THEN max(l) - min(l) END AS range, coalesce(CASE WHEN count(*) = count(l) THEN max(l) - min(l) END < {TAU}, false) AS below FROM (SELECT source, chrom, seg - k AS first, CASE WHEN median > 0 THEN log2(median) END AS l FROM st CROSS JOIN (SELECT unnest(range(0, 3)) AS k) WHERE seg >= k) GROUP BY ALL")
+def m24_whole(g: Genome) -> DataFrame:
+    """The runs of three segments (fewer at a chromosome's end) from each segment on."""
+    rows = segments.segment_summaries(labelled(g)).withColumn("l", F.when(F.col("median") > 0, F.log2("median")))
+    rows = rows.select(*PLACE, "l", F.explode(F.sequence(F.greatest(F.col("seg") - 2, F.lit(0)), F.col("seg"))).alias("first"))
+    found = rows.groupBy(*PLACE, "first").agg(F.when(F.count("*") == F.count("l"), F.max("l") - F.min("l")).alias("range"))
+    return found.withColumn("below", F.coalesce(F.col("range") < TAU, F.lit(False)))
+
+
 @query("m28_conflicts", "source chrom:i seg:i removed:i conflict", f"SELECT source, chrom, seg, removed, count(*) OVER (PARTITION BY source, chrom, removed) > 1 AS conflict FROM (SELECT *, CASE WHEN abs(delta_median_left) <= abs(delta_median_right) THEN s ELSE e END AS removed FROM hs WHERE e - s <= {MAX_BINS})")
 def m28(g: Genome) -> DataFrame:
     rows = scores(g).where(F.col("e") - F.col("s") <= MAX_BINS).withColumn("removed", F.when(F.abs("delta_median_left") <= F.abs("delta_median_right"), F.col("s")).otherwise(F.col("e")))
@@ -164,17 +174,18 @@ query("c6_cluster_rows", "source chrom:i bin_start:i bin_end:i n_bins:i state:r"
 # resampled flanks and edits
 
 
-def _replicates(g: Genome) -> DataFrame:
+def _replicates(g: Genome, replicates: int = 20) -> DataFrame:
     sizes = labelled(g).groupBy(*PLACE, "seg").agg(F.count("*").alias("n"))
     labels = labelled(g).select("source", "g", "seg")
     sums = g.with_sources(g.signal).join(labels, ["source", "g"]).groupBy(*PLACE, "seg", "cell").agg(F.sum("x").alias("x"))
-    return resample.flank_replicates(sums.join(sizes, [*PLACE, "seg"]).withColumn("mean", F.col("x") / F.col("n")), resample.bootstrap_weights(g.membership, 20))
+    return resample.flank_replicates(sums.join(sizes, [*PLACE, "seg"]).withColumn("mean", F.col("x") / F.col("n")), resample.bootstrap_weights(g.membership, replicates))
 
 
 _FLANKS = f"""{_draws(20)}, means AS (SELECT m.source, s.cell, l.chrom, l.seg, sum(s.x) / any_value(st.n) AS mean FROM signal AS s JOIN membership AS m USING (cell) JOIN lab AS l ON l.source = m.source AND l.g = s.g JOIN st ON st.source = l.source AND st.chrom = l.chrom AND st.seg = l.seg GROUP BY ALL),
  levels AS (SELECT source, rep, chrom, seg, sum(mean * w) AS m FROM means JOIN weights USING (source, cell) GROUP BY ALL),
  deltas AS (SELECT source, rep, chrom, seg, CASE WHEN m > 0 AND p > 0 THEN log2(m / p) END AS delta_left, CASE WHEN m > 0 AND q > 0 THEN log2(m / q) END AS delta_right FROM (SELECT *, lag(m) OVER w AS p, lead(m) OVER w AS q FROM levels WINDOW w AS (PARTITION BY source, rep, chrom ORDER BY seg)))"""
 query("b6_flank_replicates", "source rep:i chrom:i seg:i delta_left:r delta_right:r", f"{_FLANKS} SELECT * FROM deltas WHERE source = 'cluster0'")(lambda g: _replicates(g).where("source = 'cluster0'"))
+query("b6_flank_replicates_whole", "source rep:i chrom:i seg:i delta_left:r delta_right:r", f"{_FLANKS} SELECT * FROM deltas")(_replicates)
 query("b8_flank_uncertainty", "source chrom:i seg:i n_valid:i se_left:r se_right:r covariance:r withheld", f"{_FLANKS} SELECT source, chrom, seg, count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) AS n_valid, stddev_samp(delta_left) AS se_left, stddev_samp(delta_right) AS se_right, covar_samp(delta_left, delta_right) AS covariance, CASE WHEN count(delta_left) = 0 OR count(delta_right) = 0 THEN 'terminal' WHEN count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) < 10 THEN 'too_few' ELSE '' END AS withheld FROM deltas GROUP BY ALL")(lambda g: resample.flank_uncertainty(_replicates(g)))
 query("b4_bootstrap_weights", "source rep:i cell:i w:i", f"{_draws(20)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, 20))
 _DRAWN = "('0x' || substr(md5('42:' || p.source || ':' || p.chrom || ':' || p.i), 1, 8))::BIGINT"
