@@ -53,23 +53,29 @@ def draws(seed: int, name: str, n: int) -> np.random.Generator:
 
 def permutation_p(left: np.ndarray, right: np.ndarray, observed: float, n: int, rng: np.random.Generator, pool: np.ndarray | None = None) -> float:
     """(1 + permutations that reach the observed statistic) / (n + 1); with a pool, samples of both sizes drawn from it instead."""
-    both = np.concatenate([left, right]) if pool is None else pool
+    both = np.unique(np.concatenate([left, right]) if pool is None else pool, return_inverse=True)[1]  # ranks do as well as values
     size, cut, reached = len(left) + len(right), len(left), 0
     for _ in range(n):
         x = rng.permutation(both)[:size]
-        values, where = np.unique(x, return_inverse=True)
+        l = np.bincount(x)
+        values = np.flatnonzero(l)
         if len(values) < 2:
             reached += observed <= 0
             continue
-        l = np.bincount(where).astype(float)
+        l = l[values].astype(float)
         below = np.cumsum(l) - l / 2
-        f = np.bincount(where[:cut], minlength=len(values))
+        f = np.bincount(x[:cut], minlength=values[-1] + 1)[values]
         mid = np.cumsum(f) - f / 2
         ad = (l / size * (size * mid - cut * below) ** 2 / (below * (size - below) - size * l / 4)).sum() * (1 / cut + 1 / (size - cut)) * (size - 1) / size
         reached += ad >= observed
     return (1 + reached) / (n + 1)
 
 
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows dealt by keys to a fixed number of tasks: groups of few bytes but much work would else be put in one."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def split_tests(profile: DataFrame, cuts: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:
     """Both permutation tests of given cuts (source, chrom, cut) of whole chromosomes: source, chrom, cut, ad, p_local, p_global.
 
@@ -87,7 +93,7 @@ def split_tests(profile: DataFrame, cuts: DataFrame, permutations: int = 1000, s
             out.append((source, chrom, cut, observed, permutation_p(x[:cut], x[cut:], observed, permutations, rng), permutation_p(x[:cut], x[cut:], observed, permutations, rng, np.sort(pool))))
         return pd.DataFrame(out, columns=["source", "chrom", "cut", "ad", "p_local", "p_global"])
 
-    return rows.groupBy(*PLACE, "cut").applyInPandas(run, "source string, chrom int, cut long, ad double, p_local double, p_global double")
+    return spread(rows, [*PLACE, "cut"]).groupBy(*PLACE, "cut").applyInPandas(run, "source string, chrom int, cut long, ad double, p_local double, p_global double")
 
 
 def geometry_reasons(start: int, end: int, cut: int, n: int, min_child: int, min_terminal: int) -> list[str]:
@@ -137,7 +143,7 @@ def recursive_breakpoints(profile: DataFrame, k: int = 6, permutations: int = 10
         return frame.astype({"bin": "Int64"})
 
     schema = "source string, chrom int, depth int, start long, end long, bin long, ad double, p_local double, p_global double, accepted boolean, reason string"
-    return profile.select(*PLACE, "i", "x").groupBy(*PLACE).applyInPandas(run, schema)
+    return spread(profile.select(*PLACE, "i", "x"), PLACE).groupBy(*PLACE).applyInPandas(run, schema)
 
 
 def merge_step(profile: DataFrame, boundaries: DataFrame, rules: RuleSet) -> DataFrame:

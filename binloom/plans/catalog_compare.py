@@ -11,7 +11,7 @@ from binloom.operators import allelic, calls, cohort, kernels, resample, segment
 from binloom.operators.segments import PLACE
 from binloom.sources.genome import Genome
 
-from .catalog import _BA, _NOISE, _draws, MAX_BINS, SRD_REF, STATE_CUTS, TAU, _before_after, _partition, allele_counts, cells, labelled, query, scores, states
+from .catalog import _BA, _NOISE, _draws, REPLICATES, MAX_BINS, SRD_REF, STATE_CUTS, TAU, _before_after, _partition, allele_counts, cells, labelled, query, scores, states
 
 # lookups and set comparisons
 
@@ -91,7 +91,7 @@ query("g4_spliced_labels", "source g:i label:i", """SELECT source, g, dense_rank
     .withColumn("label", F.dense_rank().over(W.partitionBy("source").orderBy("chrom", "seg")))
 )
 query("g9_split_tests", "source chrom:i cut:i ad:r p_local:r p_global:r")(
-    lambda g: kernels.split_tests(g.profile, g.boundaries.withColumnRenamed("bin", "cut"), 200)
+    lambda g: kernels.split_tests(g.profile, g.boundaries.withColumnRenamed("bin", "cut"), 1000)
 )
 query("m20_live_scores", "source chrom:i seg:i srd_left:r delta_mean_right:r", "SELECT * FROM hs WHERE source = 'cluster2'")(
     lambda g: segments.flank_scores(segments.labelled(g.profile.where("source = 'cluster2'"), g.boundaries.where("source = 'cluster2'")))
@@ -181,13 +181,18 @@ def _replicates(g: Genome, replicates: int = 20) -> DataFrame:
     return resample.flank_replicates(sums.join(sizes, [*PLACE, "seg"]).withColumn("mean", F.col("x") / F.col("n")), resample.bootstrap_weights(g.membership, replicates))
 
 
-_FLANKS = f"""{_draws(20)}, means AS (SELECT m.source, s.cell, l.chrom, l.seg, sum(s.x) / any_value(st.n) AS mean FROM signal AS s JOIN membership AS m USING (cell) JOIN lab AS l ON l.source = m.source AND l.g = s.g JOIN st ON st.source = l.source AND st.chrom = l.chrom AND st.seg = l.seg GROUP BY ALL),
+_DELTAS = """, means AS (SELECT m.source, s.cell, l.chrom, l.seg, sum(s.x) / any_value(st.n) AS mean FROM signal AS s JOIN membership AS m USING (cell) JOIN lab AS l ON l.source = m.source AND l.g = s.g JOIN st ON st.source = l.source AND st.chrom = l.chrom AND st.seg = l.seg GROUP BY ALL),
  levels AS (SELECT source, rep, chrom, seg, sum(mean * w) AS m FROM means JOIN weights USING (source, cell) GROUP BY ALL),
  deltas AS (SELECT source, rep, chrom, seg, CASE WHEN m > 0 AND p > 0 THEN log2(m / p) END AS delta_left, CASE WHEN m > 0 AND q > 0 THEN log2(m / q) END AS delta_right FROM (SELECT *, lag(m) OVER w AS p, lead(m) OVER w AS q FROM levels WINDOW w AS (PARTITION BY source, rep, chrom ORDER BY seg)))"""
+_FLANKS, _WHOLE_FLANKS = _draws(20) + _DELTAS, _draws(REPLICATES) + _DELTAS
 query("b6_flank_replicates", "source rep:i chrom:i seg:i delta_left:r delta_right:r", f"{_FLANKS} SELECT * FROM deltas WHERE source = 'cluster0'")(lambda g: _replicates(g).where("source = 'cluster0'"))
-query("b6_flank_replicates_whole", "source rep:i chrom:i seg:i delta_left:r delta_right:r", f"{_FLANKS} SELECT * FROM deltas")(_replicates)
-query("b8_flank_uncertainty", "source chrom:i seg:i n_valid:i se_left:r se_right:r covariance:r withheld", f"{_FLANKS} SELECT source, chrom, seg, count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) AS n_valid, stddev_samp(delta_left) AS se_left, stddev_samp(delta_right) AS se_right, covar_samp(delta_left, delta_right) AS covariance, CASE WHEN count(delta_left) = 0 OR count(delta_right) = 0 THEN 'terminal' WHEN count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) < 10 THEN 'too_few' ELSE '' END AS withheld FROM deltas GROUP BY ALL")(lambda g: resample.flank_uncertainty(_replicates(g)))
+query("b6_flank_replicates_whole", "source rep:i chrom:i seg:i delta_left:r delta_right:r", f"{_WHOLE_FLANKS} SELECT * FROM deltas")(lambda g: _replicates(g, REPLICATES))
+_UNCERTAIN = "source chrom:i seg:i n_valid:i se_left:r se_right:r covariance:r withheld"
+_UNCERTAINTY = " SELECT source, chrom, seg, count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) AS n_valid, stddev_samp(delta_left) AS se_left, stddev_samp(delta_right) AS se_right, covar_samp(delta_left, delta_right) AS covariance, CASE WHEN count(delta_left) = 0 OR count(delta_right) = 0 THEN 'terminal' WHEN count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) < 10 THEN 'too_few' ELSE '' END AS withheld FROM deltas GROUP BY ALL"
+query("b8_flank_uncertainty", _UNCERTAIN, _FLANKS + _UNCERTAINTY)(lambda g: resample.flank_uncertainty(_replicates(g)))
+query("b8_flank_uncertainty_whole", _UNCERTAIN, _WHOLE_FLANKS + _UNCERTAINTY)(lambda g: resample.flank_uncertainty(_replicates(g, REPLICATES)))
 query("b4_bootstrap_weights", "source rep:i cell:i w:i", f"{_draws(20)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, 20))
+query("b4_bootstrap_weights_whole", "source rep:i cell:i w:i", f"{_draws(REPLICATES)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, REPLICATES))
 _DRAWN = "('0x' || substr(md5('42:' || p.source || ':' || p.chrom || ':' || p.i), 1, 8))::BIGINT"
 query("e2_extend", "source chrom:i i:i edited:r", f"SELECT p.source, p.chrom, p.i, coalesce(d.x, p.x) AS edited FROM profile AS p LEFT JOIN profile AS d ON d.source = p.source AND d.chrom = p.chrom AND p.i BETWEEN 100 AND 149 AND d.i = 20 + {_DRAWN} % 15")(
     lambda g: resample.region_draws(g.profile, g.profile.where("i BETWEEN 20 AND 34").select(*PLACE, (F.col("i") - 20).alias("k"), "x"), 100, 150)

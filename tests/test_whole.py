@@ -34,3 +34,12 @@ def test_curves_of_several_places(spark):
     got = {(r.source, r.chrom, r.cut): r.ad for r in kernels.ad_curves(profile).collect()}
     want = {(*p, cut): plain_ad(values, cut) for p, values in x.items() for cut in range(1, 25)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_production_parameters(spark, genome):
+    """1000 permutations: p-values are parts of 1001; 200 replicates of every source."""
+    p = [r.p_local for r in catalog.queries()["g11_recursive_breakpoints"](spark, SF).collect() if r.p_local is not None]
+    assert p and all(abs(v * 1001 - round(v * 1001)) < 1e-2 for v in p) and any(abs(v * 101 - round(v * 101)) > 1e-2 for v in p)
+    for name in ("b4_bootstrap_weights_whole", "b6_flank_replicates_whole"):
+        reps = {tuple(r) for r in catalog.queries()[name](spark, SF).select("source", "rep").distinct().collect()}
+        assert reps == {(s, k) for s, _ in genome[0] for k in range(1, 201)}
