@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from binloom.functions.stats import log2_ratio
+from binloom.functions.stats import log2_ratio, signed_srd
 
 from .segments import PLACE
 
@@ -102,3 +102,41 @@ def flank_uncertainty(replicates: DataFrame, least: int = 10) -> DataFrame:
     )
     withheld = F.when((F.col("n_left") == 0) | (F.col("n_right") == 0), "terminal").when(F.col("n_valid") < least, "too_few").otherwise("")
     return found.withColumn("withheld", withheld).drop("n_left", "n_right")
+
+
+def side_replicates(cell_sums: DataFrame, segments: DataFrame, membership: DataFrame, weights: DataFrame, replicates: int) -> DataFrame:
+    """source, chrom, seg, side, rep, n_cells, terminal, delta, srd, zero_pair for both sides of every segment; rep 0 is what is observed.
+
+    cell_sums: source, cell, chrom, seg, x without zeros; segments: source, chrom, seg, n.  Every replicate has
+    every segment, so one without signal stays the neighbour that it is.  All is drawn as a source of its own.
+    """
+    draws = weights.select("source", "cell", "rep", "w").union(membership.select("source", "cell", F.lit(0).alias("rep"), F.lit(1).cast("long").alias("w")))
+    sums = cell_sums.join(draws, ["source", "cell"]).groupBy("source", "rep", "chrom", "seg").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
+    grid = segments.join(membership.groupBy("source").agg(F.count("*").alias("n_cells")), "source").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    rows = grid.join(sums, ["source", "rep", "chrom", "seg"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)) / F.col("n_cells"))
+    order = W.partitionBy("source", "rep", "chrom").orderBy("seg")
+    sides = [F.struct(F.lit(side).alias("side"), f("y").over(order).alias("y"), f("n").over(order).alias("n")) for side, f in (("left", F.lag), ("right", F.lead))]
+    rows = rows.withColumn("flanks", F.array(*sides)).withColumn("r", F.explode("flanks"))
+    delta, srd = log2_ratio(F.col("y") / F.col("n"), F.col("r.y") / F.col("r.n")), signed_srd(F.col("y"), F.col("n"), F.col("r.y"), F.col("r.n"))
+    terminal = F.col("r.n").isNull()
+    return rows.select(*PLACE, "seg", "r.side", "rep", "n_cells", terminal.alias("terminal"), delta.alias("delta"), F.when(~terminal, srd).alias("srd"), F.coalesce((F.col("y") == 0) & (F.col("r.y") == 0), F.lit(False)).alias("zero_pair"))
+
+
+def side_summary(rows: DataFrame) -> DataFrame:
+    """Per segment and side of side_replicates: z_boot = observed delta / its standard error and why it is withheld, whether both totals are zero, and delta's and srd's standard errors, intervals and sign agreement.
+
+    se and z_boot need a delta in every replicate; the se_, low_, high_ and agree_ columns use those that have one, two at least.
+    """
+    again = F.col("rep") > 0
+    found = {"n_missing": F.count_if(again & F.col("delta").isNull()), "n_cells": F.first("n_cells"), "terminal": F.first("terminal"), "zero_pair": F.max(F.when(~again, F.col("zero_pair")))}
+    for name in ("delta", "srd"):
+        v, sign = F.when(again, F.col(name)), F.signum(F.when(again, F.col(name)))
+        found |= {name: F.max(F.when(~again, F.col(name))), f"se_{name}": F.stddev_samp(v), f"low_{name}": F.percentile(v, F.lit(0.025)), f"high_{name}": F.percentile(v, F.lit(0.975)), f"n_{name}": F.count(v), f"up_{name}": F.count_if(sign > 0), f"down_{name}": F.count_if(sign < 0)}
+    out = rows.groupBy(*PLACE, "seg", "side").agg(*[c.alias(k) for k, c in found.items()])
+    for name in ("delta", "srd"):
+        n, up, down = (F.col(f"{k}_{name}") for k in ("n", "up", "down"))
+        alike = F.when(F.col(name) > 0, up).when(F.col(name) < 0, down).when(F.col(name) == 0, n - up - down)
+        out = out.withColumns({f"agree_{name}": F.when(n > 1, alike / n), **{f"{k}_{name}": F.when(n > 1, F.col(f"{k}_{name}")) for k in ("se", "low", "high")}})
+    withheld = F.when(F.col("terminal"), "terminal_flank_missing").when(F.col("n_cells") < 2, "too_few_cells").when(F.col("n_missing") > 0, "nonfinite_replicates").when(F.col("se_delta") == 0, "zero_bootstrap_variance").otherwise("")
+    out = out.withColumn("withheld", withheld).withColumn("z_boot", F.when(F.col("withheld") == "", F.col("delta") / F.col("se_delta")))
+    return out.withColumn("se", F.when(F.col("withheld").isin("", "zero_bootstrap_variance"), F.col("se_delta")))

@@ -191,6 +191,16 @@ _UNCERTAIN = "source chrom:i seg:i n_valid:i se_left:r se_right:r covariance:r w
 _UNCERTAINTY = " SELECT source, chrom, seg, count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) AS n_valid, stddev_samp(delta_left) AS se_left, stddev_samp(delta_right) AS se_right, covar_samp(delta_left, delta_right) AS covariance, CASE WHEN count(delta_left) = 0 OR count(delta_right) = 0 THEN 'terminal' WHEN count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) < 10 THEN 'too_few' ELSE '' END AS withheld FROM deltas GROUP BY ALL"
 query("b8_flank_uncertainty", _UNCERTAIN, _FLANKS + _UNCERTAINTY)(lambda g: resample.flank_uncertainty(_replicates(g)))
 query("b8_flank_uncertainty_whole", _UNCERTAIN, _WHOLE_FLANKS + _UNCERTAINTY)(lambda g: resample.flank_uncertainty(_replicates(g, REPLICATES)))
+
+
+def _side_summary(g: Genome) -> DataFrame:
+    sizes = labelled(g).groupBy(*PLACE, "seg").agg(F.count("*").alias("n"))
+    sums = g.with_sources(g.signal).join(labelled(g).select("source", "g", "seg"), ["source", "g"]).groupBy(*PLACE, "seg", "cell").agg(F.sum("x").alias("x"))
+    return resample.side_summary(resample.side_replicates(sums, sizes, g.membership, resample.bootstrap_weights(g.membership, REPLICATES), REPLICATES))
+
+
+query("b7_flank_z", "source chrom:i seg:i side delta:r se:r z_boot:r n_missing:i zero_pair withheld")(_side_summary)
+query("b9_screen_bootstrap", "source chrom:i seg:i side delta:r se_delta:r low_delta:r high_delta:r agree_delta:r srd:r se_srd:r low_srd:r high_srd:r agree_srd:r")(lambda g: _side_summary(g).where("NOT terminal"))
 query("b4_bootstrap_weights", "source rep:i cell:i w:i", f"{_draws(20)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, 20))
 query("b4_bootstrap_weights_whole", "source rep:i cell:i w:i", f"{_draws(REPLICATES)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, REPLICATES))
 _DRAWN = "('0x' || substr(md5('42:' || p.source || ':' || p.chrom || ':' || p.i), 1, 8))::BIGINT"
