@@ -6,12 +6,13 @@ found among the windows of one anchor, and neighbouring windows mostly share the
 windows with one anchor is a run, and runs are all that is shuffled, never all suffixes.
 
 Deciding.  Runs whose anchor is met nowhere else hold no repeat.  Runs with equal bytes are repeats as
-they are.  What is left are runs with a common anchor and unlike bytes.  For each anchor the suffixes
-that start at it, and the reversed prefixes that end there, are sorted: by multikey quicksort to a
-shallow depth, and by blind tries below it.  Common prefixes of sorted neighbours tell how far each
-pair agrees on either side of the anchor.  Anchors with more than HOT unlike runs are decided by counting
-instead, which Spark combines before it shuffles: windows are taken in blocks of neighbours, a block whose
-common part is met once holds no repeat, one whose bytes are met twice is a repeat, and the rest is split.
+they are.  What is left are runs with a common anchor and unlike bytes.  The suffixes that start at the
+anchors are range-partitioned by anchor and bytes, and so are the reversed prefixes that end there; a task
+sorts its own by multikey quicksort to a shallow depth, and by blind tries below it.  Neighbours in
+either order, those across the ends of partitions too, are compared on both sides of the anchor.  The
+longest prefix shared with a neighbour bounds what any other run can share, so a window beyond either
+bound is met once; a window that some neighbour shares is a repeat.  The few windows between are
+compared by a hash of their bytes.  Each run takes two rows however many others share its anchor.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, cut, runs
 
-GRAM, HOT, SHALLOW, BLOCK = 32, 256, 64, 256
+GRAM, SHALLOW = 32, 64
 #: Bytes of a text whose anchors are found at a time; positions within fit in 24 bits.
 SEGMENT = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -152,24 +154,30 @@ def deep_shallow_order(strings: list[bytes], letter: int = 8) -> list[int]:
     return out
 
 
-def agreements(strings: list[bytes]) -> np.ndarray:
-    """How many first bytes each pair of strings shares, from the common prefixes of sorted neighbours."""
-    order = deep_shallow_order(strings)
-    shared = np.array([common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:])], np.int32)
-    out = np.zeros((len(strings),) * 2, np.int32)
-    order = np.array(order)
-    for k in range(len(shared)):
-        out[order[k], order[k + 1 :]] = np.minimum.accumulate(shared[k:])
-    return np.maximum(out, out.T)
+def neighbours(a: list[bytes], b: list[bytes]) -> tuple[list[int], list[tuple[int, int]]]:
+    """The items in the order of a, equal ones by b, and how many first bytes of a and of b each shares with the next."""
+    order, lo = [], 0
+    by_a = deep_shallow_order(a)
+    while lo < len(by_a):
+        hi = lo + 1
+        while hi < len(by_a) and a[by_a[hi]] == a[by_a[lo]]:
+            hi += 1
+        same = by_a[lo:hi]
+        order += [same[k] for k in deep_shallow_order([b[i] for i in same])] if hi - lo > 1 else same
+        lo = hi
+    return order, [(common_prefix(a[i], a[j]), common_prefix(b[i], b[j])) for i, j in zip(order, order[1:])]
 
 
-def repeated_sides(strings: list[bytes], anchors: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes before and from its anchor that repeated windows of each string cover."""
-    before = agreements([s[:a][::-1] for s, a in zip(strings, anchors)])
-    after = agreements([s[a:] for s, a in zip(strings, anchors)])
-    enough = before + after >= window
-    np.fill_diagonal(enough, False)
-    return np.where(enough, before, 0).max(1), np.where(enough, after, 0).max(1)
+def decided(pairs: list[tuple[int, int]], window: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Of one run: ranges (before, after) around its anchor that repeated windows cover, and the offsets of windows not decided.
+
+    pairs: bytes before and from the anchor that it shares with others; among them are the longest on either side.
+    A window's offset is how far before its anchor it starts.
+    """
+    sure = [(x, y) for x, y in pairs if x + y >= window]
+    lo, hi = window - max(y for _, y in pairs), max(x for x, _ in pairs)
+    known = {s for x, y in sure for s in range(window - y, x + 1)}
+    return sure, [s for s in range(max(lo, 0), hi + 1) if s not in known]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -183,7 +191,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
-    """text_id, first_id and, per text with runs to look at, what to do with each: lists of anchor, content, whether its bytes are repeated, and to which search they go (0 none, 1 sorting, 2 counting)."""
+    """t, text_id, first_id and, per text with runs to look at, what to do with each: lists of anchor, content, whether its bytes are repeated, and whether it is sorted among unlike ones."""
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, contents, counts = [], [], []
@@ -211,42 +219,117 @@ def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
     unlike = cut(found.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min("t").alias("owner")), "contents")
     sorts = cut(unlike.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
     unlike = cut(unlike.join(sorts, "key").where("n > 1 OR kinds > 1"), "contents")
-    search = F.when((F.col("kinds") == 1) | (F.col("owner") != F.col("t")), 0).when(F.col("kinds") <= HOT, 1).otherwise(2)
-    todo = found.join(unlike.withColumnRenamed("n", "total"), ["key", "content"]).select("t", "key", "content", (F.col("total") > 1).alias("repeated"), search.alias("search"))
-    todo = todo.where("repeated OR search > 0").groupBy("t").agg(F.collect_list(F.struct("key", "content", "repeated", "search")).alias("todo"))
-    return cut(copies.join(cut(todo, "todo"), "t").select("text_id", "first_id", "todo"), "todo")
+    sort = (F.col("kinds") > 1) & (F.col("owner") == F.col("t"))
+    todo = found.join(unlike.withColumnRenamed("n", "total"), ["key", "content"]).select("t", "key", "content", (F.col("total") > 1).alias("repeated"), sort.alias("sort"))
+    todo = todo.where("repeated OR sort").groupBy("t").agg(F.collect_list(F.struct("key", "content", "repeated", "sort")).alias("todo"))
+    return cut(copies.join(cut(todo, "todo"), "t").select("t", "text_id", "first_id", "todo"), "todo")
 
 
-def repeated_blocks(rows: DataFrame, window: int) -> DataFrame:
-    """text_id, lo and hi of the repeated windows among runs (key, text_id, lo, anchor, bytes) with unlike bytes.
+SIDE = "side int, key long, t long, lo long, a binary, b binary"
+FACTS = "t long, lo long, anchor long, before int, after int"
+NEAR = FACTS + ", side int, key long, part int, at_end boolean, a binary, b binary"
 
-    A window's offset is how far before its anchor it starts; equal windows have equal offsets.  Blocks
-    are ranges of offsets: first of up to BLOCK, then of a quarter of that, down to single windows.
-    """
-    size, done = BLOCK, []
-    while size:
-        n = F.octet_length("bytes") - window + 1
-        first = F.explode(F.sequence(F.floor(F.greatest(F.col("anchor") - n + 1, F.lit(0)) / size), F.floor(F.col("anchor") / size)))
-        blocks = rows.withColumn("n", n).withColumn("first", first).withColumn("first", F.col("first") * size)
-        # the block's windows start at bytes p1 to p2; all windows of its offsets share the core
-        blocks = blocks.withColumns({"p1": F.greatest(F.col("anchor") - F.col("first") - size + 1, F.lit(0)), "p2": F.least(F.col("anchor") - F.col("first"), F.col("n") - 1)})
-        core = F.substring("bytes", F.col("anchor") - F.col("first") + 1, F.lit(window - size + 1))
-        blocks = blocks.withColumns({"core": F.md5(core), "part": F.substring("bytes", F.col("p1") + 1, F.col("p2") - F.col("p1") + window), "offset": F.col("anchor") - F.col("p2")})
-        blocks = blocks.withColumn("content", F.md5("part"))
-        shared = cut(blocks.groupBy("key", "first", "core").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "cores")
-        blocks = blocks.withColumn("at", F.struct("text_id", (F.col("lo") + F.col("p1")).alias("lo")))
-        equal = blocks.groupBy("key", "offset", "content").agg(F.count("*").alias("k"), F.min("at").alias("speaker")).where("k > 1").drop("k")
-        blocks = blocks.join(shared, ["key", "first", "core"], "left_semi").join(cut(equal, "equal-blocks"), ["key", "offset", "content"], "left")
-        # equal blocks are repeats; one of them goes on, for blocks that share a part of its windows
-        goes_on = F.col("speaker").isNull() | (F.col("speaker") == F.col("at"))
-        blocks = blocks.select("key", "text_id", "at.lo", (F.col("anchor") - F.col("p1")).alias("anchor"), F.when(goes_on, F.col("part")).alias("bytes"), F.col("speaker").isNotNull().alias("repeated"), (F.col("lo") + F.col("p2") + window).alias("hi"))
-        blocks = cut(blocks, "blocks")
-        done.append(blocks.where("repeated").select("text_id", "lo", "hi"))
-        rows, size = blocks.where("bytes IS NOT NULL").drop("hi", "repeated"), size // 4
-    found = done[0]
-    for more in done[1:]:
-        found = found.union(more)
-    return found
+
+def near_in_order(unlike: DataFrame) -> DataFrame:
+    """FACTS: bytes shared with the neighbours in either order, for runs (key, t, lo, anchor, bytes) with unlike bytes."""
+    def both_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, t, lo, anchor, data in zip(*[batch.column(c).to_pylist() for c in ("key", "t", "lo", "anchor", "bytes")]):
+                before, after = data[:anchor][::-1], data[anchor:]
+                rows += [(0, key, t, lo, after, before), (1, key, t, lo, before, after)]
+            columns = [*zip(*rows)] or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])], ["side", "key", "t", "lo", "a", "b"])
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), None
+        first = True
+        for group in runs(batches, ["side", "key"]):
+            side, key = group.column("side")[0].as_py(), group.column("key")[0].as_py()
+            t, lo, a, b = (group.column(c).to_pylist() for c in ("t", "lo", "a", "b"))
+            order, shared = neighbours(a, b)
+            facts = [(order[k + d], x, y) for k, (x, y) in enumerate(shared) for d in (0, 1)]
+            rows = [(t[i], lo[i], len(a[i] if side else b[i]), *((x, y) if side else (y, x)), side, key, part, None, None, None) for i, x, y in facts]
+            # what stands at the partition's ends is compared with the next partition's later
+            ends = [(i, at_end) for i, at_end in ((order[0], False), (order[-1], True))]
+            ends = [(t[i], lo[i], len(a[i] if side else b[i]), None, None, side, key, part, at_end, a[i], b[i]) for i, at_end in ends]
+            if first:
+                rows.append(ends[0])
+            first = False
+            yield near_batch(rows)
+            last = ends[1]
+        if last:
+            yield near_batch([last])
+
+    sides = unlike.mapInArrow(both_sides, SIDE)
+    near = sides.repartitionByRange("side", "key", "a", "b").sortWithinPartitions("side", "key").mapInArrow(ordered, NEAR)
+    near = cut(near, "neighbours")
+    # partition numbers alone come to the driver: one for each task
+    parts = sorted(r.part for r in near.where("at_end").select("part").collect())
+    if len(parts) < 2:
+        return near.where("at_end IS NULL").select("t", "lo", "anchor", "before", "after")
+    following = near.sparkSession.createDataFrame([*zip(parts, parts[1:])], "part int, next int")
+    ends = near.where("at_end").join(F.broadcast(following), "part").select("side", "key", F.col("next").alias("part"), *[F.col(c).alias(f"{c}1") for c in ("t", "lo", "anchor", "a", "b")])
+    starts = near.where("NOT at_end").select("side", "key", "part", "t", "lo", "anchor", "a", "b")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x, y = common_prefix(r["a"], r["a1"]), common_prefix(r["b"], r["b1"])
+                shared = (x, y) if r["side"] else (y, x)
+                out += [(r["t"], r["lo"], r["anchor"], *shared), (r["t1"], r["lo1"], r["anchor1"], *shared)]
+            columns = [*zip(*out)] or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2)], ["t", "lo", "anchor", "before", "after"])
+
+    met = starts.join(ends, ["side", "key", "part"]).mapInArrow(across, FACTS)
+    return near.where("at_end IS NULL").select("t", "lo", "anchor", "before", "after").union(met)
+
+
+def near_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    columns = [*zip(*rows)] or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], ["t", "lo", "anchor", "before", "after", "side", "key", "part", "at_end", "a", "b"])
+
+
+def repeats_among(unlike: DataFrame, window: int) -> DataFrame:
+    """t, lo and hi of repeated windows among runs (key, t, lo, anchor, bytes) with unlike bytes."""
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, lo, anchor, pairs in zip(*[batch.column(c).to_pylist() for c in ("t", "lo", "anchor", "pairs")]):
+                sure, unsure = decided([(p["before"], p["after"]) for p in pairs], window)
+                middle = lo + anchor
+                out += [(t, lo, x, y, None) for x, y in merged([(middle - x, middle + y) for x, y in sure])]
+                if unsure:
+                    out.append((t, lo, None, None, unsure))
+            columns = [*zip(*out)] or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64()] * 4 + [pa.list_(pa.int32())])], ["t", "run", "lo", "hi", "offsets"])
+
+    facts = near_in_order(unlike)
+    pairs = facts.groupBy("t", "lo", "anchor").agg(F.collect_list(F.struct("before", "after")).alias("pairs"))
+    # a run whose bounds leave no room for a window holds no repeat
+    room = F.array_max("pairs.before") + F.array_max("pairs.after") >= window
+    found = cut(pairs.where(room).mapInArrow(judged, "t long, run long, lo long, hi long, offsets array<int>"), "judged")
+    sure = found.where("offsets IS NULL").select("t", "lo", "hi")
+    unsure = found.where("offsets IS NOT NULL").select("t", F.col("run").alias("lo"), "offsets")
+    if unsure.isEmpty():
+        return sure
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, t, lo, anchor, data, offsets in zip(*[batch.column(c).to_pylist() for c in ("key", "t", "lo", "anchor", "bytes", "offsets")]):
+                out += [(key, s, xxhash.xxh3_128_digest(data[anchor - s : anchor - s + window]), t, lo + anchor - s) for s in offsets if s <= anchor and anchor - s + window <= len(data)]
+            columns = [*zip(*out)] or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])], ["key", "offset", "hash", "t", "lo"])
+
+    wanted = unlike.select("key", "t", "lo").join(unsure, ["t", "lo"]).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("offsets"))).alias("offsets"))
+    windows = unlike.join(cut(wanted, "wanted"), "key").mapInArrow(hashed, "key long, offset int, hash binary, t long, lo long")
+    windows = cut(windows, "windows")
+    same = ["key", "offset", "hash"]
+    twice = cut(windows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same), "twice")
+    return sure.union(windows.join(twice, same, "left_semi").select("t", "lo", (F.col("lo") + window).alias("hi")))
 
 
 def repeats(texts: DataFrame, window: int) -> DataFrame:
@@ -254,46 +337,36 @@ def repeats(texts: DataFrame, window: int) -> DataFrame:
     todo = repeated_runs(texts, window)
 
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "key", "text_id", "lo", "anchor", "bytes"]
-        types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["key", "t", "lo", "anchor", "hi", "bytes"]
+        types = [pa.int64()] * 5 + [pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text_id, text, first_id, todo in zip(*[batch.column(c) for c in ("doc_id", "text_id", "raw", "first_id", "todo")]):
+            for doc_id, t, text, first_id, todo in zip(*[batch.column(c) for c in ("doc_id", "t", "raw", "first_id", "todo")]):
                 if doc_id.as_py() != first_id.as_py():
                     continue
-                text, text_id, spans = text.as_py(), text_id.as_py(), []
-                do = {(x["key"], x["content"]): (x["repeated"], x["search"]) for x in todo.as_py()}
+                text, t, spans = text.as_py(), t.as_py(), []
+                do = {(x["key"], x["content"]): (x["repeated"], x["sort"]) for x in todo.as_py()}
                 known = {k for k, _ in do}
                 for key, anchor, lo, n in anchored_runs(text, window):
                     if key not in known:
                         continue
                     data = text[lo : lo + n + window - 1]
-                    repeated, search = do.get((key, content(data)), (False, 0))
+                    repeated, sort = do.get((key, content(data)), (False, False))
                     if repeated:
                         spans.append((lo, lo + n + window - 1))
-                        do[key, content(data)] = (True, 0)  # the first of equal ones speaks for them
-                    if search:
-                        rows.append((search, key, text_id, lo, anchor - lo, data))
-                rows += [(0, 0, text_id, lo, hi, None) for lo, hi in merged(spans)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-
-    def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["key"]):
-            strings, anchors = group.column("bytes").to_pylist(), group.column("anchor").to_pylist()
-            before, after = repeated_sides(strings, anchors, window)
-            at = np.flatnonzero(after > 0)
-            middle = group.column("lo").to_numpy()[at] + np.array(anchors)[at]
-            yield pa.RecordBatch.from_arrays([group.column("text_id").combine_chunks().take(pa.array(at)), pa.array(middle - before[at]), pa.array(middle + after[at])], ["text_id", "lo", "hi"])
-
-    chosen = texts.join(todo.hint("shuffle_hash"), "text_id").select("doc_id", "text_id", F.col("text").cast("binary").alias("raw"), "first_id", "todo")
-    chosen = chosen.mapInArrow(selected, "kind int, key long, text_id string, lo long, anchor long, bytes binary")
+                        do[key, content(data)] = (True, False)  # the first of equal ones speaks for them
+                    if sort:
+                        rows.append((key, t, lo, anchor - lo, None, data))
+                rows += [(None, t, lo, None, hi, None) for lo, hi in merged(spans)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(types)], names)
+
+    chosen = texts.join(todo.hint("shuffle_hash"), "text_id").select("doc_id", "t", F.col("text").cast("binary").alias("raw"), "first_id", "todo")
+    chosen = chosen.mapInArrow(selected, "key long, t long, lo long, anchor long, hi long, bytes binary")
     chosen = cut(chosen, "chosen")
-    whole = chosen.where("kind = 0").select("text_id", "lo", F.col("anchor").alias("hi"))
-    sorting = chosen.where("kind = 1").select("key", "text_id", "lo", "anchor", "bytes").repartition("key").sortWithinPartitions("key")
-    partly = sorting.mapInArrow(sorted_out, "text_id string, lo long, hi long")
-    counted = repeated_blocks(chosen.where("kind = 2").select("key", "text_id", "lo", "anchor", "bytes"), window)
-    spans = whole.union(partly).union(counted)
-    return cut(spans.groupBy("text_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    unlike = chosen.where("key IS NOT NULL").select("key", "t", "lo", "anchor", "bytes")
+    spans = chosen.where("key IS NULL").select("t", "lo", "hi").union(repeats_among(unlike, window))
+    spans = cut(spans.groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    return cut(spans.join(todo.select("t", "text_id"), "t").select("text_id", "spans"), "spans")
 
 
 def suffix_dedup(docs: DataFrame, window: int = 400, keep_text: bool = False, keep_columns: bool = False) -> DataFrame:
@@ -343,6 +416,7 @@ s AS (SELECT doc_id, min(p) AS lo, max(p) + 400 AS hi FROM (SELECT *, sum(o) OVE
   FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS o FROM r)) GROUP BY doc_id, g),
 e AS (SELECT doc_id, lo, hi FROM s UNION ALL SELECT doc_id, n, n FROM d),
 k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (lo - a)), '' ORDER BY lo, hi) AS kept FROM (SELECT e.*, d.h, coalesce(lag(hi) OVER (PARTITION BY e.doc_id ORDER BY lo, hi), 0) AS a FROM e JOIN d USING (doc_id)) GROUP BY doc_id)
-SELECT d.doc_id, d.n AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(k.kept)) AS kept_sha256
+SELECT d.doc_id, d.n AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(k.kept)) AS kept_sha256,
+  decode(unhex(array_to_string(list_filter(regexp_extract_all(k.kept, '[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].|..'), lambda x: len(x) > 2 OR x < '80'), ''))) AS kept_text
 FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM s GROUP BY doc_id) AS c USING (doc_id)
 """

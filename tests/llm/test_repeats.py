@@ -42,13 +42,35 @@ def texts():
     return [*out, out[7], out[7], out[8][:450], out[8][1000:1380], out[20], out[7][100:900] + out[7][100:900]]
 
 
-@pytest.mark.parametrize("hot", [256, 3])
-def test_suffix_dedup(spark, texts, hot, monkeypatch):
-    monkeypatch.setattr(sd, "HOT", hot)
+@pytest.mark.parametrize("window", [400, 200])
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_suffix_dedup(spark, texts, window, coalesced):
+    # without coalescing, the runs of one anchor are sorted in several tasks
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, kind int").repartition(4)
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesced)
+    try:
+        got = {r.doc_id: tuple(r[1:]) for r in sd.suffix_dedup(df, window).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == dict(enumerate(brute(texts, window)))
+
+
+def test_hot_anchor(spark):
+    """One passage, a little under and over the window, in hundreds of unlike contexts with few letters."""
+    rng = random.Random(12)
+    passages = [prose(rng, n) for n in (396, 399, 405)]
+    texts = ["".join(rng.choices("ab", k=rng.randint(0, 9))) + rng.choice(passages) + "".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(500)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
     got = {r.doc_id: tuple(r[1:]) for r in sd.suffix_dedup(df).collect()}
-    want = dict(enumerate(brute(texts, 400)))
-    assert got == want
+    assert got == dict(enumerate(brute(texts, 400)))
+
+
+def test_decided():
+    assert sd.decided([(300, 150), (200, 250)], 400) == ([(300, 150), (200, 250)], [201, 202, 203, 204, 205, 206, 207, 208, 209, 210, 211, 212, 213, 214, 215, 216, 217, 218, 219, 220, 221, 222, 223, 224, 225, 226, 227, 228, 229, 230, 231, 232, 233, 234, 235, 236, 237, 238, 239, 240, 241, 242, 243, 244, 245, 246, 247, 248, 249])
+    assert sd.decided([(100, 200)], 400) == ([], [])
+    assert sd.decided([(0, 400), (0, 20)], 400) == ([(0, 400)], [])
 
 
 def test_suffix_odd_rows(spark):
@@ -76,12 +98,12 @@ def test_deep_shallow_order():
     strings = [stem[: rng.randint(0, 300)] + bytes(rng.choices(b"ab", k=rng.randint(0, 20))) for _ in range(400)] + [b"", b"", stem, stem]
     order = sd.deep_shallow_order(strings)
     assert sorted(order) == [*range(len(strings))] and [strings[i] for i in order] == sorted(strings)
-    some = strings[:60]
-    shared = sd.agreements(some)
-    for i in range(60):
-        for j in range(60):
-            if i != j:
-                assert shared[i, j] == next((k for k, (x, y) in enumerate(zip(some[i], some[j])) if x != y), min(len(some[i]), len(some[j])))
+    other = [bytes(rng.choices(b"ab", k=rng.randint(0, 5))) for _ in strings]
+    order, shared = sd.neighbours(strings, other)
+    assert [(strings[i], other[i]) for i in order] == sorted(zip(strings, other))
+    for (i, j), (x, y) in zip(zip(order, order[1:]), shared):
+        assert strings[i][:x] == strings[j][:x] and strings[i][x : x + 1] != strings[j][x : x + 1] or strings[i] == strings[j] and x == len(strings[i])
+        assert other[i][:y] == other[j][:y] and (other[i][y : y + 1] != other[j][y : y + 1] or other[i] == other[j])
 
 
 @pytest.fixture(scope="module")
