@@ -9,20 +9,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import tiktoken
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-from .pretokens import PATTERN, vocabulary
+from .common import bounded_batches, slices
+from .pretokens import known_words, vocabulary
+
+#: Distinct pre-tokens whose ids a worker remembers, and characters of text encoded at a time.
+REMEMBERED, CHUNK = 700_000, 4 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CUT_SCHEMA = "doc_id long, doc_tokens long, full_crcs array<long>, tail binary"
+CUT_SCHEMA = "doc_id long, doc_tokens long, full_crcs array<long>, tail binary, deal long"
 
 
 class Capacities:
@@ -104,28 +108,34 @@ def pack(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-@lru_cache(2)
-def encoder(path: str) -> tiktoken.Encoding:
-    """The ids of the tokenizers file: in byte-level BPE files an id is also its merge's rank."""
-    v = vocabulary(path)
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens=v.special)
-
-
 def cut_documents(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
-    """Per document its number of ids, the CRCs of its full sequences, and the ids of its tail as little-endian 32-bit integers."""
+    """Per document its number of ids, the CRCs of its full sequences, and the ids of its tail as little-endian 32-bit integers; and a number to deal it by.
+
+    The number is a hash of the id and the tail, and of which such row in the task it is: repeated rows are
+    dealt apart, and a task that is run again deals as before, in whatever order it gets its rows.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = encoder(path).encode_to_numpy, 4 * length
+        split, known, width = vocabulary(path).split, known_words(path, REMEMBERED), 4 * length
+        end, seen, part = end_id.to_bytes(4, "little"), {}, TaskContext.get().partitionId()
         for batch in batches:
-            tokens, crcs, tails = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.append(encode(text, allowed_special="all"), end_id).astype("<u4")
-                raw, full = ids.tobytes(), len(ids) // length
-                tokens.append(len(ids))
-                crcs.append([zlib.crc32(raw[i * width : (i + 1) * width]) for i in range(full)])
-                tails.append(raw[full * width :])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "doc_tokens", "full_crcs", "tail"])
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            tokens, crcs, tails, deals = [], [], [], []
+            for lo, hi in slices([len(t) for t in texts], CHUNK):
+                words = [split(t) for t in texts[lo:hi]]
+                known.meet(chain.from_iterable(words))
+                for doc_id, each in zip(ids[lo:hi], words):
+                    raw = b"".join(map(known.ids.__getitem__, each)) + end
+                    full = len(raw) // width
+                    tokens.append(len(raw) // 4)
+                    crcs.append([zlib.crc32(raw[i * width : (i + 1) * width]) for i in range(full)])
+                    tails.append(raw[full * width :])
+                    row = xxhash.xxh64_intdigest(b"%r %d " % (doc_id, full) + tails[-1])
+                    seen[row] = seen.get(row, 0) + 1
+                    deals.append(xxhash.xxh64_intdigest(b"%d %d %d" % (row, part, seen[row])) >> 1)
+            columns = [pa.array(c, x) for c, x in ((tokens, pa.int64()), (crcs, pa.list_(pa.int64())), (tails, pa.binary()), (deals, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "doc_tokens", "full_crcs", "tail", "deal"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, CUT_SCHEMA)
 
@@ -134,12 +144,13 @@ def pack_documents(docs: DataFrame, path: str, length: int = 1024, end_id: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of a document, the end id after its text included, lies in one piece.  Groups are drawn
-    by a hash of doc_id, so a retried task deals its rows as before.  Null and empty texts are the end
-    id alone; null doc_ids are dealt by their length; repeated rows are packed each; other columns are not read.
+    by hashes, rows with one id or none and repeated rows apart too.  Null and empty texts are the end
+    id alone; a null doc_id stays null; repeated rows are packed each; other columns are not read.  A text
+    of any length is encoded whole.
     """
     groups = max(1, -(-docs.count() // docs_per_group))
     tails = cut_documents(docs, path, length, end_id)
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", "doc_tokens")), F.lit(groups))
+    spread = F.pmod(F.xxhash64(F.lit(seed), "deal"), F.lit(groups))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "doc_tokens", "tail"], kind="stable").reset_index(drop=True)

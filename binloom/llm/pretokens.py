@@ -1,20 +1,31 @@
 """Splits texts into the pre-tokens of a byte-level BPE vocabulary file, as the tokenizers library does.
 
-Pre-tokens are found with the pattern of byte-level BPE.  For characters on which the installed
-Unicode tables may differ, the library's own splitter is asked, so the split is always the library's.
+Pre-tokens are found with the pattern of byte-level BPE: over Latin letters with classes spelled out,
+which the standard library's `re` matches fastest, over other settled characters with `regex`.  For
+characters on which the installed Unicode tables may differ, the library's own splitter is asked, so
+the split is always the library's.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
+from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Fixed value: the pattern that splits text before the merges of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _find = regex.compile(PATTERN).findall
+#: Letters and numbers below U+02B0.
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_find_latin = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")).findall
+#: Anything beside ASCII, Latin letters and common punctuation; white space other than ASCII's too, on which libraries differ.
+_beyond_latin = re.compile("[^\t-\r -~\xa1-\u02af\u2010-\u2027\u2030-\u205e]").search
 #: Anything outside blocks whose letters and numbers have long been settled.
 _unsettled = regex.compile("[^\x00-՗‐- ₠-₿　-〿ぁ-ゖァ-ヺ一-鿯가-힣]").search
 _library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
@@ -57,6 +68,8 @@ class Vocabulary:
 
 
 def split_plain(text: str) -> list[str]:
+    if _beyond_latin(text) is None:
+        return _find_latin(text)
     if _unsettled(text) is None:
         return _find(text)
     return [text[a:b] for _, (a, b) in _library.pre_tokenize_str(text)]
@@ -74,3 +87,29 @@ def tokenizer(path: str) -> Tokenizer:
     found.no_truncation()
     found.no_padding()
     return found
+
+
+def encoded(words: list[str], path: str) -> list[list[int]]:
+    """The ids of each word (a pre-token or a special token) by the tokenizers library."""
+    # the worker's other core belongs to another task: no threads of the library's own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return [found.ids for found in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+
+class KnownWords:
+    """The ids of the distinct pre-tokens that a worker has met, as little-endian 32-bit integers; the table is bounded and starts anew when full."""
+
+    def __init__(self, path: str, most: int):
+        self.path, self.most, self.ids = path, most, {}
+
+    def meet(self, words: Iterable[str]) -> None:
+        """Looks up the words' ids, once for each distinct word."""
+        if len(self.ids) > self.most:
+            self.ids.clear()
+        new = list(set(words) - self.ids.keys())
+        self.ids.update(zip(new, (np.array(found, "<u4").tobytes() for found in encoded(new, self.path))))
+
+
+@lru_cache(2)
+def known_words(path: str, most: int) -> KnownWords:
+    return KnownWords(path, most)

@@ -18,7 +18,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     None, "", " ", "a", "The quick  brown fox's\n\n\n jumps", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 40, "x" * 3000, "ab" * 2500,
     "<|endoftext|>", "one<|endoftext|> two <|endoftext|>", "naïve Öl ñandú – “quotes” … 漢字 かな 한국어 🙂🙂 ՘꟎\U00010940", "\t\r\n  tabs \x1c\x85  end ",
-    "word " * 4000, "12345 67 ½ ² III", "same", "same",
+    "it's we'll THEY'D 'tis ''re x\u2019s a_b __ \u00b2\u00bd3 \u00aa\u00b5\u00ba \u02af\u0250 \u00d7\u00f7", "word " * 4000, "12345 67 ½ ² III", "same", "same",
 ]
 
 
@@ -85,6 +85,28 @@ def test_packing(docs, ids, per_group):
         assert at <= 1024 and at & (at - 1) == 0  # no padding at powers of two
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "\u00e9 " * 700_000])
+def test_megabytes(spark, text):
+    """Counts, ids and packing of one long run agree with each other and with the library."""
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in count_tokens(df, PATH).collect()}[1] == len(want)
+    raw = {r.doc_id: r.ids_sha256 for r in encode_and_decode(df, PATH).collect()}
+    assert raw[1] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+    pieces = sorted(tuple(r) for r in pack_documents(df, PATH).where("doc_id = 1").select("start", "length", "ids_crc32").collect())
+    ids = np.array([*want, 0], "<u4")
+    assert sum(n for _, n, _ in pieces) == len(ids) and all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in pieces)
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    from binloom.llm.packing import cut_documents
+
+    rows = cut_documents(spark.createDataFrame([(7, "same")] * 50 + [(None, None)] * 50, "doc_id long, text string").coalesce(1), PATH, 1024, 0).collect()
+    assert len({r.deal for r in rows}) == 100
+    again = cut_documents(spark.createDataFrame([(None, None)] * 50 + [(7, "same")] * 50, "doc_id long, text string").coalesce(1), PATH, 1024, 0).collect()
+    assert sorted((r.doc_id is None, r.deal) for r in rows) == sorted((r.doc_id is None, r.deal) for r in again)
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 100, 300).tolist()
