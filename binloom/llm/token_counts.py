@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -11,29 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices
-from .pretokens import tokenizer, vocabulary
+from .pretokens import encoded, vocabulary
 
 #: Distinct pre-tokens whose piece counts a worker remembers, and text bytes handled at a time.
-REMEMBERED, CHUNK = 400_000, 1 << 20
+REMEMBERED, CHUNK = 1_000_000, 4 << 20
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _counts: dict[str, dict[str, int]] = {}
 
 
-def piece_counts(words: list[str], path: str, known: dict[str, int]) -> None:
-    """Adds to `known` the piece counts of the words it lacks, asking the tokenizer once for each."""
-    new = [w for w in words if w not in known]
-    # the worker's other core belongs to another task: no threads of the library's own
-    found = tokenizer(path).encode_batch_fast(new, add_special_tokens=False) if len(new) > 1 else [tokenizer(path).encode(w, add_special_tokens=False) for w in new]
-    known.update(zip(new, map(len, found)))
+def add_piece_counts(words: set[str], path: str, known: dict[str, int]) -> None:
+    """Adds to `known` the piece counts of the words that it lacks, asking the tokenizer once for each."""
+    new = list(words - known.keys())
+    known.update(zip(new, map(len, encoded(new, path))))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
-    The corpus has nearly as many (document, pre-token) pairs as pre-tokens, so shuffling the
-    frequencies to meet a global table of counts would move more than the texts.  The join is made
-    inside each task: it keeps the counts of the distinct pre-tokens that it has met (a bounded
-    table, shared by the worker's tasks) and looks up the frequencies of its documents there.  Ids are never built.
+    Each document becomes its distinct pre-tokens with their frequencies.  They are joined to a table of
+    piece counts, one for each distinct pre-token, and the products are summed; no document's ids are built.
+    The join is made inside each task, in a bounded table that the worker's tasks share: a document
+    has two thirds as many distinct pre-tokens as pre-tokens, so a shuffled join would write more than the texts.
 
     Null and empty texts have 0 bytes and tokens; a null doc_id stays null; repeated rows give a row
     each; other columns are not read, whatever their names.  A text of any length is handled whole.
@@ -41,23 +40,18 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         split, known = vocabulary(path).split, _counts.setdefault(path, {})
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            n_bytes = batch.column("n_bytes").to_numpy()
             totals = np.zeros(len(texts), np.int64)
-            for lo, hi in slices(n_bytes.tolist(), CHUNK):
-                words = [split(t) for t in texts[lo:hi]]
+            for lo, hi in slices(batch.column("n_bytes").to_pylist(), CHUNK):
+                frequencies = [Counter(split(t)) for t in texts[lo:hi]]
                 if len(known) > REMEMBERED:
                     known.clear()
-                piece_counts(list(set(chain.from_iterable(words)) - known.keys()), path, known)
-                # the join: every pre-token occurrence takes its pre-token's count
-                each = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-                owner = np.repeat(np.arange(lo, hi), [len(w) for w in words])
-                totals += np.bincount(owner, each, len(texts)).astype(np.int64)
+                add_piece_counts(set(chain.from_iterable(frequencies)), path, known)
+                for i, found in enumerate(frequencies, lo):
+                    pieces = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+                    totals[i] = pieces @ np.fromiter(found.values(), np.int64, len(found))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals), pa.array(totals > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
