@@ -12,6 +12,7 @@ from binloom.llm.toxicity import pieces, score_toxicity, word_buckets
 from .test_near_copies import brute
 
 SF, MORE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+WINDOW = 200
 
 
 @pytest.mark.parametrize("target,score,most", [("quality", score_quality, 0.03), ("toxic", score_toxicity, 0.03)])
@@ -52,7 +53,7 @@ def test_words():
 
 def windows(text):
     data = (text or "").encode()
-    return [hash(data[i : i + 400]) for i in range(len(data) - 399)]
+    return [hash(data[i : i + WINDOW]) for i in range(len(data) - WINDOW + 1)]
 
 
 def test_pipeline(spark, tmp_path):
@@ -81,7 +82,7 @@ def test_pipeline(spark, tmp_path):
         gone = bytearray(len(data))
         for i, h in enumerate(windows(r.text)):
             if seen[h] > 1:
-                gone[i : i + 400] = b"\1" * 400
+                gone[i : i + WINDOW] = b"\1" * WINDOW
         assert kept[r.doc_id] == bytes(b for b, g in zip(data, gone) if not g).decode("utf-8", "ignore")
     assert {r.doc_id for r in p.select("doc_id").distinct().collect()} == {r.doc_id for r in a.collect()}
     assert all(r.n_chars == len(r.text) for r in a.collect())
