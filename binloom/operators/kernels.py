@@ -18,6 +18,10 @@ from binloom.plans.rules import RuleSet, evaluate
 from .segments import PLACE, flank_scores, labelled
 
 
+#: Numbers in a block of ad_statistics.
+CELLS = 1 << 18
+
+
 def ad_statistics(x: np.ndarray) -> np.ndarray:
     """The two-sample Anderson-Darling statistic, midrank form for ties, of each split of x; entry b - 1 is the cut before b."""
     n = len(x)
@@ -25,14 +29,20 @@ def ad_statistics(x: np.ndarray) -> np.ndarray:
         return np.zeros(0)
     values, where = np.unique(x, return_inverse=True)
     l = np.bincount(where).astype(float)
+    if len(values) < 2:
+        return np.zeros(n - 1)
     below = np.cumsum(l) - l / 2
-    weight = l / n / (below * (n - below) - n * l / 4) if len(values) > 1 else np.zeros(1)
-    out = np.zeros(n - 1)
-    counts = np.zeros(len(values))
-    for cut in range(1, n):
-        counts[where[cut - 1]] += 1
-        mid = np.cumsum(counts) - counts / 2
-        out[cut - 1] = (weight * (n * mid - cut * below) ** 2).sum() * (1 / cut + 1 / (n - cut)) * (n - 1) / n
+    weight = l / n / (below * (n - below) - n * l / 4)
+    out, counts = np.zeros(n - 1), np.zeros(len(values))
+    step = max(1, CELLS // len(values))
+    for lo in range(0, n - 1, step):  # cuts by the block: a row of counts for each
+        cuts = np.arange(lo + 1, min(lo + step, n - 1) + 1)
+        left = np.zeros((len(cuts), len(values)))
+        left[np.arange(len(cuts)), where[lo : lo + len(cuts)]] = 1
+        left = np.cumsum(left, 0) + counts
+        counts = left[-1].copy()
+        mid = np.cumsum(left, 1) - left / 2
+        out[lo : lo + len(cuts)] = ((n * mid - cuts[:, None] * below) ** 2 @ weight) * (1 / cuts + 1 / (n - cuts)) * (n - 1) / n
     return out
 
 
@@ -107,43 +117,18 @@ def geometry_reasons(start: int, end: int, cut: int, n: int, min_child: int, min
     return out
 
 
-def recursive_breakpoints(profile: DataFrame, k: int = 6, permutations: int = 1000, alpha: float = 0.001, min_child: int = 20, min_terminal: int = 50, seed: int = 42) -> DataFrame:
-    """Recursive segmentation: source, chrom, depth, start, end, bin, ad, p_local, p_global, accepted, reason; one row per candidate looked at.
+def recursive_breakpoints(profile: DataFrame, k: int = 6, permutations: int = 1000, alpha: float = 0.001, min_child: int = 20, min_terminal: int = 50, seed: int = 42, pool: str = "chromosome") -> DataFrame:
+    """Recursive segmentation: source, chrom, depth, start, end, bin, ad, p_local, p_global, accepted, reason; one row per candidate tested, or node without a valid one.
 
     In each node the split with the largest statistic and valid geometry is tested, by permutation in
-    the node first, then against samples of the chromosome; a failed test ends the node.
+    the node first, then against samples of the pool (chromosome or genome); a failed test ends the node.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        x, place = rows["x"].to_numpy(), (rows["source"].iloc[0], int(rows["chrom"].iloc[0]))
-        out, stack, n = [], [(0, len(x), 0)], len(x)
-        while stack:
-            start, end, depth = stack.pop()
-            ad = ad_statistics(x[start:end])
-            found = None
-            for cut in np.argsort(-ad, kind="stable") + 1 + start:
-                reasons = geometry_reasons(start, end, int(cut), n, min_child, min_terminal)
-                if not reasons:
-                    found = int(cut)
-                    break
-            if found is None:
-                out.append((*place, depth, start, end, None, None, None, None, False, "no_valid_candidate"))
-                continue
-            observed = float(ad[found - start - 1])
-            rng = draws(seed, f"{place}:{start}:{end}", permutations)
-            left, right = x[start:found], x[found:end]
-            local = permutation_p(left, right, observed, permutations, rng)
-            overall = permutation_p(left, right, observed, permutations, rng, x) if local < alpha else None
-            accepted = overall is not None and overall < alpha
-            reason = "" if accepted else "p_local" if overall is None else "p_global"
-            out.append((*place, depth, start, end, found, observed, local, overall, accepted, reason))
-            if accepted and depth + 1 < k:
-                stack += [(found, end, depth + 1), (start, found, depth + 1)]
-        frame = pd.DataFrame(out, columns=["source", "chrom", "depth", "start", "end", "bin", "ad", "p_local", "p_global", "accepted", "reason"])
-        return frame.astype({"bin": "Int64"})
-
-    schema = "source string, chrom int, depth int, start long, end long, bin long, ad double, p_local double, p_global double, accepted boolean, reason string"
-    return spread(profile.select(*PLACE, "i", "x"), PLACE).groupBy(*PLACE).applyInPandas(run, schema)
+    from .scan import Settings, candidates
+
+    found = candidates(profile.withColumn("kept", F.lit(True)), pool, Settings(k, permutations, alpha, min_child, min_terminal, seed))
+    reason = F.when(~F.col("tested"), F.col("reasons")).when(F.col("accepted"), "").when(F.col("p_global").isNull(), "p_local").otherwise("p_global")
+    rows = found.where("tested OR rank IS NULL")
+    return rows.select(*PLACE, "depth", F.col("node_start").alias("start"), F.col("node_end").alias("end"), "bin", "ad", "p_local", "p_global", "accepted", reason.alias("reason"))
 
 
 def merge_step(profile: DataFrame, boundaries: DataFrame, rules: RuleSet) -> DataFrame:

@@ -362,7 +362,6 @@ _CURVE = """SELECT source, chrom, cut, any_value(n - 1) / any_value(n) * sum(l /
  FROM (SELECT * FROM profile WHERE source = 'all' AND chrom = 1997 AND i >= 1) AS a JOIN (SELECT *, sum(l) OVER (PARTITION BY source, chrom ORDER BY z) - l / 2 AS ba, sum(l) OVER (PARTITION BY source, chrom) AS n FROM (SELECT source, chrom, x AS z, count(*)::DOUBLE AS l FROM profile GROUP BY ALL)) AS z ON z.source = a.source AND z.chrom = a.chrom
  JOIN profile AS p ON p.source = a.source AND p.chrom = a.chrom AND p.i < a.i GROUP BY ALL) GROUP BY source, chrom, cut"""
 query("g8_ad_curve", "source chrom:i cut:i ad:r", _CURVE)(lambda g: kernels.ad_curves(g.profile.where("source = 'all' AND chrom = 1997")))
-query("g8_ad_curve_whole", "source chrom:i cut:i ad:r")(lambda g: kernels.ad_curves(g.profile))  # its SQL is quadratic in the bins
 query("g11_recursive_breakpoints", "source chrom:i depth:i start:i end:i bin:i ad:r p_local:r p_global:r accepted reason")(lambda g: kernels.recursive_breakpoints(g.profile, permutations=1000, alpha=0.001))
 query("w10_greedy_peaks", "source chrom:i rank:i position:i value:r")(lambda g: kernels.greedy_peaks(kernels.ad_curves(g.profile)))
 query("m4_pooled_phi", "source chrom:i phi:r", "SELECT * FROM phi")(lambda g: segments.pooled_phi(labelled(g)))
@@ -455,7 +454,6 @@ query("n2_genome_noise", "source level n_called:i n_zigzag:i", f"SELECT source,
 query("c2_estimators", "source chrom:i seg:i estimate:r retained:i", "SELECT source, chrom, seg, avg(x) AS estimate, count(*) AS retained FROM lab JOIN (SELECT source, chrom, seg, q1, q3 FROM st) USING (source, chrom, seg) WHERE x >= 0 AND round(x - q3 - 1.5::DOUBLE * (q3 - q1), 9) <= 0 GROUP BY ALL")(
     lambda g: calls.segment_estimates(labelled(g), [*PLACE, "seg"], "iqr_upper")
 )
-query("c1_copy_numbers", "source chrom:i seg:i status best_s:r continuous:r whole:i state:r")(lambda g: calls.copy_numbers(segments.segment_summaries(labelled(g)).select(*PLACE, "seg", "n", "mean"), ["source"]))
 
 # resampling and edits
 
@@ -524,4 +522,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from . import catalog_compare, catalog_review  # noqa: E402,F401  their queries are added to these
+from . import catalog_compare, catalog_recall, catalog_review, catalog_scan  # noqa: E402,F401  their queries are added to these
