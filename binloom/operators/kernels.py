@@ -66,7 +66,7 @@ def permutation_p(left: np.ndarray, right: np.ndarray, observed: float, n: int,
     both = np.unique(np.concatenate([left, right]) if pool is None else pool, return_inverse=True)[1]  # ranks do as well as values
     size, cut, reached = len(left) + len(right), len(left), 0
     for _ in range(n):
-        x = rng.permutation(both)[:size]
+        x = rng.permutation(both) if pool is None else both[rng.choice(len(both), size, replace=False)]
         l = np.bincount(x)
         values = np.flatnonzero(l)
         if len(values) < 2:

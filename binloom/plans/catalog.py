@@ -522,4 +522,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from . import catalog_compare, catalog_prune, catalog_recall, catalog_review, catalog_scan  # noqa: E402,F401  their queries are added to these
+from . import catalog_compare, catalog_experiments, catalog_prune, catalog_recall, catalog_review, catalog_scan  # noqa: E402,F401  their queries are added to these
