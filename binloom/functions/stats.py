@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -36,6 +35,11 @@ def signed_srd(y_t: Column, e_t: Column, y_r: Column, e_r: Column) -> Column:
     return F.when(usable, F.when(y_t + y_r == 0, 0.0).otherwise(root))
 
 
+def zero_pair(y_t: Column, y_r: Column) -> Column:
+    """Both totals are zero: an srd of 0 that says nothing."""
+    return F.coalesce((y_t == 0) & (y_r == 0), F.lit(False))
+
+
 def quartiles(x: str) -> list[Column]:
     """Exact quartiles with linear interpolation, as aggregates."""
     return [F.percentile(x, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
@@ -68,8 +72,3 @@ def guarded_corr(x: str, y: str) -> Column:
     a, b = F.when(paired, F.col(x)), F.when(paired, F.col(y))
     return F.when((F.count(a) >= 3) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
-
-def average_rank(keys: list[str], x: str) -> Column:
-    """Rank of x within the keys' groups; equal values share the mean of their ranks."""
-    order, peers = W.partitionBy(*keys).orderBy(x), W.partitionBy(*keys, x)
-    return F.rank().over(order) + (F.count("*").over(peers) - 1) / 2

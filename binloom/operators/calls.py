@@ -26,6 +26,30 @@ def encode_states(state: Column) -> Column:
     return F.coalesce(F.rint(state * 2).cast("int"), F.lit(NOT_CALLED))
 
 
+#: Drawn where a call is as before.
+UNCHANGED = 254
+
+
+def pixel_code(after: Column, before: Column) -> Column:
+    """after's code, or UNCHANGED for a call that is as before."""
+    return F.when((after == before) & (after != NOT_CALLED), UNCHANGED).otherwise(after)
+
+
+def state_label(code: Column) -> Column:
+    """A code in words."""
+    name = F.when(code < 2, "loss").when(code == 2, "base").otherwise("gain")
+    return F.when(code == NOT_CALLED, "not called").otherwise(F.concat(F.format_number(code / 2, 1), F.lit(" ("), name, F.lit(")")))
+
+
+def noise_by_round(rounds: list[DataFrame], measures: list[str]) -> DataFrame:
+    """source, measure and a column for each round's value; tables by source."""
+    out = None
+    for k, df in enumerate(rounds):
+        long = df.select("source", *[F.col(m).cast("double") for m in measures]).unpivot("source", measures, "measure", f"round{k}")
+        out = long if out is None else out.join(long, ["source", "measure"], "full")
+    return out
+
+
 def five_states(whole: Column, continuous: Column) -> Column:
     """The five-state call from a rounded and a continuous copy number; -1 where the two contradict each other, NULL without them."""
     rounded = F.greatest(F.lit(1), F.least(F.lit(3), whole)) - 1

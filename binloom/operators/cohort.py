@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import value_at
+
 
 def cohort_filter(cells: DataFrame, contains: str = "", terciles: list[str] | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
     """Cells whose id has the text (any case), of the terciles, with coverage within the bounds."""
@@ -21,10 +23,9 @@ def cohort_filter(cells: DataFrame, contains: str = "", terciles: list[str] | No
 
 def terciles(cells: DataFrame, x: str) -> DataFrame:
     """low, mid, high by the values at sorted positions n // 3 and 2n // 3."""
-    n = F.count(x)
-    ordered = F.sort_array(F.collect_list(x))
-    cuts = cells.agg(F.element_at(ordered, (F.floor(n / 3) + 1).cast("int")).alias("t1"), F.element_at(ordered, (F.floor(2 * n / 3) + 1).cast("int")).alias("t2"))
-    return cells.join(F.broadcast(cuts)).withColumn("tercile", F.when(F.col(x) < F.col("t1"), "low").when(F.col(x) < F.col("t2"), "mid").otherwise("high")).drop("t1", "t2")
+    cuts = value_at(cells, [], x, {"t1": F.floor(F.col("total") / 3), "t2": F.floor(2 * F.col("total") / 3)}).first()  # two values
+    t1, t2 = F.lit(cuts.t1), F.lit(cuts.t2)
+    return cells.withColumn("tercile", F.when(F.col(x) < t1, "low").when(F.col(x) < t2, "mid").otherwise("high"))
 
 
 def region_event(states: DataFrame, lo: int, hi: int, wanted: list[float], least: float) -> DataFrame:
@@ -74,15 +75,19 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = 64) -
     return both.withColumn("shared", shared).where((F.col("shared") > 0) & (F.floor(F.greatest("a_s", "b_s") / width) == F.col("tile"))).drop("tile")
 
 
-def nearest_boundary(positions: DataFrame, bins: DataFrame) -> DataFrame:
-    """The boundary (bin number) nearest to each bp: its own bin's start, or the next one's past the bin's middle.
+def nearest_boundary(positions: DataFrame, bins: DataFrame, width: int = 6_400_000) -> DataFrame:
+    """The boundary (bin number) nearest to each bp: its own bin's start, or the next one's past the bin's middle; 0 before the first bin.
 
-    Positions and bins are merged in one ordered pass per chromosome, as of the last bin start.
+    A bin reaches to the next one's start.  Bins are put on tiles of `width` bp and joined to positions by
+    tile, so positions, of any number, are neither sorted nor gathered; the few after the last tile are joined by chromosome.
     """
-    marks = bins.select("chrom", F.col("start").alias("bp"), F.lit(0).alias("kind"), "i", "start", "end", F.lit(None).cast("long").alias("id"))
-    asked = positions.select("chrom", "bp", F.lit(1).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("i", "start", "end")], "id")
-    seen = W.partitionBy("chrom").orderBy("bp", "kind").rowsBetween(W.unboundedPreceding, 0)
-    last = {c: F.last(c, ignorenulls=True).over(seen) for c in ("i", "start", "end")}
-    rows = marks.union(asked).withColumns(last).where("kind = 1")
-    past = F.col("bp") > (F.col("start") + F.col("end")) / 2
-    return rows.select("id", "chrom", "bp", F.when(F.col("i").isNull(), 0).otherwise(F.col("i") + F.when(past, 1).otherwise(0)).alias("boundary"))
+    order = W.partitionBy("chrom").orderBy("start")
+    reach = bins.select("chrom", "i", "start", "end", F.lead("start").over(order).alias("to"))
+    tiled = reach.where("to IS NOT NULL").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("to") - 1) / width))))
+    last = reach.where("to IS NULL").select("chrom", F.col("i").alias("last_i"), F.col("start").alias("last_start"), F.col("end").alias("last_end"))
+    asked = positions.withColumn("tile", F.floor(F.col("bp") / width))
+    inside = (asked["chrom"] == tiled["chrom"]) & (asked["tile"] == tiled["tile"]) & (asked["bp"] >= tiled["start"]) & (asked["bp"] < tiled["to"])
+    rows = asked.join(tiled, inside, "left").select("id", asked["chrom"], "bp", "i", "start", "end").join(last, "chrom", "left")
+    beyond = F.col("bp") >= F.col("last_start")
+    i, middle = F.when(beyond, F.col("last_i")).otherwise(F.col("i")), F.when(beyond, F.col("last_start") + F.col("last_end")).otherwise(F.col("start") + F.col("end")) / 2
+    return rows.select("id", "chrom", "bp", F.when(i.isNull(), 0).otherwise(i + F.when(F.col("bp") > middle, 1).otherwise(0)).alias("boundary"))

@@ -144,3 +144,22 @@ def assign_proposal(srd: tuple[Column, Column], delta: tuple[Column, Column], sr
         F.when(left & right, F.when(alike, "keep_focal").otherwise("ambiguous_keep")).when(right, "merge_left").when(left, "merge_right")
         .when(F.abs(delta[0]) <= F.abs(delta[1]), "merge_left").otherwise("merge_right")
     )
+
+
+def spliced_ids(rows: DataFrame, chrom: int, cuts: list[int]) -> DataFrame:
+    """rows (source, chrom, i, id) with the chromosome's segments cut anew: they get numbers above the source's largest, others keep theirs."""
+    top = F.max("id").over(W.partitionBy("source"))
+    new = top + 1 + sum(((F.col("i") >= b).cast("int") for b in sorted({b for b in cuts if b > 0})), F.lit(0))
+    return rows.withColumn("id", F.when(F.col("chrom") == chrom, new).otherwise(F.col("id")))
+
+
+def exposures(labelled_rows: DataFrame) -> DataFrame:
+    """source, chrom, seg, exposure: the bins of each segment that are usable."""
+    return labelled_rows.groupBy(*PLACE, "seg").agg(F.count_if("usable").alias("exposure"))
+
+
+def trimmed_means(rows: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
+    """Per key the mean of the finite values within the fences, the plain mean if none is; NULL without finite values."""
+    finite = rows.where(F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    found = level_summary(finite, keys, x).select(*keys, F.coalesce("iqr_mean", "mean").alias("level"))
+    return rows.select(*keys).distinct().join(found, keys, "left")

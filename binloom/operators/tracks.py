@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from binloom.functions.stats import guarded_corr, log2_ratio
 
+from .ordering import running_total
 from .segments import PLACE
 
+
 def along() -> W:
     """Each chromosome's bins in order."""
     return W.partitionBy(*PLACE).orderBy("i")
@@ -42,7 +44,7 @@ def gap_flags(rows: DataFrame) -> DataFrame:
 
 
 def upper_median(x: str) -> Column:
-    """The value at position n // 2 of the sorted values, as an aggregate."""
+    """The value at position n // 2 of the sorted values, as an aggregate for groups of bins; ordering.upper_medians is for groups of cells."""
     n = F.count(x)
     return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(n / 2) + 1).cast("int"))
 
@@ -69,8 +71,8 @@ def ranked(rows: DataFrame, by: str, tie: str, keys: list[str] | None = None, na
 
 def empirical_distribution(rows: DataFrame, keys: list[str], x: str, tie: str) -> DataFrame:
     """ecdf = (position + 1) / n of each row; equal values keep steps of their own."""
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(x, tie))
-    return rows.withColumn("ecdf", place / F.count("*").over(W.partitionBy(*keys)))
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return running_total(rows, keys, [x, tie], name="_place").join(n, keys).withColumn("ecdf", (F.col("_place") + 1) / F.col("_n")).drop("_place", "_n")
 
 
 def coalesced_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions import stats
 from binloom.plans import rounds
-from binloom.operators import allelic, calls, cohort, kernels, resample, segments, tracks
+from binloom.operators import allelic, calls, cohort, kernels, ordering, resample, segments, tracks
 from binloom.operators.segments import PLACE
 from binloom.plans.rules import Condition, ConditionRule, FlankRule, RuleSet, evaluate, flank_rule
 from binloom.sources.genome import Genome
@@ -204,7 +204,9 @@ query("a11_autocorrelation", "source chrom:i lag:i r:r", " UNION ALL ".join(f"SE
 @query("a12_spearman", "source r:r", """SELECT source, CASE WHEN count(*) >= 3 AND var_pop(ra) > 0 AND var_pop(rb) > 0 THEN corr(ra, rb) END AS r FROM (SELECT source, rank() OVER (PARTITION BY source ORDER BY coverage) + (count(*) OVER (PARTITION BY source, coverage) - 1) / 2::DOUBLE AS ra,
  rank() OVER (PARTITION BY source ORDER BY n_seen) + (count(*) OVER (PARTITION BY source, n_seen) - 1) / 2::DOUBLE AS rb FROM cells JOIN membership USING (cell)) GROUP BY source""")
 def a12(g: Genome) -> DataFrame:
-    rows = cells(g).join(g.membership, "cell").withColumns({"ra": stats.average_rank(["source"], "coverage"), "rb": stats.average_rank(["source"], "n_seen")})
+    rows = cells(g).join(g.membership, "cell")
+    for x, name in (("coverage", "ra"), ("n_seen", "rb")):
+        rows = ordering.with_average_rank(rows, ["source"], x, name)
     return rows.groupBy("source").agg(stats.guarded_corr("ra", "rb").alias("r"))
 
 
@@ -225,7 +227,7 @@ query("a17_terciles", "tercile n:i lowest:r highest:r", "SELECT CASE WHEN covera
     lambda g: cohort.terciles(cells(g), "coverage").groupBy("tercile").agg(F.count("*").alias("n"), F.min("coverage").alias("lowest"), F.max("coverage").alias("highest"))
 )
 query("a18_upper_median", "source v:r", "SELECT source, (list(coverage ORDER BY coverage))[count(*) // 2 + 1] AS v FROM cells JOIN membership USING (cell) GROUP BY source")(
-    lambda g: cells(g).join(g.membership, "cell").groupBy("source").agg(tracks.upper_median("coverage").alias("v"))
+    lambda g: cells(g).join(g.membership, "cell").transform(ordering.upper_medians, ["source"], "coverage")
 )
 query("a19_histogram", "source bucket:i n:i", "SELECT source, least(floor(x / 0.5::DOUBLE), 49) AS bucket, count(*) AS n FROM profile GROUP BY ALL")(
     lambda g: g.profile.groupBy("source", F.least(F.floor(F.col("x") / 0.5), F.lit(49)).alias("bucket")).agg(F.count("*").alias("n"))
@@ -330,7 +332,7 @@ query("w14_edge_rank", "source chrom:i seg:i rank:i", "SELECT h.source, h.chrom,
 
 # order, top-k and sets
 
-query("k2_cell_order", "cell:i place:i", "SELECT cell, row_number() OVER (ORDER BY coverage DESC, cell) AS place FROM cells")(lambda g: cells(g).withColumn("place", F.row_number().over(W.orderBy(F.desc("coverage"), "cell"))))
+query("k2_cell_order", "cell:i place:i", "SELECT cell, row_number() OVER (ORDER BY coverage DESC, cell) AS place FROM cells")(lambda g: ordering.running_total(cells(g), [], [F.desc("coverage"), "cell"]).withColumn("place", F.col("before") + 1))
 
 
 @query("k3_top_neighbours", "chrom:i cell:i rank:i x:r", "SELECT chrom, cell, rank, x FROM (SELECT chrom, cell, x, row_number() OVER (PARTITION BY chrom ORDER BY x DESC, cell) AS rank FROM (SELECT chrom, cell, sum(x) AS x FROM signal GROUP BY ALL)) WHERE rank <= 15")
@@ -522,4 +524,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from . import catalog_compare, catalog_experiments, catalog_prune, catalog_recall, catalog_review, catalog_scan  # noqa: E402,F401  their queries are added to these
+from . import catalog_compare, catalog_experiments, catalog_prune, catalog_recall, catalog_review, catalog_scan, catalog_tables  # noqa: E402,F401  their queries are added to these

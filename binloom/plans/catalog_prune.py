@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from binloom.operators import prune, resample, segments
 from binloom.operators.segments import PLACE
-from binloom.plans.rounds import written
+from binloom.functions.shared import written
 from binloom.sources.genome import Genome
 
 from .catalog import MAX_BINS, REPLICATES, SRD_REF, TAU, _draws, labelled, query

@@ -7,14 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from binloom.functions import stats
-from binloom.operators import cohort, segments, tracks
+from binloom.operators import cohort, ordering, segments, tracks
 from binloom.operators.segments import PLACE
 from binloom.sources.genome import Genome
 
 from .catalog import MAX_BINS, TAU, _partition, cells, labelled, query, scores
 
 query("k1_cell_orders", "cell:i ascending:i descending:i", "SELECT cell, row_number() OVER (ORDER BY coverage, cell) AS ascending, row_number() OVER (ORDER BY coverage DESC, cell) AS descending FROM cells")(
-    lambda g: cells(g).withColumns({"ascending": F.row_number().over(W.orderBy("coverage", "cell")), "descending": F.row_number().over(W.orderBy(F.desc("coverage"), "cell"))})
+    lambda g: ordering.running_total(ordering.running_total(cells(g), [], ["coverage", "cell"], name="a"), [], [F.desc("coverage"), "cell"], name="d").select("cell", (F.col("a") + 1).alias("ascending"), (F.col("d") + 1).alias("descending"))
 )
 query("p7_candidates", "chrom:i bin:i", "SELECT chrom, bin FROM boundaries WHERE source = 'cluster3' AND chrom = 1998")(lambda g: g.boundaries.where("source = 'cluster3' AND chrom = 1998"))
 

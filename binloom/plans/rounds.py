@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binloom.functions.shared import written
 from binloom.operators.kernels import greedy_merge
 from binloom.operators.segments import PLACE
 from binloom.plans.rules import RuleSet
@@ -19,18 +19,6 @@ def rounds_digest(rounds: list[RuleSet]) -> str:
     return hashlib.sha256("".join(r.digest() for r in rounds).encode()).hexdigest()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir, which all executors share: its lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/binloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/binloom/{spark.sparkContext.applicationId}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(profile: DataFrame, boundaries: DataFrame, rounds: list[RuleSet]) -> DataFrame:
     """The merges of all rounds, with their round's number."""
     profile, done = written(profile), []
