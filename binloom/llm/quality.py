@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int) -> Model:
             rows = np.minimum(np.hstack([terms, kinds]), 65504).astype("<f2")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "y", "counts"])
 
-    found: pd.DataFrame = sample(docs, labels, "quality", (per_class, per_class)).mapInArrow(counted, "doc_id long, y int, counts binary").dropDuplicates(["doc_id"]).toPandas()
+    found: pd.DataFrame = sample(docs, labels, "quality", (per_class, per_class)).mapInArrow(counted, "doc_id long, y int, counts binary").toPandas()
     found = found.sort_values("doc_id")
     rows = np.frombuffer(b"".join(found["counts"]), "<f2").astype(np.float32).reshape(-1, TERMS + 7)
     return Model(rows[:, :TERMS], rows[:, TERMS:], found["y"].to_numpy())

@@ -3,7 +3,8 @@
 A word's embedding is the sum of hashed embeddings of the word and of its first bytes, so unseen
 endings of known stems still tell.  Filters of several widths run over the words, each keeps its
 largest response over the whole text, and a logistic layer weighs them.  The language that picks the
-threshold is told from the text's own function words, never from a column.
+threshold is the nearest of profiles that are learned from the sample's texts without labels: means of
+hashed byte trigrams by spherical k-means.  It is told from the text alone, never from a column.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, held_out, slices
 from .labelled import sample
+from .quality import term_counts
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 #: First bytes that have an embedding beside the whole word's.
@@ -25,15 +27,8 @@ STEMS = (4, 6)
 EPOCHS, BATCH, RATE = 9, 32, 0.01
 #: Bytes of text hashed at a time; longer texts go in pieces that overlap by OVERLAP.
 CHUNK, OVERLAP = 1 << 18, 256
-#: Longest text of the fitted sample; texts that are scored have no limit.
-FIT_BYTES = 1 << 16
-#: Frequent function words by language.
-FUNCTION_WORDS = {
-    "de": "der die und das nicht ist ein eine mit von zu auf für im den",
-    "en": "the of and to in that is for it was with as on by from",
-    "es": "el los las de y que en un una por con para se del su",
-    "fr": "le les des et un une du est que dans pour sur par qui au",
-}
+#: Numbers of a language profile, and bytes of a piece of a long text that is fitted.
+PROFILE, PIECE = 256, 4096
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -80,8 +75,45 @@ def buckets_by_text(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def function_buckets() -> dict[str, np.ndarray]:
-    return {lang: np.unique(word_buckets(np.frombuffer(words.encode(), np.uint8))[0][:, 0]) for lang, words in FUNCTION_WORDS.items()}
+def fitted_parts(text: bytes, most: int) -> list[bytes]:
+    """The whole text, or of a longer one than `most` bytes pieces at even distances that add up to that."""
+    if len(text) <= most:
+        return [text]
+    n = max(1, most // PIECE)
+    return [text[lo : lo + PIECE] for lo in np.linspace(0, len(text) - PIECE, n).astype(int).tolist()]
+
+
+def profiles(texts: list[bytes]) -> np.ndarray:
+    """A row of unit length for each text: roots of its byte trigrams' shares, hashed to PROFILE places; zeros for a text without any."""
+    counts = term_counts(texts)[0].astype(np.float64).reshape(len(texts), PROFILE, -1).sum(2)
+    x = np.sqrt(counts)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def language_profiles(x: np.ndarray, languages: int, seed: int = 3, rounds: int = 20) -> np.ndarray:
+    """At most `languages` unit rows by spherical k-means; each first centre is the row that lies farthest from those before, a tenth of the rows being looked at."""
+    x = x[x.any(1)]
+    if not len(x):
+        return np.zeros((0, PROFILE))
+    rng = np.random.default_rng(seed)
+    centres = x[rng.integers(len(x))][None]
+    for _ in range(1, min(languages, len(x))):
+        some = x[rng.permutation(len(x))[: max(1, len(x) // 10)]]
+        centres = np.vstack([centres, some[(some @ centres.T).max(1).argmin()]])
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    return centres
+
+
+def nearest_language(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of the nearest profile, -1 for rows without trigrams."""
+    if not len(centres):
+        return np.full(len(x), -1)
+    return np.where(x.any(1), (x @ centres.T).argmax(1), -1)
 
 
 class Network:
@@ -95,6 +127,7 @@ class Network:
             self.p[f"shift{w}"] = np.zeros(FILTERS, np.float32)
         self.p["out"] = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32)
         self.p["bias"] = np.zeros(1, np.float32)
+        self.centres = np.zeros((0, PROFILE))
         self.thresholds: dict[int, float] = {}
 
     def pooled(self, found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,6 +145,8 @@ class Network:
             y = x @ self.p[f"filter{w}"][0]
             for j in range(1, w):
                 y[:-j] += x[j:] @ self.p[f"filter{w}"][j]
+            for j in range(1, w):  # windows from a text's last zeros on reach into the next text
+                y[first + sizes + gap - j] = -np.inf
             best.append((np.maximum.reduceat(y, first) + self.p[f"shift{w}"], y))
         return np.hstack([b for b, _ in best]), x, first, [y for _, y in best], at
 
@@ -178,19 +213,13 @@ class Network:
         return out
 
     def probabilities(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text, and its language's number by FUNCTION_WORDS, -1 if it has none of their words."""
-        languages = function_buckets()
+        """Of each text, and its language's number, -1 for want of trigrams."""
         parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
         best = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
-        votes = np.zeros((len(texts), len(languages)), np.int64)
         for lo, hi in slices([len(p) for _, p in parts], CHUNK):
-            owner = np.array([i for i, _ in parts[lo:hi]])
             found, sizes = buckets_by_text([p for _, p in parts[lo:hi]])
-            np.maximum.at(best, owner, self.pooled(found, sizes)[0])
-            of = np.repeat(owner, sizes)
-            for k, words in enumerate(languages.values()):
-                votes[:, k] += np.bincount(of[np.isin(found[:, 0], words)], minlength=len(texts))
-        language = np.where(votes.any(1), votes.argmax(1), -1)
+            np.maximum.at(best, np.array([i for i, _ in parts[lo:hi]]), self.pooled(found, sizes)[0])
+        language = np.concatenate([nearest_language(profiles(texts[lo:hi]), self.centres) for lo, hi in slices([1] * len(texts), 256)] or [np.zeros(0, int)])
         return 1 / (1 + np.exp(-np.clip(self.logits(best).astype(np.float64), -30, 30))), language
 
     def calibrate(self, probability: np.ndarray, language: np.ndarray, y: np.ndarray, least: int = 20) -> None:
@@ -209,26 +238,27 @@ class Network:
             return float(1 / (1 + np.exp(-np.clip(0.0, lo + 0.15 * (hi - lo), hi - 0.15 * (hi - lo)))))
 
         overall = best(np.ones(len(y), bool), 4) or 0.5
-        self.thresholds = {k: best(language == k) or overall for k in range(-1, len(FUNCTION_WORDS))}
+        self.thresholds = {k: best(language == k) or overall for k in range(-1, len(self.centres))}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities stretched so that each language's threshold lies at one half."""
         p, language = self.probabilities(texts)
-        t = np.array([self.thresholds.get(k, 0.5) for k in range(-1, len(FUNCTION_WORDS))])[language + 1]
+        t = np.array([self.thresholds.get(k, 0.5) for k in range(-1, len(self.centres))])[language + 1]
         return np.where(p < t, 0.5 * p / t, 0.5 + 0.5 * (p - t) / (1 - t))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], fit_bytes: int, languages: int) -> Network | float:
     """The trained network; the share of label 1 if only one label is known, 0.0 without any."""
-    texts = sample(docs, labels, "toxic", per_class).where(F.octet_length("text") <= FIT_BYTES)
-
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [buckets_by_text([t.encode()])[0].astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "words"])
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            words = [np.concatenate([buckets_by_text([p])[0] for p in fitted_parts(t, fit_bytes)]).astype("<u2").tobytes() for t in texts]
+            shapes = [r.astype("<f2").tobytes() for r in profiles(texts)] if texts else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(words, pa.binary()), pa.array(shapes, pa.binary())], ["doc_id", "y", "words", "profile"])
 
-    rows: pd.DataFrame = texts.mapInArrow(hashed, "doc_id long, y int, words binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return train(rows["words"].tolist(), rows["y"].to_numpy())
+    rows: pd.DataFrame = sample(docs, labels, "toxic", per_class).mapInArrow(hashed, "doc_id long, y int, words binary, profile binary").toPandas().sort_values("doc_id")
+    shapes = np.frombuffer(b"".join(rows["profile"]), "<f2").astype(np.float64).reshape(-1, PROFILE)
+    return train(rows["words"].tolist(), shapes, rows["y"].to_numpy(), languages)
 
 
 def together(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,36 +266,32 @@ def together(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts).astype(np.int64), np.array([len(t) for t in texts])
 
 
-def train(words: list[bytes], y: np.ndarray) -> Network | float:
+def train(words: list[bytes], shapes: np.ndarray, y: np.ndarray, languages: int) -> Network | float:
     if len(np.unique(y)) < 2:
         return float(y.mean()) if len(y) else 0.0
     texts = [np.frombuffer(w, "<u2").reshape(-1, 1 + len(STEMS)) for w in words]
     # empty texts are clean; a fifth of all is left for calibration
     blank = 5 + len(y) // 50
-    texts, y = [*texts, *[texts[0][:0]] * blank], np.append(y, np.zeros(blank, y.dtype))
+    texts, y, shapes = [*texts, *[texts[0][:0]] * blank], np.append(y, np.zeros(blank, y.dtype)), np.vstack([shapes, np.zeros((blank, PROFILE))])
     network, apart = Network(), np.arange(len(y)) % 5 == 0
     network.train([t for t, a in zip(texts, apart) if not a], y[~apart].astype(np.float32))
-    probability, language = [], []
-    functions = function_buckets().values()
-    for i in np.flatnonzero(apart):
-        found, sizes = together([texts[i]])
-        probability.append(network.logits(network.pooled(found, sizes)[0])[0])
-        votes = [np.isin(found[:, 0], w).sum() for w in functions]
-        language.append(int(np.argmax(votes)) if any(votes) else -1)
-    network.calibrate(1 / (1 + np.exp(-np.clip(np.array(probability, np.float64), -30, 30))), np.array(language), y[apart])
+    network.centres = language_profiles(shapes, languages)
+    logits = [network.logits(network.pooled(*together([texts[i]]))[0])[0] for i in np.flatnonzero(apart)]
+    network.calibrate(1 / (1 + np.exp(-np.clip(np.array(logits, np.float64), -30, 30))), nearest_language(shapes[apart], network.centres), y[apart])
     return network
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000), fit_bytes: int = 1 << 16, languages: int = 8) -> DataFrame:
     """One row per document: doc_id, held_out, score (higher: more toxic), predicted (1 if score >= 0.5).
 
-    The network is fitted on at most per_class labelled documents of label 0 and of label 1, of at most FIT_BYTES,
-    never on held-out ones; scores read the text alone, whole.  Null texts are scored as empty; a null
+    The network is fitted on at most per_class labelled documents of label 0 and of label 1, never on held-out
+    ones; of a labelled text over fit_bytes, pieces spread over it are fitted.  At most `languages` profiles
+    are learned.  Scores read the text alone, whole.  Null texts are scored as empty; a null
     doc_id stays null and isn't held out; repeated rows are scored alike.  Without labels of both kinds
     each score is the share of label 1, or 0.0 without any.  Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    model = fit(docs, labels, per_class)
+    model = fit(docs, labels, per_class, fit_bytes, languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
