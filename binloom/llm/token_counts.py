@@ -23,7 +23,7 @@ _counts: dict[str, dict[str, int]] = {}
 def add_piece_counts(words: set[str], path: str, known: dict[str, int]) -> None:
     """Adds to `known` the piece counts of the words that it lacks, asking the tokenizer once for each."""
     new = list(words - known.keys())
-    known.update(zip(new, map(len, encoded(new, path))))
+    known.update(zip(new, (len(ids) // 4 for ids in encoded(new, path))))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:

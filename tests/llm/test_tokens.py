@@ -43,6 +43,17 @@ def test_split_is_the_librarys():
         assert split_plain(s) == [s[a:b] for _, (a, b) in lib.pre_tokenize_str(s)], hex(cp)
 
 
+def test_words_side_by_side_are_encoded_as_alone():
+    from binloom.llm.pretokens import encoded
+
+    rng = np.random.default_rng(3)
+    words = [" " * int(rng.integers(0, 2)) + "".join(rng.choice(list("abcdeioußéñ'1 ."), rng.integers(1, 12))) for _ in range(5000)]
+    words = list({w for x in words for w in split_plain(x)}) + ["<|endoftext|>"]
+    t = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoded(words, PATH)] == [t.encode(w, add_special_tokens=False).ids for w in words]
+    assert encoded([], PATH) == []
+
+
 def test_counts(docs, ids):
     rows = count_tokens(docs, PATH).collect()
     assert len(rows) == len(TEXTS)
