@@ -7,6 +7,7 @@ thousands of bins, so a group is small whatever the number of cells.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -145,48 +146,54 @@ def merge_step(profile: DataFrame, boundaries: DataFrame, rules: RuleSet) -> Dat
 
 
 class Segments:
-    """A chromosome's live partition: sums are kept by segment, so a merge computes one segment anew."""
+    """A chromosome's live partition: a merge computes one segment and the pairs on both its sides anew, nothing else."""
 
     def __init__(self, x: np.ndarray, start: np.ndarray, end: np.ndarray, boundaries: list[int]):
-        self.x, self.start, self.end, self.known = x, start, end, {}
+        self.x, self.start, self.end = x, start, end
         cuts = [0, *sorted({b for b in boundaries if 0 < b < len(x)}), len(x)]
         self.segments = list(zip(cuts, cuts[1:]))
-
-    def summary(self, segment: tuple[int, int]) -> dict[str, float]:
-        if segment not in self.known:
-            v = self.x[slice(*segment)]
-            q1, median, q3 = np.percentile(v, [25, 50, 75])
-            reach = 1.5 * (q3 - q1)
-            kept = v[(np.round(v - q1 + reach, 9) >= 0) & (np.round(v - q3 - reach, 9) <= 0)]
-            self.known[segment] = {"n": len(v), "sum": v.sum(), "mean": v.mean(), "median": median, "iqr_mean": kept.mean(), "pearson": ((v - v.mean()) ** 2).sum() / v.mean() if v.mean() > 0 and len(v) > 1 else None}
-        return self.known[segment]
-
-    def scores(self) -> pd.DataFrame:
+        self.summaries = [self.summary(a, b) for a, b in self.segments]
+        self.pairs = [self.pair(k) for k in range(len(self.segments) - 1)]
+
+    def summary(self, a: int, b: int) -> dict[str, float]:
+        v = self.x[a:b]
+        q1, median, q3 = np.percentile(v, [25, 50, 75]).tolist()
+        reach = 1.5 * (q3 - q1)
+        kept = v[(np.round(v - q1 + reach, 9) >= 0) & (np.round(v - q3 - reach, 9) <= 0)]
+        mean = float(v.mean())
+        return {"n": len(v), "sum": float(v.sum()), "mean": mean, "median": median, "iqr_mean": float(kept.mean()), "pearson": float(((v - mean) ** 2).sum()) / mean if mean > 0 and len(v) > 1 else None}
+
+    def pair(self, k: int) -> dict[str, float]:
+        """The scores of segment k + 1 against segment k, and whether a gap lies between; the other way round they change their sign."""
+        o, s = self.summaries[k : k + 2]
+        rate = (s["sum"] + o["sum"]) / (s["n"] + o["n"])
+        part = sum(y * math.log(y / (n * rate)) for y, n in ((s["sum"], s["n"]), (o["sum"], o["n"])) if y > 0)
+        srd = math.copysign(math.sqrt(max(2 * part, 0.0)), s["mean"] - o["mean"]) if s["mean"] != o["mean"] else 0.0
+        deltas = {f"delta_{level}": math.log2(s[level] / o[level]) if s[level] > 0 and o[level] > 0 else math.nan for level in ("mean", "median", "iqr_mean")}
+        return {"srd": srd, **deltas, "gap": bool(self.start[self.segments[k + 1][0]] > self.end[self.segments[k][1] - 1] + 1)}
+
+    def scores(self) -> list[dict]:
         """The flank scores of internal segments, as flank_scores gives them."""
-        s = pd.DataFrame([self.summary(x) for x in self.segments])
-        used = s["pearson"].notna()
-        freedom = (s["n"][used] - 1).sum()
-        phi = s["pearson"][used].astype(float).sum() / freedom if freedom else np.nan
-        lo, hi = np.array(self.segments).T
-        out = pd.DataFrame({"s": lo, "e": hi})
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for side, k in (("left", 1), ("right", -1)):
-                o = s.shift(k)
-                rate = (s["sum"] + o["sum"]) / (s["n"] + o["n"])
-                part = sum(np.where(y > 0, y * np.log(y / (n * rate)), 0.0) for y, n in ((s["sum"], s["n"]), (o["sum"], o["n"])))
-                srd = np.sign(s["mean"] - o["mean"]) * np.sqrt(np.maximum(2 * part, 0))
-                out[f"srd_{side}"] = np.where(s["sum"] + o["sum"] > 0, srd, 0.0)
-                out[f"srd_phi_{side}"] = out[f"srd_{side}"] / np.sqrt(phi) if phi > 0 else np.nan
-                for level in ("mean", "median", "iqr_mean"):
-                    out[f"delta_{level}_{side}"] = np.where((s[level] > 0) & (o[level] > 0), np.log2(s[level] / o[level]), np.nan)
-        gap = np.append(False, self.start[lo[1:]] > self.end[hi[:-1] - 1] + 1)
-        out["gap_left"], out["gap_right"] = gap, np.append(gap[1:], False)
-        return out.iloc[1:-1]
+        used = [s for s in self.summaries if s["pearson"] is not None]
+        freedom = sum(s["n"] - 1 for s in used)
+        phi = sum(s["pearson"] for s in used) / freedom if freedom else 0.0
+        root, out = math.sqrt(phi) if phi > 0 else math.nan, []
+        for (s, e), left, right in zip(self.segments[1:], self.pairs, self.pairs[1:]):
+            row = {"s": s, "e": e, "gap_left": left["gap"], "gap_right": right["gap"], "srd_phi_left": left["srd"] / root, "srd_phi_right": -right["srd"] / root}
+            for name in ("srd", "delta_mean", "delta_median", "delta_iqr_mean"):
+                row[f"{name}_left"], row[f"{name}_right"] = left[name], -right[name]
+            out.append(row)
+        return out
 
     def merge(self, s: int, e: int, side: str) -> int:
         k = self.segments.index((s, e)) - (side == "left")
         (a, removed), (_, b) = self.segments[k : k + 2]
         self.segments[k : k + 2] = [(a, b)]
+        self.summaries[k : k + 2] = [self.summary(a, b)]
+        del self.pairs[k]
+        for near in (k - 1, k):
+            if 0 <= near < len(self.pairs):
+                self.pairs[near] = self.pair(near)
         return removed
 
 
@@ -206,7 +213,7 @@ def greedy_merge(profile: DataFrame, boundaries: DataFrame, rules: RuleSet, max_
         live = Segments(*(rows[c].to_numpy() for c in ("x", "start", "end")), [int(b) for b in rows["cuts"].iloc[0]])
         out = []
         while len(live.segments) > 2:
-            claims = [c for c in map(rules.claim, live.scores().to_dict("records")) if c and c["blocked"] is None]
+            claims = [c for c in map(rules.claim, live.scores()) if c and c["blocked"] is None]
             if not claims:
                 break
             c = min(claims, key=lambda c: (c["phase"], c["rule_order"], c["score"], c["s"]))
