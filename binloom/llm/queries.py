@@ -12,9 +12,13 @@ from . import suffix_dedup as repeats
 from .bpe import encode_and_decode
 from .common import table
 from .embedding_dedup import embedding_dedup
+from .filter_audit import SQL as AUDIT_SQL
+from .filter_audit import audit_filters
 from .packing import pack_documents
 from .quality import score_quality
 from .simhash import simhash_dedup
+from .spelling import SQL as SPELLING_SQL
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
@@ -69,9 +73,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_embedding_dedup, op4_bpe_round_trip, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_exact_dedup, op9_toxicity, op10_simhash_dedup)}
+    every = [
+        op1_token_counts, op2_packing, op3_embedding_dedup, op4_bpe_round_trip, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_exact_dedup, op9_toxicity, op10_simhash_dedup,
+        op12_filter_audit, op13_spelling_variants,
+    ]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": vectors.SQL, "op7_suffix_dedup": repeats.SQL, "op6_chat_formatting": chat.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {
+        "op3_embedding_dedup": vectors.SQL, "op7_suffix_dedup": repeats.SQL, "op6_chat_formatting": chat.SQL, "op8_exact_dedup": exact_dedup.SQL,
+        "op12_filter_audit": AUDIT_SQL, "op13_spelling_variants": SPELLING_SQL,
+    }
