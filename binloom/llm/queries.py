@@ -14,6 +14,8 @@ from .common import table
 from .embedding_dedup import embedding_dedup
 from .filter_audit import SQL as AUDIT_SQL
 from .filter_audit import audit_filters
+from .html_extract import SQL as HTML_SQL
+from .html_extract import extract_text
 from .packing import pack_documents
 from .quality import score_quality
 from .simhash import simhash_dedup
@@ -73,6 +75,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,7 +90,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = [
         op1_token_counts, op2_packing, op3_embedding_dedup, op4_bpe_round_trip, op5_quality_classifier, op6_chat_formatting, op7_suffix_dedup, op8_exact_dedup, op9_toxicity, op10_simhash_dedup,
-        op12_filter_audit, op13_spelling_variants,
+        op11_html_extraction, op12_filter_audit, op13_spelling_variants,
     ]
     return {f.__name__: f for f in every}
 
@@ -92,5 +98,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_embedding_dedup": vectors.SQL, "op7_suffix_dedup": repeats.SQL, "op6_chat_formatting": chat.SQL, "op8_exact_dedup": exact_dedup.SQL,
-        "op12_filter_audit": AUDIT_SQL, "op13_spelling_variants": SPELLING_SQL,
+        "op11_html_extraction": HTML_SQL, "op12_filter_audit": AUDIT_SQL, "op13_spelling_variants": SPELLING_SQL,
     }

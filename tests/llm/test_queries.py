@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1": "doc_id n_bytes n_tokens over_limit", "op2": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op3": "vec_id n_links component_id kept", "op4": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op5": "doc_id held_out score predicted", "op6": "conv_id turn role n_turns rendered", "op7": "doc_id n_bytes n_removed n_spans kept_sha256 kept_text", "op8": "doc_id keep_id group_size kept text_sha256", "op9": "doc_id held_out score predicted", "op10": "doc_id fingerprint component_id",
-    "op12": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley", "op13": "word form root n n_near form_n",
+    "op11": "page_id url text n_chars", "op12": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley", "op13": "word form root n n_near form_n",
 }
 
 
