@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binloom.functions.shared import written
 from binloom.plans.rules import RuleSet, evaluate
 
 from .segments import PLACE, flank_scores, labelled
@@ -92,19 +93,14 @@ def split_tests(profile: DataFrame, cuts: DataFrame, permutations: int = 1000, s
 
     The global test samples from the profile of all of the source's chromosomes.
     """
-    pools = profile.groupBy("source").agg(F.collect_list("x").alias("pool"))  # one value per bin of the axis, some thousands
-    nodes = profile.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("node")).join(pools, "source")
-    rows = cuts.join(nodes.select(*PLACE, F.col("node.x").alias("x"), "pool"), PLACE)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for source, chrom, cut, x, pool in zip(*(rows[c] for c in ("source", "chrom", "cut", "x", "pool"))):
-            observed = float(ad_statistics(np.asarray(x))[cut - 1])
-            rng = draws(seed, f"{source}:{chrom}:{cut}", permutations)
-            out.append((source, chrom, cut, observed, permutation_p(x[:cut], x[cut:], observed, permutations, rng), permutation_p(x[:cut], x[cut:], observed, permutations, rng, np.sort(pool))))
-        return pd.DataFrame(out, columns=["source", "chrom", "cut", "ad", "p_local", "p_global"])
-
-    return spread(rows, [*PLACE, "cut"]).groupBy(*PLACE, "cut").applyInPandas(run, "source string, chrom int, cut long, ad double, p_local double, p_global double")
+    from .scan import chromosomes, node_name, pools, tested
+
+    track = profile.withColumn("kept", F.lit(True))
+    chroms, values = written(chromosomes(track)), written(pools(track, "genome")[0])
+    nodes = cuts.join(chroms.select(*PLACE, F.size("x").cast("long").alias("end")), PLACE).join(ad_curves(profile), [*PLACE, "cut"])
+    named = nodes.withColumns({"start": F.lit(0).cast("long"), "name": F.concat(node_name(seed, "cut", "end"), F.lit(":given"))})
+    found = tested(written(named), chroms, values, ["source"], permutations, 2.0, "start", "end")
+    return found.select(*PLACE, "cut", "ad", "p_local", "p_global")
 
 
 def geometry_reasons(start: int, end: int, cut: int, n: int, min_child: int, min_terminal: int) -> list[str]:

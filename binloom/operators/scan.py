@@ -1,8 +1,8 @@
 """Scans of chromosomes for breakpoints: candidates and their tests, gaps, segment statistics, an index of first events.
 
-A track is a table source, chrom, i, x, kept of every bin.  A chromosome's kept values are one array in a
-row beside the pool that the global test samples from, so a task holds a chromosome and one source's
-genome, whatever the number of cells; what follows the candidates is joins and windows.
+A track is a table source, chrom, i, x, kept of every bin.  A scan goes level by level: the nodes of a level
+are rows, their best splits one array each, and their permutations blocks of replicates that all tasks
+share (permute.py); what follows the candidates is joins and windows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from binloom.functions.shared import written
+
 from .kernels import ad_statistics, draws, geometry_reasons, permutation_p, spread
+from .permute import permutation_ps
 from .segments import PLACE, labelled
 
 AUDIT = (
@@ -44,64 +47,91 @@ def best_first(ad: np.ndarray) -> np.ndarray:
     return np.argsort(-np.round(ad, 9), kind="stable") + 1
 
 
-def examined(x: np.ndarray, pool: np.ndarray, name: str, s: Settings) -> Iterator[tuple]:
-    """Every candidate that a scan looks at, as AUDIT's columns from depth on without bin.
+def chromosomes(track: DataFrame) -> DataFrame:
+    """A row a chromosome: its kept bins and values in order."""
+    rows = track.where("kept").groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("node"))
+    return rows.select(*PLACE, F.col("node.i").alias("i"), F.col("node.x").alias("x"))
 
-    In each node the first candidate of valid geometry is tested, within the node and then against the pool;
-    whether it fails or passes, the node's other candidates aren't looked at.
-    """
-    stack = [(0, len(x), 0)]
-    while stack:
-        start, end, depth = stack.pop()
-        if depth >= s.depths or end - start < 2:
-            continue
-        ad = ad_statistics(x[start:end])
-        found = None
-        for rank, local in enumerate(best_first(ad).tolist(), 1):
-            cut = start + local
-            reasons = geometry_reasons(start, end, cut, len(x), s.min_child, s.min_terminal)
-            row = (depth, start, end, rank, cut, float(ad[local - 1]), local, end - cut, not reasons, ";".join(reasons))
-            if reasons:
-                yield (*row, False, None, None, False)
-                continue
-            rng = draws(s.seed, f"{name}:{start}:{end}", s.permutations)
-            left, right = x[start:cut], x[cut:end]
-            p_local = permutation_p(left, right, row[5], s.permutations, rng)
-            p_global = permutation_p(left, right, row[5], s.permutations, rng, pool) if p_local < s.alpha else None
-            found = cut if p_global is not None and p_global < s.alpha else -1
-            yield (*row, True, p_local, p_global, found == cut)
-            break
-        if found is None:
-            yield (depth, start, end, None, None, None, None, None, False, "no_valid_candidate", False, None, None, False)
-        elif found > 0:
-            stack += [(found, end, depth + 1), (start, found, depth + 1)]
-
-
-def chromosomes(track: DataFrame, pool: str) -> DataFrame:
-    """A row a chromosome: its kept bins and values in order, and the pool (genome: kept values of all its source's chromosomes; chromosome: its own)."""
-    kept = track.where("kept")
-    rows = kept.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("node"))
-    rows = rows.select(*PLACE, F.col("node.i").alias("i"), F.col("node.x").alias("x"))
-    if pool == "chromosome":
-        return rows.withColumn("pool", F.col("x"))
-    if pool != "genome":
+
+def pools(track: DataFrame, pool: str) -> tuple[DataFrame, list[str]]:
+    """What the global test samples from, and the columns it goes by: the kept values, sorted, of all its source's chromosomes (genome) or of its own (chromosome)."""
+    if pool not in ("genome", "chromosome"):
         raise ValueError(f"no such pool: {pool}")
-    return rows.join(kept.groupBy("source").agg(F.sort_array(F.collect_list("x")).alias("pool")), "source")
+    by = PLACE if pool == "chromosome" else ["source"]
+    return track.where("kept").groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("pool")), by
 
 
-def candidates(track: DataFrame, pool: str = "genome", settings: Settings = Settings()) -> DataFrame:
-    """AUDIT: a row for each candidate looked at, or for a node without a valid one.  Chromosomes of no or one kept bin have none."""
+def looked_at(x: np.ndarray, start: int, end: int, n: int, s: Settings) -> Iterator[tuple]:
+    """The candidates of a node of n kept bins' chromosome, best first, up to the first of valid geometry: rank to reasons of AUDIT, without bin."""
+    ad = ad_statistics(x)
+    for rank, local in enumerate(best_first(ad).tolist(), 1):
+        reasons = geometry_reasons(start, end, start + local, n, s.min_child, s.min_terminal)
+        yield rank, start + local, float(ad[local - 1]), local, end - start - local, not reasons, ";".join(reasons)
+        if not reasons:
+            return
+    yield None, None, None, None, None, False, "no_valid_candidate"
+
+
+def _seen(nodes: DataFrame, s: Settings) -> DataFrame:
+    """The rows of looked_at for nodes (PLACE, depth, node_start, node_end, i, x of the whole chromosome)."""
+    columns = [f for f in AUDIT.split(", ") if f.split()[0] not in ("tested", "p_local", "p_global", "accepted")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in AUDIT.split(", ")]
         for rows in batches:
             out = []
-            for source, chrom, i, x, values in zip(*(rows[c] for c in (*PLACE, "i", "x", "pool"))):
-                for r in examined(np.asarray(x), np.asarray(values), f"{source}:{chrom}", settings):
-                    out.append((source, chrom, *r[:5], None if r[4] is None else int(i[r[4]]), *r[5:]))
+            for source, chrom, depth, start, end, i, x in zip(*(rows[c] for c in (*PLACE, "depth", "node_start", "node_end", "i", "x"))):
+                for r in looked_at(np.asarray(x)[start:end], start, end, len(x), s):
+                    out.append((source, chrom, depth, start, end, *r[:2], None if r[1] is None else int(i[r[1]]), *r[2:]))
             whole = {c: "Int64" for c in ("rank", "cut", "bin", "left_bins", "right_bins")}
-            yield pd.DataFrame(out, columns=names).astype(whole)
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in columns]).astype(whole)
+
+    return spread(nodes, [*PLACE, "node_start"]).mapInPandas(run, ", ".join(columns))
+
+
+def node_name(seed: int, start: str = "node_start", end: str = "node_end") -> Column:
+    """A node's name, which its permutations hang on."""
+    return F.concat_ws(":", F.lit(str(seed)), "source", F.col("chrom").cast("string"), F.col(start).cast("string"), F.col(end).cast("string"))
+
 
-    return spread(chromosomes(track, pool), PLACE).mapInPandas(run, AUDIT)
+def tested(nodes: DataFrame, chroms: DataFrame, pool: DataFrame, by: list[str], permutations: int, below: float, start: str = "node_start", end: str = "node_end") -> DataFrame:
+    """nodes with name, p_local and, where that is under `below`, p_global.
+
+    nodes: PLACE, name, the columns start and end, cut, ad; chroms and pool: of chromosomes() and pools().
+    """
+    one = [(F.col(end) - F.col(start)).alias("size"), (F.col("cut") - F.col(start)).alias("cut"), F.col("ad").alias("observed")]
+    inner = F.slice("x", F.col(start) + 1, F.col(end) - F.col(start)).alias("x")
+    local = permutation_ps(nodes.join(chroms, PLACE).select("name", inner, *one), permutations).withColumnRenamed("p", "p_local")
+    nodes = written(nodes.join(local, "name"))
+    left = nodes.where(F.col("p_local") < below).join(pool, by).select(F.concat("name", F.lit(":pool")).alias("name"), F.col("pool").alias("x"), *one)
+    whole = permutation_ps(left, permutations).select(F.regexp_replace("name", ":pool$", "").alias("name"), F.col("p").alias("p_global"))
+    return nodes.join(whole, "name", "left")
+
+
+def candidates(track: DataFrame, pool: str = "genome", settings: Settings = Settings()) -> DataFrame:
+    """AUDIT: a row for each candidate looked at, or for a node without a valid one.  Chromosomes of no or one kept bin have none.
+
+    In each node the first candidate of valid geometry is tested, within the node and then against the pool;
+    whether it fails or passes, the node's other candidates aren't looked at.  All nodes of a level are
+    tested together; the next level's are the children of the accepted ones.
+    """
+    s, names = settings, [f.split()[0] for f in AUDIT.split(", ")]
+    values, by = pools(track, pool)
+    chroms, values = written(chromosomes(track)), written(values)
+    nodes = chroms.select(*PLACE, F.lit(0).alias("depth"), F.lit(0).cast("long").alias("node_start"), F.size("x").cast("long").alias("node_end"))
+    done = None
+    for _ in range(s.depths):
+        found = written(_seen(nodes.where("node_end - node_start >= 2").join(chroms, PLACE), s).withColumn("name", node_name(s.seed)))
+        ps = tested(found.where("valid").select(*PLACE, "name", "node_start", "node_end", "cut", "ad"), chroms, values, by, s.permutations, s.alpha)
+        ps = ps.select("name", F.lit(True).alias("tested"), "p_local", "p_global", F.coalesce(F.col("p_global") < s.alpha, F.lit(False)).alias("accepted"))
+        rows = found.where("valid").join(ps, "name").unionByName(found.where("NOT valid").withColumns({"tested": F.lit(False), "accepted": F.lit(False)}), allowMissingColumns=True)
+        rows = written(rows.select(*names))
+        done = rows if done is None else done.union(rows)
+        taken = rows.where("accepted")
+        if taken.isEmpty():
+            break
+        sides = F.array(F.struct(F.col("node_start").alias("a"), F.col("cut").alias("b")), F.struct(F.col("cut").alias("a"), F.col("node_end").alias("b")))
+        nodes = taken.select(*PLACE, (F.col("depth") + 1).alias("depth"), F.explode(sides).alias("side")).select(*PLACE, "depth", F.col("side.a").alias("node_start"), F.col("side.b").alias("node_end"))
+    return done
 
 
 def breakpoints(found: DataFrame, track: DataFrame) -> DataFrame:
@@ -155,18 +185,41 @@ def inspected(x: np.ndarray, pool: np.ndarray, name: str, depths: int, permutati
 
 
 def split_trees(track: DataFrame, depths: int = 2, permutations: int = 1000, alpha: float = 0.001, seed: int = 42) -> DataFrame:
-    """TREE: the nodes of each chromosome's tree of best splits, positions counted among kept bins; the global test samples the source's genome."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in TREE.split(", ")]
+    """TREE: the nodes of each chromosome's tree of best splits, positions counted among kept bins; the global test samples the source's genome.
+
+    Without geometry, both tests in each node.  Accepted splits are followed to `depths` levels; below a
+    rejected root its two children are shown as hypothetical, never deeper.
+    """
+    if not 1 <= depths <= 10:
+        raise ValueError("a tree has 1 to 10 levels")
+    names = [f.split()[0] for f in TREE.split(", ")]
+    values, by = pools(track, "genome")
+    chroms, values = written(chromosomes(track)), written(values)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = [
-                (source, chrom, *r)
-                for source, chrom, x, pool in zip(*(rows[c] for c in (*PLACE, "x", "pool")))
-                for r in inspected(np.asarray(x), np.asarray(pool), f"{source}:{chrom}", depths, permutations, alpha, seed)
-            ]
-            yield pd.DataFrame(out, columns=names).astype({"cut": "Int64"})
-
-    return spread(chromosomes(track, "genome"), PLACE).mapInPandas(run, TREE)
+            ads = [ad_statistics(np.asarray(x)[a:b]) for x, a, b in zip(rows["x"], rows["start"], rows["end"])]
+            at = [int(best_first(ad)[0]) if len(ad) else None for ad in ads]
+            cut = pd.array([None if k is None else a + k for k, a in zip(at, rows["start"])], dtype="Int64")
+            yield rows.drop(columns=["x", "i"]).assign(cut=cut, ad=[None if k is None else float(ad[k - 1]) for k, ad in zip(at, ads)])
+
+    nodes = chroms.select(*PLACE, F.lit("root").alias("side"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("start"), F.size("x").cast("long").alias("end"), F.lit(True).alias("parent"))
+    done = None
+    for depth in range(depths):
+        shown = spread(nodes.join(chroms, PLACE), [*PLACE, "start"])
+        found = written(shown.mapInPandas(best, "source string, chrom int, side string, depth int, start long, end long, parent boolean, cut long, ad double").withColumn("name", node_name(seed, "start", "end")))
+        ps = tested(found.where("cut IS NOT NULL").select(*PLACE, "name", "start", "end", "cut", "ad"), chroms, values, by, permutations, 2.0, "start", "end")
+        rows = found.join(ps.select("name", "p_local", "p_global"), "name", "left")
+        accepted = F.coalesce(F.col("parent") & (F.greatest("p_local", "p_global") < alpha), F.lit(False))
+        rows = written(rows.select("*", (~F.col("parent")).alias("hypothetical"), accepted.alias("accepted")).select(*names))
+        done = rows if done is None else done.union(rows)
+        split = rows.where("cut IS NOT NULL AND (accepted OR depth = 0)")
+        if depth + 1 == depths or split.isEmpty():
+            break
+        under = F.when(F.col("side") == "root", "").otherwise(F.concat("side", F.lit(".")))
+        sides = F.array(*(F.struct(F.concat(under, F.lit(k)).alias("side"), F.col(a).alias("a"), F.col(b).alias("b")) for k, a, b in (("left", "start", "cut"), ("right", "cut", "end"))))
+        nodes = split.select(*PLACE, (F.col("depth") + 1).alias("depth"), "accepted", F.explode(sides).alias("of")).select(*PLACE, "of.side", "depth", F.col("of.a").alias("start"), F.col("of.b").alias("end"), F.col("accepted").alias("parent"))
+    return done
 
 
 def first_events(x: np.ndarray, accepted: set[int]) -> list[tuple]:
