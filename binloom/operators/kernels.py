@@ -1,7 +1,6 @@
-"""The steps that are sequential within a (source, chromosome): Anderson-Darling splits, greedy merging, greedy peaks and matching.
+"""Anderson-Darling splits and greedy merging, each a grouped Arrow function per (source, chromosome); greedy peaks and matching, in rounds of windows.
 
-Each runs as one grouped Arrow function per (source, chromosome); a chromosome has some hundreds to
-thousands of bins, so a group is small whatever the number of cells.
+A chromosome has some hundreds to thousands of bins, so a group is small whatever the number of cells.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from binloom.functions.shared import written
@@ -85,7 +85,7 @@ def permutation_p(left: np.ndarray, right: np.ndarray, observed: float, n: int,
 
 def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows dealt by keys to a fixed number of tasks: groups of few bytes but much work would else be put in one."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def split_tests(profile: DataFrame, cuts: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:
@@ -228,42 +228,48 @@ def merged_boundaries(profile: DataFrame, boundaries: DataFrame, rules: RuleSet)
 
 
 def greedy_peaks(curves: DataFrame, value: str = "ad", at: str = "cut", apart: int = 60, most: int = 5) -> DataFrame:
-    """The highest local maxima of each curve that lie at least `apart` bins from higher ones: source, chrom, rank, position, value."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at)
-        y, p = rows[value].to_numpy(), rows[at].to_numpy()
-        padded = np.concatenate([[-np.inf], y, [-np.inf]])
-        top = np.flatnonzero((y >= padded[:-2]) & (y > padded[2:]))
-        chosen: list[int] = []
-        for k in top[np.argsort(-y[top], kind="stable")]:
-            if all(abs(p[k] - p[c]) >= apart for c in chosen):
-                chosen.append(k)
-            if len(chosen) == most:
-                break
-        return pd.DataFrame({"source": rows["source"].iloc[0], "chrom": rows["chrom"].iloc[0], "rank": np.arange(1, len(chosen) + 1), "position": p[chosen], "value": y[chosen]})
+    """The highest local maxima of each curve that lie at least `apart` bins from higher ones: source, chrom, rank, position, value.
 
-    return curves.groupBy(*PLACE).applyInPandas(run, "source string, chrom int, rank int, position long, value double")
+    In each round all peaks that are the highest within reach are taken and their rivals go, which comes to
+    the same as taking one after the other from the highest down; of equal ones the lower place is first.
+    Values count to nine digits.
+    """
+    place, height = W.partitionBy(*PLACE).orderBy("position"), F.struct("value", (-F.col("position")).alias("p"))
+    before, after = (f(F.col("value")).over(place) for f in (F.lag, F.lead))
+    rows = curves.select(*PLACE, F.col(at).cast("long").alias("position"), F.round(value, 9).alias("value"))
+    tops = rows.withColumns({"before": before, "after": after}).where("(before IS NULL OR value >= before) AND (after IS NULL OR value > after)")
+    left, taken = written(tops.select(*PLACE, "position", "value")), None
+    reach = place.rangeBetween(-(apart - 1), apart - 1)
+    while not left.isEmpty():
+        marked = written(left.withColumn("first", F.max(height).over(reach) == height))
+        won = marked.where("first").select(*PLACE, "position", "value")
+        taken = won if taken is None else taken.union(won)
+        left = written(marked.withColumn("lost", F.max("first").over(reach)).where("NOT lost").select(*PLACE, "position", "value"))
+    taken = left if taken is None else taken
+    rank = F.row_number().over(W.partitionBy(*PLACE).orderBy(F.desc("value"), "position"))
+    return taken.withColumn("rank", rank).where(F.col("rank") <= most).select(*PLACE, "rank", "position", "value")
 
 
 def match_one_to_one(a: DataFrame, b: DataFrame, tolerance: int) -> DataFrame:
-    """Pairs of breakpoints (source, chrom, bin) of two sets within the tolerance: nearest first, each breakpoint once.
+    """Pairs of breakpoints (source, chrom, bin) of two sets within the tolerance, nearest first, each breakpoint once: source, chrom, a_bin, b_bin, distance.
 
-    Candidates come from joining tiles of the tolerance's width on keys, not from comparing all pairs.
+    Candidates come from joining tiles of the tolerance's width on keys, not from comparing all pairs.  A
+    pair that is first among all pairs of both its ends is taken, all such pairs in one round; their ends'
+    other pairs go.  That comes to the same as taking the nearest pair again and again.
     """
     width = tolerance + 1
     tile = F.floor(F.col("bin") / width)
     left = a.select(*PLACE, F.col("bin").alias("a_bin"), tile.alias("tile"))
     right = b.select(*PLACE, F.col("bin").alias("b_bin"), F.explode(F.array(tile - 1, tile, tile + 1)).alias("tile"))
     near = left.join(right, [*PLACE, "tile"]).withColumn("distance", F.abs(F.col("a_bin") - F.col("b_bin"))).where(F.col("distance") <= tolerance)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["distance", "a_bin", "b_bin"])
-        used_a, used_b, keep = set(), set(), []
-        for x, y in zip(rows["a_bin"], rows["b_bin"]):
-            keep.append(x not in used_a and y not in used_b)
-            if keep[-1]:
-                used_a.add(x)
-                used_b.add(y)
-        return rows[keep]
-
-    return near.select(*PLACE, "a_bin", "b_bin", "distance").groupBy(*PLACE).applyInPandas(run, "source string, chrom int, a_bin long, b_bin long, distance long")
+    rows, taken = written(near.select(*PLACE, "a_bin", "b_bin", "distance").distinct()), None
+    pair = F.struct("distance", "a_bin", "b_bin")
+    ends = [W.partitionBy(*PLACE, "a_bin"), W.partitionBy(*PLACE, "b_bin")]
+    while not rows.isEmpty():
+        first = [F.min(pair).over(w) == pair for w in ends]
+        marked = written(rows.withColumn("won", first[0] & first[1]))
+        won = marked.where("won").drop("won")
+        taken = won if taken is None else taken.union(won)
+        lost = {f"lost{k}": F.max("won").over(w) for k, w in enumerate(ends)}
+        rows = written(marked.withColumns(lost).where("NOT lost0 AND NOT lost1").drop("won", *lost))
+    return rows if taken is None else taken

@@ -104,8 +104,8 @@ def cells(g: Genome) -> DataFrame:
 
 
 def allele_counts(g: Genome) -> DataFrame:
-    rows = g.with_sources(g.lines.select("cell", "day", "status")).join(g.bins, "day")
-    return rows.groupBy("source", "chrom", "i").agg(F.count_if(F.col("status") == "F").alias("ha"), F.count_if(F.col("status") == "O").alias("hb"))
+    rows = g.with_sources(g.daily).join(g.bins, "day")
+    return rows.groupBy("source", "chrom", "i").agg(F.sum("ha").alias("ha"), F.sum("hb").alias("hb"))
 
 
 # scans and integrity
@@ -277,11 +277,35 @@ def _partition(g: Genome, source: str | None = None) -> DataFrame:
 
 
 query("j6_segment_bins", "source chrom:i i:i seg:i", "SELECT * FROM lab")(labelled)
-query("j7_interval_overlap", "chrom:i a_s:i b_s:i shared:i", "SELECT a.chrom, a.s AS a_s, b.s AS b_s, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM st AS a JOIN st AS b ON a.source = 'cluster0' AND b.source = 'cluster1' AND a.chrom = b.chrom AND a.s < b.e AND b.s < a.e")(
-    lambda g: cohort.overlap_join(_partition(g, "cluster0").select("chrom", F.col("s").alias("a_s"), F.col("e").alias("a_e")), _partition(g, "cluster1").select("chrom", F.col("s").alias("b_s"), F.col("e").alias("b_e")), ["chrom"])
+_PAIRS = "chrom:i a_source b_source "
+query("j7_interval_overlap", _PAIRS + "a_s:i b_s:i shared:i", "SELECT a.chrom, a.source AS a_source, b.source AS b_source, a.s AS a_s, b.s AS b_s, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM st AS a JOIN st AS b ON a.source < b.source AND a.chrom = b.chrom AND a.s < b.e AND b.s < a.e")(
+    lambda g: cohort.overlap_join(*(_sides(g, segments.segment_summaries(labelled(g)).select(*PLACE, F.col("s").alias(f"{k}_s"), F.col("e").alias(f"{k}_e")), k) for k in "ab"), ["chrom", "a_source", "b_source"])
 )
-query("j8_band_matching", "source chrom:i a_bin:i b_bin:i distance:i")(
-    lambda g: kernels.match_one_to_one(g.boundaries.where("source = 'cluster0'"), g.boundaries.where("source = 'cluster1'").withColumn("source", F.lit("cluster0")), 30)
+
+
+def _sides(g: Genome, rows: DataFrame, side: str) -> DataFrame:
+    """rows of each source as one side of all its pairs with other sources, the lesser name first."""
+    others = F.explode(F.array(*map(F.lit, g.sources))).alias("other")
+    pairs = rows.select("*", others).where("source < other" if side == "a" else "other < source")
+    return pairs.withColumnsRenamed({"source": f"{side}_source", "other": "b_source" if side == "a" else "a_source"})
+
+
+def _paired(g: Genome, side: str) -> DataFrame:
+    """The boundaries of one side of all pairs of sources, with both names as their source."""
+    return _sides(g, g.boundaries, side).select(F.concat_ws("|", "a_source", "b_source").alias("source"), "chrom", "bin")
+
+
+def greedy_sql(near: str) -> str:
+    """Greedy matching of pairs (source, chrom, a_bin, b_bin, distance) in SQL: one pair after another."""
+    return f"""WITH RECURSIVE near AS (SELECT *, row_number() OVER (PARTITION BY source, chrom ORDER BY distance, a_bin, b_bin) AS k FROM ({near})),
+ walk AS (SELECT source, chrom, 0::BIGINT AS k, false AS won, []::BIGINT[] AS as_, []::BIGINT[] AS bs, NULL::BIGINT AS a_bin, NULL::BIGINT AS b_bin, NULL::BIGINT AS distance FROM (SELECT DISTINCT source, chrom FROM near)
+ UNION ALL SELECT source, chrom, k, free, CASE WHEN free THEN list_append(as_, a_bin) ELSE as_ END, CASE WHEN free THEN list_append(bs, b_bin) ELSE bs END, a_bin, b_bin, distance
+ FROM (SELECT w.source, w.chrom, n.k, NOT list_contains(w.as_, n.a_bin) AND NOT list_contains(w.bs, n.b_bin) AS free, w.as_, w.bs, n.a_bin, n.b_bin, n.distance FROM walk AS w JOIN near AS n ON n.source = w.source AND n.chrom = w.chrom AND n.k = w.k + 1))
+ SELECT source, chrom, a_bin, b_bin, distance FROM walk WHERE won"""
+
+
+query("j8_band_matching", "source chrom:i a_bin:i b_bin:i distance:i", greedy_sql("SELECT a.source || '|' || b.source AS source, a.chrom, a.bin AS a_bin, b.bin AS b_bin, abs(a.bin - b.bin) AS distance FROM boundaries AS a JOIN boundaries AS b ON a.source < b.source AND a.chrom = b.chrom AND abs(a.bin - b.bin) <= 30"))(
+    lambda g: kernels.match_one_to_one(_paired(g, "a"), _paired(g, "b"), 30)
 )
 query("j9_kept_breakpoints", "source chrom:i bin:i", "SELECT * FROM boundaries WHERE (source, chrom, bin) IN (SELECT source, chrom, s FROM st WHERE n <= 31)")(
     lambda g: g.boundaries.join(segments.segment_summaries(labelled(g)).where(F.col("n") <= MAX_BINS).select(*PLACE, F.col("s").alias("bin")), [*PLACE, "bin"], "left_semi")
@@ -358,13 +382,6 @@ query("g3_genome_labels", "source g:i label:i", "SELECT source, g, 1 + sum(CASE
 query("g10_geometry", "source chrom:i bin:i valid", "SELECT b.source, b.chrom, b.bin, b.bin >= 50 AND n - b.bin >= 50 AS valid FROM boundaries AS b JOIN (SELECT chrom, count(*) AS n FROM bins GROUP BY chrom) USING (chrom)")(
     lambda g: g.boundaries.join(g.chroms.select("chrom", "n"), "chrom").withColumn("valid", (F.col("bin") >= 50) & (F.col("n") - F.col("bin") >= 50))
 )
-_CURVE = """SELECT source, chrom, cut, any_value(n - 1) / any_value(n) * sum(l / n * (power(n * m - cut * ba, 2) / cut + power(n * (ba - m) - (n - cut) * ba, 2) / (n - cut)) / (ba * (n - ba) - n * l / 4)) AS ad FROM (
- SELECT a.source, a.chrom, a.i AS cut, z.z, z.l, z.ba, z.n, sum(CASE WHEN p.x < z.z THEN 1::DOUBLE WHEN p.x = z.z THEN 0.5::DOUBLE ELSE 0::DOUBLE END) AS m
- FROM (SELECT * FROM profile WHERE source = 'all' AND chrom = 1997 AND i >= 1) AS a JOIN (SELECT *, sum(l) OVER (PARTITION BY source, chrom ORDER BY z) - l / 2 AS ba, sum(l) OVER (PARTITION BY source, chrom) AS n FROM (SELECT source, chrom, x AS z, count(*)::DOUBLE AS l FROM profile GROUP BY ALL)) AS z ON z.source = a.source AND z.chrom = a.chrom
- JOIN profile AS p ON p.source = a.source AND p.chrom = a.chrom AND p.i < a.i GROUP BY ALL) GROUP BY source, chrom, cut"""
-query("g8_ad_curve", "source chrom:i cut:i ad:r", _CURVE)(lambda g: kernels.ad_curves(g.profile.where("source = 'all' AND chrom = 1997")))
-query("g11_recursive_breakpoints", "source chrom:i depth:i start:i end:i bin:i ad:r p_local:r p_global:r accepted reason")(lambda g: kernels.recursive_breakpoints(g.profile, permutations=1000, alpha=0.001))
-query("w10_greedy_peaks", "source chrom:i rank:i position:i value:r")(lambda g: kernels.greedy_peaks(kernels.ad_curves(g.profile)))
 query("m4_pooled_phi", "source chrom:i phi:r", "SELECT * FROM phi")(lambda g: segments.pooled_phi(labelled(g)))
 _SCORES = "source chrom:i seg:i s:i e:i phi:r srd_left:r srd_right:r srd_phi_left:r srd_phi_right:r delta_mean_left:r delta_mean_right:r delta_median_left:r delta_median_right:r delta_iqr_mean_left:r delta_iqr_mean_right:r gap_left gap_right"
 query("m7_hatch_scores", _SCORES, "SELECT * FROM hs")(scores)
@@ -482,8 +499,7 @@ _RATIO = f""", levels AS ({_LEVELS}),
  reps AS (SELECT source, rep, CASE WHEN sum(a * w) > 0 AND sum(b * w) > 0 THEN log2(sum(a * w) / sum(b * w)) END AS v FROM levels JOIN weights USING (source, cell) GROUP BY ALL)
  SELECT source, any_value(observed) AS observed, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, stddev_samp(v) AS se, avg(CASE WHEN sign(v) = sign(observed) THEN 1::DOUBLE ELSE 0::DOUBLE END) AS sign_agreement, count(*) FILTER (v IS NULL) AS invalid FROM reps JOIN obs USING (source) GROUP BY source"""
 _RATIO_COLUMNS = "source observed:r ci_low:r ci_high:r se:r sign_agreement:r invalid:i"
-query("b1_bootstrap", _RATIO_COLUMNS, _draws(50) + _RATIO)(lambda g: resample.bootstrap_ratio(_levels(g), resample.bootstrap_weights(g.membership, 50), "a", "b"))
-query("b1_bootstrap_whole", _RATIO_COLUMNS, _draws(REPLICATES) + _RATIO)(lambda g: resample.bootstrap_ratio(_levels(g), resample.bootstrap_weights(g.membership, REPLICATES), "a", "b"))
+query("b1_bootstrap", _RATIO_COLUMNS, _draws(REPLICATES) + _RATIO)(lambda g: resample.bootstrap_ratio(_levels(g), resample.bootstrap_weights(g.membership, REPLICATES), "a", "b"))
 
 
 @query("b3_hash_draws", "source rep:i ordinal:i draw:i", "SELECT source, rep, o AS ordinal, ('0x' || substr(md5('42:' || source || ':' || rep || ':' || o), 1, 8))::BIGINT AS draw FROM (SELECT source, unnest(range(0, n_cells)) AS o FROM n_cells) CROSS JOIN (SELECT unnest(range(1, 4)) AS rep)")

@@ -11,7 +11,7 @@ from binloom.operators import allelic, calls, cohort, kernels, resample, segment
 from binloom.operators.segments import PLACE
 from binloom.sources.genome import Genome
 
-from .catalog import _BA, _NOISE, _draws, REPLICATES, MAX_BINS, SRD_REF, STATE_CUTS, TAU, _before_after, _partition, allele_counts, cells, labelled, query, scores, states
+from .catalog import _BA, _NOISE, _draws, REPLICATES, MAX_BINS, SRD_REF, STATE_CUTS, TAU, _before_after, _partition, allele_counts, cells, labelled, query, scores, states, greedy_sql
 
 # lookups and set comparisons
 
@@ -50,8 +50,8 @@ query("a25_neighbour_overlap", "a:i b:i shared:i", f"SELECT x.chrom AS a, y.chro
 query("u3_missing_extra", "cell:i side", "(SELECT cell, 'missing' AS side FROM cells WHERE cell NOT IN (SELECT cell FROM signal WHERE chrom = 1995 AND i < 20)) UNION ALL (SELECT s_suppkey, 'extra' FROM supplier WHERE s_suppkey NOT IN (SELECT cell FROM cells))")(
     lambda g: cells(g).select("cell").subtract(g.signal.where("chrom = 1995 AND i < 20").select("cell")).withColumn("side", F.lit("missing")).union(g.read("supplier").select("s_suppkey").subtract(cells(g).select("cell")).withColumn("side", F.lit("extra")))
 )
-query("u6_boundary_sets", "chrom:i bins", "SELECT chrom, string_agg(bin::VARCHAR, ',' ORDER BY bin) AS bins FROM (SELECT DISTINCT chrom, bin FROM boundaries WHERE source IN ('cluster0', 'cluster1')) GROUP BY chrom")(
-    lambda g: g.boundaries.where("source IN ('cluster0', 'cluster1')").groupBy("chrom").agg(F.array_join(F.sort_array(F.collect_set("bin")), ",").alias("bins"))
+query("u6_boundary_sets", "chrom:i bins", "SELECT chrom, string_agg(bin::VARCHAR, ',' ORDER BY bin) AS bins FROM (SELECT DISTINCT chrom, bin FROM boundaries) GROUP BY chrom")(
+    lambda g: g.boundaries.groupBy("chrom").agg(F.array_join(F.sort_array(F.collect_set("bin")), ",").alias("bins"))
 )
 
 # profiles and tracks
@@ -93,16 +93,10 @@ query("g4_spliced_labels", "source g:i label:i", """SELECT source, g, dense_rank
 query("g9_split_tests", "source chrom:i cut:i ad:r p_local:r p_global:r")(
     lambda g: kernels.split_tests(g.profile, g.boundaries.withColumnRenamed("bin", "cut"), 1000)
 )
-query("m20_live_scores", "source chrom:i seg:i srd_left:r delta_mean_right:r", "SELECT * FROM hs WHERE source = 'cluster2'")(
-    lambda g: segments.flank_scores(segments.labelled(g.profile.where("source = 'cluster2'"), g.boundaries.where("source = 'cluster2'")))
-)
-query("m20_live_scores_whole", "source chrom:i seg:i srd_left:r delta_mean_right:r", "SELECT * FROM hs")(lambda g: segments.flank_scores(labelled(g)))
-query("m24_constituent_range", "source chrom:i range:r below", f"SELECT source, chrom, CASE WHEN count(*) = count(l) THEN max(l) - min(l) END AS range, coalesce(CASE WHEN count(*) = count(l) THEN max(l) - min(l) END < {TAU}, false) AS below FROM (SELECT source, chrom, CASE WHEN median > 0 THEN log2(median) END AS l FROM st WHERE seg < 3) GROUP BY ALL")(
-    lambda g: segments.segment_summaries(labelled(g)).where("seg < 3").withColumn("l", F.when(F.col("median") > 0, F.log2("median"))).groupBy(*PLACE).agg(F.when(F.count("*") == F.count("l"), F.max("l") - F.min("l")).alias("range")).withColumn("below", F.coalesce(F.col("range") < TAU, F.lit(False)))
-)
+query("m20_live_scores", "source chrom:i seg:i srd_left:r delta_mean_right:r", "SELECT * FROM hs")(lambda g: segments.flank_scores(labelled(g)))
 
 
-@query("m24_constituent_range_whole", "source chrom:i first:i range:r below", f"SELECT source, chrom, first, CASE WHEN count(*) = count(l) THEN max(l) - min(l) END AS range, coalesce(CASE WHEN count(*) = count(l) THEN max(l) - min(l) END < {TAU}, false) AS below FROM (SELECT source, chrom, seg - k AS first, CASE WHEN median > 0 THEN log2(median) END AS l FROM st CROSS JOIN (SELECT unnest(range(0, 3)) AS k) WHERE seg >= k) GROUP BY ALL")
+@query("m24_constituent_range", "source chrom:i first:i range:r below", f"SELECT source, chrom, first, CASE WHEN count(*) = count(l) THEN max(l) - min(l) END AS range, coalesce(CASE WHEN count(*) = count(l) THEN max(l) - min(l) END < {TAU}, false) AS below FROM (SELECT source, chrom, seg - k AS first, CASE WHEN median > 0 THEN log2(median) END AS l FROM st CROSS JOIN (SELECT unnest(range(0, 3)) AS k) WHERE seg >= k) GROUP BY ALL")
 def m24_whole(g: Genome) -> DataFrame:
     """The runs of three segments (fewer at a chromosome's end) from each segment on."""
     rows = segments.segment_summaries(labelled(g)).withColumn("l", F.when(F.col("median") > 0, F.log2("median")))
@@ -184,13 +178,11 @@ def _replicates(g: Genome, replicates: int = 20) -> DataFrame:
 _DELTAS = """, means AS (SELECT m.source, s.cell, l.chrom, l.seg, sum(s.x) / any_value(st.n) AS mean FROM signal AS s JOIN membership AS m USING (cell) JOIN lab AS l ON l.source = m.source AND l.g = s.g JOIN st ON st.source = l.source AND st.chrom = l.chrom AND st.seg = l.seg GROUP BY ALL),
  levels AS (SELECT source, rep, chrom, seg, sum(mean * w) AS m FROM means JOIN weights USING (source, cell) GROUP BY ALL),
  deltas AS (SELECT source, rep, chrom, seg, CASE WHEN m > 0 AND p > 0 THEN log2(m / p) END AS delta_left, CASE WHEN m > 0 AND q > 0 THEN log2(m / q) END AS delta_right FROM (SELECT *, lag(m) OVER w AS p, lead(m) OVER w AS q FROM levels WINDOW w AS (PARTITION BY source, rep, chrom ORDER BY seg)))"""
-_FLANKS, _WHOLE_FLANKS = _draws(20) + _DELTAS, _draws(REPLICATES) + _DELTAS
-query("b6_flank_replicates", "source rep:i chrom:i seg:i delta_left:r delta_right:r", f"{_FLANKS} SELECT * FROM deltas WHERE source = 'cluster0'")(lambda g: _replicates(g).where("source = 'cluster0'"))
-query("b6_flank_replicates_whole", "source rep:i chrom:i seg:i delta_left:r delta_right:r", f"{_WHOLE_FLANKS} SELECT * FROM deltas")(lambda g: _replicates(g, REPLICATES))
+_FLANKS = _draws(REPLICATES) + _DELTAS
+query("b6_flank_replicates", "source rep:i chrom:i seg:i delta_left:r delta_right:r", f"{_FLANKS} SELECT * FROM deltas")(lambda g: _replicates(g, REPLICATES))
 _UNCERTAIN = "source chrom:i seg:i n_valid:i se_left:r se_right:r covariance:r withheld"
 _UNCERTAINTY = " SELECT source, chrom, seg, count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) AS n_valid, stddev_samp(delta_left) AS se_left, stddev_samp(delta_right) AS se_right, covar_samp(delta_left, delta_right) AS covariance, CASE WHEN count(delta_left) = 0 OR count(delta_right) = 0 THEN 'terminal' WHEN count(*) FILTER (delta_left IS NOT NULL AND delta_right IS NOT NULL) < 10 THEN 'too_few' ELSE '' END AS withheld FROM deltas GROUP BY ALL"
-query("b8_flank_uncertainty", _UNCERTAIN, _FLANKS + _UNCERTAINTY)(lambda g: resample.flank_uncertainty(_replicates(g)))
-query("b8_flank_uncertainty_whole", _UNCERTAIN, _WHOLE_FLANKS + _UNCERTAINTY)(lambda g: resample.flank_uncertainty(_replicates(g, REPLICATES)))
+query("b8_flank_uncertainty", _UNCERTAIN, _FLANKS + _UNCERTAINTY)(lambda g: resample.flank_uncertainty(_replicates(g, REPLICATES)))
 
 
 def _side_summary(g: Genome) -> DataFrame:
@@ -201,8 +193,7 @@ def _side_summary(g: Genome) -> DataFrame:
 
 query("b7_flank_z", "source chrom:i seg:i side delta:r se:r z_boot:r n_missing:i zero_pair withheld")(_side_summary)
 query("b9_screen_bootstrap", "source chrom:i seg:i side delta:r se_delta:r low_delta:r high_delta:r agree_delta:r srd:r se_srd:r low_srd:r high_srd:r agree_srd:r")(lambda g: _side_summary(g).where("NOT terminal"))
-query("b4_bootstrap_weights", "source rep:i cell:i w:i", f"{_draws(20)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, 20))
-query("b4_bootstrap_weights_whole", "source rep:i cell:i w:i", f"{_draws(REPLICATES)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, REPLICATES))
+query("b4_bootstrap_weights", "source rep:i cell:i w:i", f"{_draws(REPLICATES)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, REPLICATES))
 _DRAWN = "('0x' || substr(md5('42:' || p.source || ':' || p.chrom || ':' || p.i), 1, 8))::BIGINT"
 query("e2_extend", "source chrom:i i:i edited:r", f"SELECT p.source, p.chrom, p.i, coalesce(d.x, p.x) AS edited FROM profile AS p LEFT JOIN profile AS d ON d.source = p.source AND d.chrom = p.chrom AND p.i BETWEEN 100 AND 149 AND d.i = 20 + {_DRAWN} % 15")(
     lambda g: resample.region_draws(g.profile, g.profile.where("i BETWEEN 20 AND 34").select(*PLACE, (F.col("i") - 20).alias("k"), "x"), 100, 150)
@@ -217,7 +208,9 @@ query("e3_edited_scores", "source chrom:i seg:i before:r after:r", "SELECT sourc
 # allelic against depth
 
 query("l3_track", "i:i dbaf:r", "SELECT i, dbaf FROM sig WHERE source = 'all' AND chrom = 1998 AND kept")(lambda g: allelic.signals(allele_counts(g), 5).where("source = 'all' AND chrom = 1998 AND kept"))
-query("l7_agreement", "source n_a:i n_b:i n_matched:i a_only:i b_only:i median_offset:r")(
+_AGREED = greedy_sql("SELECT a.source, a.chrom, a.bin AS a_bin, b.bin AS b_bin, abs(a.bin - b.bin) AS distance FROM boundaries AS a JOIN boundaries AS b ON a.source <> 'all' AND b.source = 'all' AND a.chrom = b.chrom AND abs(a.bin - b.bin) <= 3")
+query("l7_agreement", "source n_a:i n_b:i n_matched:i a_only:i b_only:i median_offset:r", f"""SELECT source, n_a, n_b, coalesce(n, 0) AS n_matched, n_a - coalesce(n, 0) AS a_only, n_b - coalesce(n, 0) AS b_only, median_offset FROM (SELECT source, count(*) AS n_a FROM boundaries WHERE source <> 'all' GROUP BY source) CROSS JOIN (SELECT count(*) AS n_b FROM boundaries WHERE source = 'all')
+ LEFT JOIN (SELECT source, count(*) AS n, median(b_bin - a_bin) AS median_offset FROM ({_AGREED}) GROUP BY source) USING (source)""")(
     lambda g: allelic.agreement(g.boundaries.where("source <> 'all'"), _all_for_each(g), kernels.match_one_to_one(g.boundaries.where("source <> 'all'"), _all_for_each(g), 3))
 )
 
@@ -226,12 +219,13 @@ def _all_for_each(g: Genome) -> DataFrame:
     return g.boundaries.where("source = 'all'").drop("source").withColumn("source", F.explode(F.array(*[F.lit(s) for s in g.sources if s != "all"])))
 
 
-@query("l9_call_shares", "chrom:i a_s:i code:i bins:i share:r rank:i", """SELECT chrom, a_s, code, bins, bins::DOUBLE / sum(bins) OVER (PARTITION BY chrom, a_s) AS share, row_number() OVER (PARTITION BY chrom, a_s ORDER BY bins DESC, code) AS rank FROM (SELECT a.chrom, a.s AS a_s, coalesce(round_even(b.state * 2, 0), 255)::INT AS code, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS bins
- FROM st AS a JOIN states AS b ON a.source = 'all' AND b.source = 'cluster1' AND a.chrom = b.chrom AND a.s < b.e AND b.s < a.e GROUP BY ALL)""")
+@query("l9_call_shares", "source chrom:i a_s:i code:i bins:i share:r rank:i", """SELECT source, chrom, a_s, code, bins, bins::DOUBLE / sum(bins) OVER (PARTITION BY source, chrom, a_s) AS share, row_number() OVER (PARTITION BY source, chrom, a_s ORDER BY bins DESC, code) AS rank FROM (SELECT b.source, a.chrom, a.s AS a_s, coalesce(round_even(b.state * 2, 0), 255)::INT AS code, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS bins
+ FROM st AS a JOIN states AS b ON a.source = 'all' AND b.source <> 'all' AND a.chrom = b.chrom AND a.s < b.e AND b.s < a.e GROUP BY ALL)""")
 def l9(g: Genome) -> DataFrame:
-    a = _partition(g, "all").select("chrom", F.col("s").alias("a_s"), F.col("e").alias("a_e"))
-    b = states(g).where("source = 'cluster1'").select("chrom", F.col("s").alias("b_s"), F.col("e").alias("b_e"), calls.encode_states(F.col("state")).alias("code"))
-    return allelic.call_shares(cohort.overlap_join(a, b, ["chrom"]), ["chrom", "a_s"], "code")
+    clusters = F.explode(F.array(*map(F.lit, g.sources[:-1]))).alias("source")
+    a = _partition(g, "all").select(clusters, "chrom", F.col("s").alias("a_s"), F.col("e").alias("a_e"))
+    b = states(g).where("source <> 'all'").select("source", "chrom", F.col("s").alias("b_s"), F.col("e").alias("b_e"), calls.encode_states(F.col("state")).alias("code"))
+    return allelic.call_shares(cohort.overlap_join(a, b, ["source", "chrom"]), ["source", "chrom", "a_s"], "code")
 
 
 @query("z21_table_mismatches", "source chrom:i seg:i", "SELECT source, chrom, seg FROM st WHERE abs(mean - median) > 0.5::DOUBLE")

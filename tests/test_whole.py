@@ -16,7 +16,7 @@ def genome(spark):
     return {tuple(r) for r in g.profile.select("source", "chrom").distinct().collect()}, {tuple(r) for r in g.boundaries.select("source", "chrom", "bin").collect()}
 
 
-@pytest.mark.parametrize("name", ["g8_ad_curve_whole", "m20_live_scores_whole", "m24_constituent_range_whole", "b6_flank_replicates_whole"])
+@pytest.mark.parametrize("name", ["g8_ad_curve", "m20_live_scores", "m24_constituent_range", "b6_flank_replicates"])
 def test_every_place(spark, genome, name):
     rows = catalog.queries()[name](spark, SF).select("source", "chrom").distinct().collect()
     assert {tuple(r) for r in rows} == genome[0]
@@ -40,6 +40,6 @@ def test_production_parameters(spark, genome):
     """1000 permutations: p-values are parts of 1001; 200 replicates of every source."""
     p = [r.p_local for r in catalog.queries()["g11_recursive_breakpoints"](spark, SF).collect() if r.p_local is not None]
     assert p and all(abs(v * 1001 - round(v * 1001)) < 1e-2 for v in p) and any(abs(v * 101 - round(v * 101)) > 1e-2 for v in p)
-    for name in ("b4_bootstrap_weights_whole", "b6_flank_replicates_whole"):
+    for name in ("b4_bootstrap_weights", "b6_flank_replicates"):
         reps = {tuple(r) for r in catalog.queries()[name](spark, SF).select("source", "rep").distinct().collect()}
         assert reps == {(s, k) for s, _ in genome[0] for k in range(1, 201)}
