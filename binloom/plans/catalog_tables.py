@@ -12,7 +12,7 @@ from binloom.functions import stats
 from binloom.operators import calls, segments
 from binloom.operators.segments import PLACE
 from binloom.functions.shared import folder
-from binloom.sources import tables
+from binloom.sources import matrix, tables
 from binloom.sources.genome import Genome
 
 from .catalog import labelled, query, states
@@ -34,17 +34,81 @@ query("s2_level_codes", "source chrom:i seg:i cn:r code:i", "SELECT source, chro
 query("s2_bad_levels", "source chrom:i seg:i cn:r", "SELECT source, chrom, seg, mean AS cn FROM states WHERE NOT mean IN (0, 0.5, 1, 1.5, 2)")(lambda g: tables.bad_levels(states(g).withColumnRenamed("mean", "cn")))
 
 
+#: The columns of the wide table: the nations, whose number is fixed.
+NATIONS = 25
+
+
 def _wide(g: Genome) -> DataFrame:
-    """Bins by cells, a column a cell."""
-    rows = g.signal.join(g.bins.select("g", F.col("chrom").cast("string").alias("chr"), "start", "end"), "g")
-    return rows.groupBy(*tables.COORDINATES).pivot("cell").agg(F.sum("x")).na.fill(0.0)
+    """Bins by nations, a column a nation: what its suppliers shipped."""
+    supplier = g.read("supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("nation"))
+    rows = g.signal.join(supplier, "cell").join(g.bins.select("g", "start", "end"), "g")
+    sums = [F.sum(F.when(F.col("nation") == k, F.col("x")).otherwise(0.0)).alias(f"n{k}") for k in range(NATIONS)]
+    return rows.groupBy(F.col("chrom").cast("string").alias("chr"), "start", "end").agg(*sums)
 
 
-query("s12_wide_sums", "source chr start:i total:r", 'SELECT source, chrom::VARCHAR AS chr, "start", coalesce(total, 0) AS total FROM bins CROSS JOIN n_cells LEFT JOIN totals USING (source, g)')(
-    lambda g: tables.sum_by_source(_wide(g), g.membership.withColumn("cell", F.col("cell").cast("string")))
+@query("s12_wide_sums", "source chr start:i total:r", """SELECT source, chrom::VARCHAR AS chr, "start", sum(CASE WHEN source IN (r, 'all') THEN x ELSE 0::DOUBLE END) AS total FROM (SELECT unnest(list_append(list(r_name), 'all')) AS source FROM region) CROSS JOIN
+ (SELECT signal.chrom, "start", signal.x, r_name AS r FROM signal JOIN bins USING (g) JOIN supplier ON s_suppkey = cell JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey) GROUP BY ALL""")
+def s12(g: Genome) -> DataFrame:
+    """A stored wide table summed by region and over all."""
+    path = _place(g)
+    _wide(g).write.parquet(path)
+    nations = g.read("nation").join(g.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    members = nations.select(F.explode(F.array("r_name", F.lit("all"))).alias("source"), F.concat(F.lit("n"), "n_nationkey").alias("cell"))
+    return tables.sum_by_source(g.spark, path, members)
+
+
+query("l2_input_problems", "name problem n:i", "SELECT 'HA' AS name, 'barcodes_missing' AS problem, count(*) AS n FROM nation WHERE n_nationkey % 10 = 3 HAVING count(*) > 0")(
+    lambda g: tables.input_problems(_wide(g).drop("n3", "n13", "n23"), g.bins.withColumn("chr", F.col("chrom").cast("string")), g.read("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("cell")), "HA")
 )
-query("l2_input_problems", "name problem n:i", "SELECT 'HA' AS name, 'barcodes_missing' AS problem, count(*) AS n FROM cells WHERE cell % 10 = 3 HAVING count(*) > 0")(
-    lambda g: tables.input_problems(_wide(g).drop(*[str(r.cell) for r in g.membership.where("source = 'all' AND cell % 10 = 3").collect()]), g.bins.withColumn("chr", F.col("chrom").cast("string")), g.membership.where("source = 'all'").select(F.col("cell").cast("string").alias("cell")), "HA")
+
+
+def _matrix(g: Genome, rows: DataFrame, kind: str) -> DataFrame:
+    path = _place(g)
+    matrix.write_matrix(rows, path, kind)
+    return matrix.read_matrix(g.spark, path, kind)
+
+
+def _signal_rows(g: Genome) -> DataFrame:
+    return matrix.sparse_rows(g.signal, "cell", "g", "x")
+
+
+@query("s2_dense_levels", "source:i g:i cn:r code:i", "SELECT number AS source, g, state AS cn, round_even(state * 2, 0) AS code FROM lab JOIN states USING (source, chrom, seg) JOIN (SELECT source, row_number() OVER (ORDER BY source) - 1 AS number FROM n_cells) USING (source)")
+def s2_dense(g: Genome) -> DataFrame:
+    """Levels as a dense matrix of sources by bins, written in blocks of rows, read again, checked and coded."""
+    number = F.array_position(F.array(*map(F.lit, sorted(g.sources))), F.col("source")) - 1
+    cells = labelled(g).join(states(g).select(*PLACE, "seg", "state"), [*PLACE, "seg"]).select(number.alias("row"), "g", F.coalesce("state", F.lit(float("nan"))).alias("state"))
+    read = _matrix(g, matrix.sparse_rows(cells, "row", "g", "state").select("row", "values"), "dense")
+    long = read.select(F.col("row").alias("source"), F.posexplode("values").alias("g", "x")).withColumn("cn", F.when(~F.isnan("x"), F.col("x")))
+    return tables.level_codes(long)
+
+
+query("s3_row_pointers", "row:i n:i", "SELECT cell AS row, count(*) AS n FROM signal GROUP BY cell")(
+    lambda g: matrix.read_matrix(g.spark, _written_signal(g), "pointers")
+)
+query("s5_sparse_blocks", "cell:i g:i x:r", "SELECT cell, g, x FROM signal")(lambda g: matrix.entries(matrix.read_matrix(g.spark, _written_signal(g), "sparse")).toDF("cell", "g", "x"))
+query("s4_dense_row", "g:i x:r", "SELECT b.g, coalesce(s.x, 0) AS x FROM bins AS b LEFT JOIN (SELECT * FROM signal WHERE cell = 7) AS s USING (g)")(
+    lambda g: matrix.dense_row(matrix.read_matrix(g.spark, _written_signal(g), "sparse"), 7, g.bins.count())
+)
+
+
+def _written_signal(g: Genome) -> str:
+    path = _place(g)
+    matrix.write_matrix(_signal_rows(g), path, "sparse")
+    return path
+
+
+_SHARED = "SELECT a.l_suppkey AS source, b.l_suppkey AS target, count(*) AS weight FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL"
+
+
+def shared_orders(g: Genome) -> DataFrame:
+    """source, target, weight of a graph of suppliers: how often two of them have lines of one order, which has few lines."""
+    lines = g.read("lineitem").select("l_orderkey", "l_suppkey")
+    other = lines.select("l_orderkey", F.col("l_suppkey").alias("target"))
+    return lines.withColumnRenamed("l_suppkey", "source").join(other, "l_orderkey").where("source <> target").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
+
+
+query("s9_graph_edges", "source:i target:i weight:r", _SHARED)(
+    lambda g: matrix.entries(_matrix(g, matrix.sparse_rows(shared_orders(g), "source", "target", "weight"), "sparse")).toDF("source", "target", "weight")
 )
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +54,34 @@ def wide_columns(wide: DataFrame) -> list[str]:
     return [c for c in wide.columns if c not in COORDINATES]
 
 
-def sum_by_source(wide: DataFrame, members: DataFrame) -> DataFrame:
-    """source, chr, start, end, total of a wide matrix; columns are matched by barcode.  members: source, cell; a cell may have several sources."""
-    cells = [f"`{c}`" for c in wide_columns(wide)]
-    long = wide.select(*COORDINATES, *[F.col(c).cast("double") for c in cells]).unpivot(COORDINATES, cells, "cell", "x")
-    return long.join(members, "cell").groupBy("source", *COORDINATES).agg(F.sum("x").alias("total"))
+def sum_by_source(spark: SparkSession, path: str, members: DataFrame, columns: int = 200, rows: int = 4096) -> DataFrame:
+    """source, chr, start, end, total of a wide Parquet table at a path; columns are matched by barcode.
+
+    members: source, cell; a cell may have several sources, and cells that the table lacks count nothing.  A
+    task reads some columns of a file, straight from its column groups and some rows at a time, and hands on
+    one sum a source and bin: no row and no plan has all columns, and the table is never turned on its side.
+    """
+    wide = spark.read.parquet(path)
+    place = spark.createDataFrame([(c, k // columns) for k, c in enumerate(wide_columns(wide))], "cell string, batch int")
+    mine = members.select("source", "cell").distinct().join(place, "cell").groupBy("batch", "source").agg(F.collect_list("cell").alias("cells"))
+    batches = mine.groupBy("batch").agg(F.collect_list(F.struct("source", "cells")).alias("sources"))
+    work = batches.withColumn("file", F.explode(F.array(*map(F.lit, wide.inputFiles()))))
+
+    def summed(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for item in (r for b in items for r in b.to_pylist()):
+            sources = {s["source"]: s["cells"] for s in item["sources"]}
+            needed = sorted({c for cells in sources.values() for c in cells})
+            files, file = fs.FileSystem.from_uri(item["file"])
+            with files.open_input_file(file) as f:
+                for part in pq.ParquetFile(f).iter_batches(rows, columns=[*COORDINATES, *needed]):
+                    x = np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in needed])
+                    at = {c: k for k, c in enumerate(needed)}
+                    for source, cells in sources.items():
+                        total = np.nansum(x[[at[c] for c in cells]], axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array([source] * part.num_rows), *(part.column(c).cast(t) for c, t in zip(COORDINATES, (pa.string(), pa.int64(), pa.int64()))), pa.array(total)], ["source", *COORDINATES, "total"])
+
+    dealt = work.repartition(spark.sparkContext.defaultParallelism * 4, "batch", "file")
+    return dealt.mapInArrow(summed, "source string, chr string, start long, end long, total double").groupBy("source", *COORDINATES).agg(F.sum("total").alias("total"))
 
 
 def input_problems(wide: DataFrame, bins: DataFrame, cells: DataFrame, name: str) -> DataFrame:

@@ -30,13 +30,14 @@ def test_levels_and_codes(spark):
     assert bytes(tables.packed_codes(codes).first().codes) == bytes([4, 0, 255])
 
 
-def test_wide_matrices(spark):
+def test_wide_matrices(spark, tmp_path):
     rng = np.random.default_rng(2)
     ha, hb = rng.poisson(6, (2, 10, 4)).astype(float)
     wide = lambda m: spark.createDataFrame([("1", i, i + 9, *map(float, row)) for i, row in enumerate(m)], "chr string, start int, end int, `c.3` double, c1 double, c0 double, c2 double")
     order = ["c.3", "c1", "c0", "c2"]
     members = spark.createDataFrame([("a", "c0"), ("a", "c1"), ("b", "c.3"), ("all", "c0"), ("all", "c1"), ("all", "c2"), ("all", "c.3")], "source string, cell string")
-    got = {(r.source, r.start): r.total for r in tables.sum_by_source(wide(ha), members).collect()}
+    wide(ha).write.parquet(f"{tmp_path}/ha")
+    got = {(r.source, r.start): r.total for r in tables.sum_by_source(spark, f"{tmp_path}/ha", members, columns=2, rows=3).collect()}
     for source, cells in {"a": ["c0", "c1"], "b": ["c.3"], "all": order}.items():
         assert all(got[source, i] == sum(ha[i][order.index(c)] for c in cells) for i in range(10))
     assert tables.sums_agree(wide(ha + hb), wide(ha), wide(hb), order).count() == 0
