@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from binloom.functions import stats
-from binloom.operators import calls, segments
+from binloom.operators import calls, diffusion, segments
 from binloom.operators.segments import PLACE
 from binloom.functions.shared import folder
 from binloom.sources import matrix, tables
@@ -112,6 +112,9 @@ query("s9_graph_edges", "source:i target:i weight:r", _SHARED)(
 )
 
 
+query("x7_diffusion_component", "node:i value:r note")(lambda g: diffusion.diffusion_component(shared_orders(g)))
+
+
 @query("s13_packed_codes", "source n:i digest", "SELECT source, count(*) AS n, md5(string_agg(code, '' ORDER BY g)) AS digest FROM (SELECT lab.source, lab.g, printf('%02X', coalesce(round_even(state * 2, 0), 255)::INT) AS code FROM lab JOIN states USING (source, chrom, seg)) GROUP BY source")
 def s13(g: Genome) -> DataFrame:
     """A byte a bin for each source, written as a binary column and read again."""
