@@ -65,6 +65,14 @@ def style(terms: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.hstack([kinds / np.maximum(n, 1), spread / np.log(np.minimum(total, TERMS) + 2), np.log1p(n) / 10])
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row, of equal ones the first; in the order of columns."""
+    edge = np.partition(cosines, -k, axis=1)[:, -k, None]
+    above, at = cosines > edge, cosines == edge
+    taken = above | at & (np.cumsum(at, 1) <= k - above.sum(1, keepdims=True))
+    return np.nonzero(taken)[1].reshape(len(cosines), k)
+
+
 class Model:
     """The latent space and the labelled vectors in it."""
 
@@ -105,8 +113,8 @@ class Model:
         out = np.zeros(len(texts))
         k = min(NEIGHBOURS, len(self.y))
         for lo in range(0, len(texts), BLOCK):
-            cosines = self.embed(*term_counts(texts[lo : lo + BLOCK])) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            cosines = np.round(self.embed(*term_counts(texts[lo : lo + BLOCK])) @ self.vectors.T, 9)
+            near = nearest(cosines, k)
             weight = np.exp(SHARPNESS * np.take_along_axis(cosines, near, 1).astype(np.float64)) * self.votes[near]
             out[lo : lo + BLOCK] = (weight * self.y[near]).sum(1) / weight.sum(1)
         return np.round(np.clip(out, 0, 1), 9)
@@ -116,12 +124,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int) -> Model:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, kinds = term_counts([t.encode() for t in batch.column("text").to_pylist()])
-            rows = np.minimum(np.hstack([terms, kinds]), 65504).astype("<f2")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "y", "counts"])
+            whole = np.hstack([terms, kinds])
+            at = [np.flatnonzero(r) for r in whole]
+            # counts of any size are whole numbers that doubles hold; places without a count aren't sent
+            columns = [pa.array([x.astype("<u4").tobytes() for x in at], pa.binary()), pa.array([r[x].astype("<f8").tobytes() for r, x in zip(whole, at)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *columns], ["doc_id", "y", "places", "counts"])
 
-    found: pd.DataFrame = sample(docs, labels, "quality", (per_class, per_class)).mapInArrow(counted, "doc_id long, y int, counts binary").toPandas()
+    found: pd.DataFrame = sample(docs, labels, "quality", (per_class, per_class)).mapInArrow(counted, "doc_id long, y int, places binary, counts binary").toPandas()
     found = found.sort_values("doc_id")
-    rows = np.frombuffer(b"".join(found["counts"]), "<f2").astype(np.float32).reshape(-1, TERMS + 7)
+    rows = np.zeros((len(found), TERMS + 7), np.float32)
+    for row, at, counts in zip(rows, found["places"], found["counts"]):
+        row[np.frombuffer(at, "<u4")] = np.frombuffer(counts, "<f8")
     return Model(rows[:, :TERMS], rows[:, TERMS:], found["y"].to_numpy())
 
 
@@ -129,7 +142,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
     """One row per document: doc_id, held_out, score (higher: better), predicted (1 if score >= threshold); with keep instead the documents that are predicted 1, as they are.
 
     The model is fitted on at most per_class labelled documents of each label, never on held-out ones;
-    scores read the text alone, whole.  Null texts are scored as empty; a null doc_id stays null and isn't
+    scores read the text alone, whole.  Of labelled texts that are equally near (to nine digits) those of the
+    smallest doc_ids vote.  Null texts are scored as empty; a null doc_id stays null and isn't
     held out; repeated rows are scored alike.  Without labels of both kinds each score is the share of
     label 1, or 1.0 without any.  Other columns are not read.
     """

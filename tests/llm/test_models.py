@@ -28,15 +28,35 @@ def test_neighbour_vote_is_a_loop_over_all_labelled_vectors(texts):
         for w in model.vectors:
             n = float(np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))
             cosines.append(float((v * w).sum()) / n if n > 1e-12 else 0.0)
-        near = sorted(range(len(y)), key=lambda k: -cosines[k])[: q.NEIGHBOURS]
-        # rows at the edge with equal cosines may stand for each other
-        edge = cosines[near[-1]]
-        if sum(abs(c - edge) < 1e-9 for c in cosines) > 1:
-            continue
+        near = sorted(range(len(y)), key=lambda k: -round(cosines[k], 9))[: q.NEIGHBOURS]
         weight = [np.exp(q.SHARPNESS * cosines[k]) * model.votes[k] for k in near]
         assert abs(score - sum(w * y[k] for w, k in zip(weight, near)) / sum(weight)) < 1e-6
 
 
+def test_ties_go_to_the_first(texts):
+    rng = np.random.default_rng(9)
+    cosines = rng.integers(0, 4, (200, 50)) / 4
+    for k in (1, 7, 50):
+        want = [sorted(sorted(range(50), key=lambda j: -row[j])[:k]) for row in cosines]
+        assert q.nearest(cosines, k).tolist() == want
+    # copies with unlike labels: the smallest ids vote
+    many = [b"alpha beta gamma"] * 60 + texts[:20]
+    y = np.arange(80) % 2
+    model = q.Model(*q.term_counts(many), y)
+    assert abs(model.scores([b"alpha beta gamma"])[0] - (model.votes[: q.NEIGHBOURS] * y[: q.NEIGHBOURS]).sum() / model.votes[: q.NEIGHBOURS].sum()) < 1e-6
+
+
+def test_counts_of_long_labelled_texts_are_whole(spark, monkeypatch):
+    long = "alpha beta " * 100_000
+    docs = spark.createDataFrame([(k, long if k == 1 else f"gamma {k}") for k in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 9)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(q, "Model", lambda terms, kinds, y: seen.append((terms, kinds)))
+    q.fit(docs, labels, 10)
+    terms, kinds = q.term_counts([long.encode()])
+    assert (seen[0][0][0] == terms[0]).all() and (seen[0][1][0] == kinds[0]).all() and kinds.max() > 65504
+
+
 def test_term_counts_are_a_loop(texts):
     terms, kinds = q.term_counts([b"abcabc", b"", b"ab"])
     assert terms.sum(1).tolist() == [4, 0, 0] and sorted(terms[0][terms[0] > 0].tolist()) == [1, 1, 2]
