@@ -191,8 +191,18 @@ def _side_summary(g: Genome) -> DataFrame:
     return resample.side_summary(resample.side_replicates(sums, sizes, g.membership, resample.bootstrap_weights(g.membership, REPLICATES), REPLICATES))
 
 
-query("b7_flank_z", "source chrom:i seg:i side delta:r se:r z_boot:r n_missing:i zero_pair withheld")(_side_summary)
-query("b9_screen_bootstrap", "source chrom:i seg:i side delta:r se_delta:r low_delta:r high_delta:r agree_delta:r srd:r se_srd:r low_srd:r high_srd:r agree_srd:r")(lambda g: _side_summary(g).where("NOT terminal"))
+_ROOT = "sqrt(greatest(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * (y + ry) / (n + rn))) ELSE 0 END) + (CASE WHEN ry > 0 THEN ry * ln(ry / (rn * (y + ry) / (n + rn))) ELSE 0 END)), 0::DOUBLE))"
+_SIDES = f"""{_draws(REPLICATES)}, every AS (SELECT source, rep, cell, w FROM weights UNION ALL SELECT source, 0, cell, 1 FROM membership),
+ sums AS (SELECT m.source, e.rep, l.chrom, l.seg, sum(s.x * e.w) AS y FROM signal AS s JOIN membership AS m USING (cell) JOIN lab AS l ON l.source = m.source AND l.g = s.g JOIN every AS e ON e.source = m.source AND e.cell = m.cell GROUP BY ALL),
+ grid AS (SELECT st.source, st.chrom, st.seg, st.n::DOUBLE AS n, rep, n_cells, coalesce(y, 0) / n_cells AS y FROM st JOIN n_cells USING (source) CROSS JOIN (SELECT unnest(range(0, {REPLICATES + 1})) AS rep) LEFT JOIN sums USING (source, chrom, seg, rep)),
+ pairs AS (SELECT *, 'left' AS side, lag(y) OVER w AS ry, lag(n) OVER w AS rn FROM grid WINDOW w AS (PARTITION BY source, rep, chrom ORDER BY seg) UNION ALL SELECT *, 'right', lead(y) OVER w, lead(n) OVER w FROM grid WINDOW w AS (PARTITION BY source, rep, chrom ORDER BY seg)),
+ scored AS (SELECT *, rn IS NULL AS terminal, CASE WHEN y > 0 AND ry > 0 THEN log2((y / n) / (ry / rn)) END AS delta, CASE WHEN rn IS NULL THEN NULL WHEN y + ry = 0 THEN 0 ELSE sign(y / n - ry / rn) * {_ROOT} END AS srd, coalesce(y = 0 AND ry = 0, false) AS zero FROM pairs),
+ summed AS (SELECT source, chrom, seg, side, any_value(n_cells) AS n_cells, bool_or(terminal) AS terminal, bool_or(zero) FILTER (rep = 0) AS zero_pair, count(*) FILTER (rep > 0 AND delta IS NULL) AS n_missing,
+  {", ".join(f"max({v}) FILTER (rep = 0) AS {v}, count({v}) FILTER (rep > 0) AS n_{v}, stddev_samp({v}) FILTER (rep > 0) AS sd_{v}, quantile_cont({v}, 0.025) FILTER (rep > 0) AS lo_{v}, quantile_cont({v}, 0.975) FILTER (rep > 0) AS hi_{v}, count(*) FILTER (rep > 0 AND {v} > 0) AS up_{v}, count(*) FILTER (rep > 0 AND {v} < 0) AS down_{v}" for v in ("delta", "srd"))} FROM scored GROUP BY ALL),
+ told AS (SELECT *, CASE WHEN terminal THEN 'terminal_flank_missing' WHEN n_cells < 2 THEN 'too_few_cells' WHEN n_missing > 0 THEN 'nonfinite_replicates' WHEN sd_delta = 0 THEN 'zero_bootstrap_variance' ELSE '' END AS withheld,
+  {", ".join(f"CASE WHEN n_{v} > 1 THEN sd_{v} END AS se_{v}, CASE WHEN n_{v} > 1 THEN lo_{v} END AS low_{v}, CASE WHEN n_{v} > 1 THEN hi_{v} END AS high_{v}, CASE WHEN n_{v} > 1 THEN (CASE WHEN {v} > 0 THEN up_{v} WHEN {v} < 0 THEN down_{v} WHEN {v} = 0 THEN n_{v} - up_{v} - down_{v} END) / n_{v}::DOUBLE END AS agree_{v}" for v in ("delta", "srd"))} FROM summed)"""
+query("b7_flank_z", "source chrom:i seg:i side delta:r se:r z_boot:r n_missing:i zero_pair withheld", f"{_SIDES} SELECT *, CASE WHEN withheld IN ('', 'zero_bootstrap_variance') THEN se_delta END AS se, CASE WHEN withheld = '' THEN delta / se_delta END AS z_boot FROM told")(_side_summary)
+query("b9_screen_bootstrap", "source chrom:i seg:i side delta:r se_delta:r low_delta:r high_delta:r agree_delta:r srd:r se_srd:r low_srd:r high_srd:r agree_srd:r", f"{_SIDES} SELECT * FROM told WHERE NOT terminal")(lambda g: _side_summary(g).where("NOT terminal"))
 query("b4_bootstrap_weights", "source rep:i cell:i w:i", f"{_draws(REPLICATES)} SELECT * FROM weights")(lambda g: resample.bootstrap_weights(g.membership, REPLICATES))
 _DRAWN = "('0x' || substr(md5('42:' || p.source || ':' || p.chrom || ':' || p.i), 1, 8))::BIGINT"
 query("e2_extend", "source chrom:i i:i edited:r", f"SELECT p.source, p.chrom, p.i, coalesce(d.x, p.x) AS edited FROM profile AS p LEFT JOIN profile AS d ON d.source = p.source AND d.chrom = p.chrom AND p.i BETWEEN 100 AND 149 AND d.i = 20 + {_DRAWN} % 15")(

@@ -64,4 +64,20 @@ def m29_first(g: Genome) -> DataFrame:
     return prune.converge(g.profile, g.boundaries, MAX_BINS, SRD_REF, EFFECT).where("pass = 0")
 
 
-query("m29_converged", "source chrom:i pass:i bin:i")(lambda g: prune.converge(g.profile, g.boundaries, MAX_BINS, SRD_REF, EFFECT))
+
+
+def converged_sql(passes: int = 12) -> str:
+    """The boundaries that go in each pass in SQL, a pass after another; more passes than are needed propose nothing."""
+    side = "sign(y / n - {0}y / {0}n) * sqrt(greatest(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * (y + {0}y) / (n + {0}n))) ELSE 0 END) + (CASE WHEN {0}y > 0 THEN {0}y * ln({0}y / ({0}n * (y + {0}y) / (n + {0}n))) ELSE 0 END)), 0::DOUBLE))"
+    scores = ", ".join(f"round(CASE WHEN y + {k}y = 0 THEN 0 ELSE {side.format(k)} END, 4) AS {k}r, round(log2((y / n + 1e-12) / ({k}y / {k}n + 1e-12)), 4) AS {k}f" for k in "lr")
+    out = "b0 AS (SELECT source, chrom, bin FROM boundaries)"
+    for k in range(passes):
+        out += f""", g{k} AS MATERIALIZED (SELECT source, chrom, seg, min(i) AS s, max(i) + 1 AS e, sum(x) AS y, count(*)::DOUBLE AS n FROM (SELECT p.source, p.chrom, p.i, p.x, sum(CASE WHEN b.bin IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.source, p.chrom ORDER BY p.i) AS seg
+ FROM profile AS p LEFT JOIN b{k} AS b ON b.source = p.source AND b.chrom = p.chrom AND b.bin = p.i) GROUP BY source, chrom, seg),
+ p{k} AS MATERIALIZED (SELECT DISTINCT source, chrom, {k} AS pass, bin FROM (SELECT source, chrom, CASE WHEN ls AND rs THEN CASE WHEN sign(lr) <> sign(rr) OR lr = 0 THEN CASE WHEN abs(lr) <= abs(rr) THEN s ELSE e END END WHEN ls THEN e WHEN rs THEN s WHEN abs(lf) <= abs(rf) THEN s ELSE e END AS bin FROM (
+ SELECT *, abs(lr) >= {SRD_REF} AND abs(lf) >= {EFFECT} AS ls, abs(rr) >= {SRD_REF} AND abs(rf) >= {EFFECT} AS rs FROM (SELECT *, {scores} FROM (SELECT *, lag(y) OVER w AS ly, lag(n) OVER w AS ln, lead(y) OVER w AS ry, lead(n) OVER w AS rn FROM g{k} WINDOW w AS (PARTITION BY source, chrom ORDER BY seg)) WHERE ln IS NOT NULL AND rn IS NOT NULL AND n <= {MAX_BINS}))) WHERE bin IS NOT NULL),
+ b{k + 1} AS MATERIALIZED (SELECT source, chrom, bin FROM b{k} ANTI JOIN p{k} USING (source, chrom, bin))"""
+    return f"WITH {out} " + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(passes))
+
+
+query("m29_converged", "source chrom:i pass:i bin:i", converged_sql())(lambda g: prune.converge(g.profile, g.boundaries, MAX_BINS, SRD_REF, EFFECT))
