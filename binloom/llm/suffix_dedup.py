@@ -324,7 +324,7 @@ def repeats_among(unlike: DataFrame, window: int) -> DataFrame:
             columns = [*zip(*out)] or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])], ["key", "offset", "hash", "t", "lo"])
 
-    wanted = unlike.select("key", "t", "lo").join(unsure, ["t", "lo"]).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("offsets"))).alias("offsets"))
+    wanted = unlike.select("key", "t", "lo").join(unsure, ["t", "lo"]).select("key", F.explode("offsets").alias("offset")).distinct().groupBy("key").agg(F.collect_list("offset").alias("offsets"))
     windows = unlike.join(cut(wanted, "wanted"), "key").mapInArrow(hashed, "key long, offset int, hash binary, t long, lo long")
     windows = cut(windows, "windows")
     same = ["key", "offset", "hash"]
@@ -380,7 +380,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, keep_text: bool = False, ke
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")] if keep_columns else []
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_id"), text.alias("text"), *others, *[F.col("text").isNull().alias("no_text")] * keep_columns)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_id"), text.alias("text"), *others, *[F.col("text").isNull().alias("no_text")] * keep_columns)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
