@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ DECISIONS = (
     "source string, chrom int, tau double, stab double, id int, bin long, left_bins long, right_bins long, candidate boolean, delta double, under double, n_valid int, "
     "guard double, eligible boolean, first_reason string, removed boolean, pass int, reason string"
 )
+#: Numbers of a tile of bins by replicates.
+TILE = 1 << 20
 PASSES = "source string, chrom int, pass int, bin long"
 
 
@@ -31,31 +34,39 @@ def replicate_profiles(signal: DataFrame, weights: DataFrame, replicates: int) -
     """source, g, boot: each replicate's mean at every bin where the source has signal; boot[k] is replicate k + 1.
 
     signal: source, cell, g, x; weights: source, rep, cell, w, which add up to the source's cells in each replicate.
-    A task adds up its cells' rows; the tasks' sums, one array a bin, are then added.
+    A batch of cells is a sparse matrix whose product with their counts is taken a tile of bins at a time;
+    tasks hand on one array for each bin of a tile, which Spark adds up, first within tasks.
     """
     vectors = signal.groupBy("source", "cell").agg(F.collect_list("g").alias("g"), F.collect_list("x").alias("x"))
     drawn = weights.groupBy("source", "cell").agg(F.collect_list("rep").alias("rep"), F.collect_list("w").alias("w"))
     n = weights.where("rep = 1").groupBy("source").agg(F.sum("w").alias("n_cells"))
-
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, dict[int, np.ndarray]] = {}
-        for rows in batches:
-            for source, g, x, rep, w in zip(*(rows[c] for c in ("source", "g", "x", "rep", "w"))):
-                counts = np.zeros(replicates)
-                counts[np.asarray(rep) - 1] = w
-                own = totals.setdefault(source, {})
-                for place, value in zip(g, x):
-                    if place in own:
-                        own[place] += counts * value
-                    else:
-                        own[place] = counts * value
-        for source, own in totals.items():
-            yield pd.DataFrame({"source": source, "g": [*own], "boot": [*own.values()]})
-
-    sums = vectors.join(drawn, ["source", "cell"]).mapInPandas(added, "source string, g long, boot array<double>")
-    none = F.array_repeat(F.lit(0.0), replicates)
-    total = sums.groupBy("source", "g").agg(F.aggregate(F.collect_list("boot"), none, lambda a, b: F.zip_with(a, b, lambda p, q: p + q)).alias("boot"))
-    return total.join(n, "source").select("source", "g", F.transform("boot", lambda v: v / F.col("n_cells")).alias("boot"))
+    width = max(1, TILE // max(1, replicates))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = np.array(b.column("source").to_pylist())
+            for source in np.unique(names):
+                rows = b.filter(pa.array(names == source))
+                counts = np.zeros((rows.num_rows, replicates))
+                lengths = [rows.column(c).value_lengths().to_numpy() for c in ("rep", "g")]
+                cells = [np.repeat(np.arange(rows.num_rows), k) for k in lengths]
+                counts[cells[0], rows.column("rep").flatten().to_numpy() - 1] = rows.column("w").flatten().to_numpy()
+                g, x = (rows.column(c).flatten().to_numpy() for c in ("g", "x"))
+                order = np.argsort(g, kind="stable")
+                g, x, cell = g[order], x[order], cells[1][order]
+                bins, at = np.unique(g, return_inverse=True)
+                for lo in range(0, len(bins), width):
+                    part = slice(*np.searchsorted(at, [lo, lo + width]))
+                    tile = np.zeros((min(width, len(bins) - lo), replicates))
+                    for step in range(part.start, part.stop, width):
+                        some = slice(step, min(step + width, part.stop))
+                        np.add.at(tile, at[some] - lo, x[some, None] * counts[cell[some]])
+                    boot = pa.ListArray.from_arrays(np.arange(len(tile) + 1, dtype=np.int32) * replicates, tile.ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(tile)), pa.array(bins[lo : lo + width]), boot], ["source", "g", "boot"])
+
+    sums = vectors.join(drawn, ["source", "cell"]).mapInArrow(added, "source string, g long, boot array<double>")
+    total = sums.groupBy("source", "g").agg(*(F.sum(F.get("boot", F.lit(k))).alias(f"b{k}") for k in range(replicates)))
+    return total.join(n, "source").select("source", "g", F.array(*(F.col(f"b{k}") / F.col("n_cells") for k in range(replicates))).alias("boot"))
 
 
 class Boundaries:
