@@ -129,16 +129,16 @@ def recursive_breakpoints(profile: DataFrame, k: int = 6, permutations: int = 10
 
 
 def merge_step(profile: DataFrame, boundaries: DataFrame, rules: RuleSet) -> DataFrame:
-    """The next merge of each (source, chromosome): the claim of the lowest phase, rule, score and start that nothing blocks.
+    """The next merge of each (source, chromosome): the claim of the lowest phase, rule, score (to nine digits) and start that nothing blocks.
 
     Scores and dispersion are computed anew from the boundaries given.
     """
     claims = evaluate(flank_scores(labelled(profile, boundaries)), rules)
     # chosen inside the aggregate: a filter would be pushed through every rule's columns and repeat them all
     free = F.col("claimed_by").isNotNull() & F.col("blocked").isNull()
-    first = F.min(F.when(free, F.struct("phase", "rule_order", "score", "s", "e", "side", "claimed_by"))).alias("c")
+    first = F.min(F.when(free, F.struct("phase", "rule_order", F.round("score", 9).alias("order"), "s", "e", "side", "claimed_by", "score"))).alias("c")
     removed = F.when(F.col("c.side") == "left", F.col("c.s")).otherwise(F.col("c.e")).alias("removed")
-    return claims.groupBy(*PLACE).agg(first).where("c IS NOT NULL").select(*PLACE, "c.*", removed)
+    return claims.groupBy(*PLACE).agg(first).where("c IS NOT NULL").select(*PLACE, "c.*", removed).drop("order")
 
 
 class Segments:
@@ -212,7 +212,7 @@ def greedy_merge(profile: DataFrame, boundaries: DataFrame, rules: RuleSet, max_
             claims = [c for c in map(rules.claim, live.scores()) if c and c["blocked"] is None]
             if not claims:
                 break
-            c = min(claims, key=lambda c: (c["phase"], c["rule_order"], c["score"], c["s"]))
+            c = min(claims, key=lambda c: (c["phase"], c["rule_order"], round(c["score"], 9), c["s"]))
             if len(out) == max_steps:
                 raise RuntimeError("merging did not end within max_steps")
             out.append((rows["source"].iloc[0], rows["chrom"].iloc[0], len(out) + 1, live.merge(c["s"], c["e"], c["side"]), c["s"], c["e"], c["claimed_by"], c["phase"], c["side"], c["score"]))

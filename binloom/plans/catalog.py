@@ -5,6 +5,7 @@ Each entry names the columns of both sides once: plain, :i for long, :r for roun
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -420,24 +421,56 @@ query("m14_any_rule", "source chrom:i seg:i outcome side score:r blocked", _rule
 query("m18_outcome_counts", "source outcome n:i", f"SELECT source, outcome, count(*) AS n FROM ({_rule_sql(_RULE0)}) GROUP BY ALL")(lambda g: scores(g).transform(flank_rule, _RULE0).groupBy("source", "outcome").agg(F.count("*").alias("n")))
 _USER = ConditionRule("weak", (Condition("weak_flank", "delta_median", 0.02), Condition("max_size", max_bins=25)), "delta_median")
 RULES = RuleSet(_RULE0, (_USER,))
-query("m15_rules", "source chrom:i seg:i claimed_by phase:i side score:r blocked", f"""SELECT source, chrom, seg, CASE WHEN outcome = 'would_merge' THEN 'rule0' WHEN w THEN 'weak' END AS claimed_by, CASE WHEN outcome = 'would_merge' OR w THEN 1 ELSE 0 END AS phase,
+_RULES = f"""SELECT source, chrom, seg, CASE WHEN outcome = 'would_merge' THEN 'rule0' WHEN w THEN 'weak' END AS claimed_by, CASE WHEN outcome = 'would_merge' OR w THEN 1 ELSE 0 END AS phase,
  CASE WHEN outcome = 'would_merge' THEN side WHEN w THEN us END AS side, CASE WHEN outcome = 'would_merge' THEN score WHEN w THEN least(abs(delta_median_left), abs(delta_median_right)) END AS score,
- CASE WHEN outcome = 'would_merge' THEN blocked WHEN w AND CASE WHEN us = 'left' THEN gap_left ELSE gap_right END THEN 'gap' END AS blocked FROM (SELECT *, coalesce(least(abs(delta_median_left), abs(delta_median_right)) < 0.02 AND delta_median_left IS NOT NULL AND delta_median_right IS NOT NULL, false) AND e - s <= 25 AS w, CASE WHEN abs(delta_median_left) <= abs(delta_median_right) THEN 'left' ELSE 'right' END AS us FROM ({_rule_sql(_RULE0)}))""")(
+ CASE WHEN outcome = 'would_merge' THEN blocked WHEN w AND CASE WHEN us = 'left' THEN gap_left ELSE gap_right END THEN 'gap' END AS blocked FROM (SELECT *, coalesce(least(abs(delta_median_left), abs(delta_median_right)) < 0.02 AND delta_median_left IS NOT NULL AND delta_median_right IS NOT NULL, false) AND e - s <= 25 AS w, CASE WHEN abs(delta_median_left) <= abs(delta_median_right) THEN 'left' ELSE 'right' END AS us FROM ({_rule_sql(_RULE0)}))"""
+query("m15_rules", "source chrom:i seg:i claimed_by phase:i side score:r blocked", _RULES)(
     lambda g: evaluate(scores(g), RULES).withColumn("phase", F.coalesce("phase", F.lit(0)))
 )
 
 
-@query("m16_first_merge", "source chrom:i removed:i score:r side", f"""SELECT source, chrom, CASE WHEN side = 'left' THEN s ELSE e END AS removed, score, side FROM (SELECT *, row_number() OVER (PARTITION BY source, chrom ORDER BY score, s) AS k FROM ({_rule_sql(_RULE0)}) WHERE outcome = 'would_merge' AND blocked IS NULL) WHERE k = 1""")
+@query("m16_first_merge", "source chrom:i removed:i score:r side", f"""SELECT source, chrom, CASE WHEN side = 'left' THEN s ELSE e END AS removed, score, side FROM (SELECT *, row_number() OVER (PARTITION BY source, chrom ORDER BY round(score, 9), s) AS k FROM ({_rule_sql(_RULE0)}) WHERE outcome = 'would_merge' AND blocked IS NULL) WHERE k = 1""")
 def m16_first(g: Genome) -> DataFrame:
     return kernels.merge_step(g.profile, g.boundaries, RuleSet(_RULE0))
 
 
-@query("m19_merged_genome", "source chrom:i bin:i")
+_FIRST_RULE = f"SELECT *, 'rule0' AS claimed_by, 1 AS phase FROM ({_rule_sql(_RULE0)}) WHERE outcome = 'would_merge'"
+#: The tables that hang on the boundaries, in SQL, from the labels to the scores.
+_SCORED = GENOME[GENOME.index("lab AS (") : GENOME.index("base AS (")].rstrip().rstrip(",")
+_TABLES = "lab|st|it|summ|phi|fl|dv|sd|hs|boundaries"
+
+
+def merged_sql(rounds_: list[tuple[str, int]]) -> str:
+    """Tables merged (round, step and what goes) and left_ (the boundaries left at last) in SQL: each round is the SQL of its rules' claims on hs and a number of steps that is enough.
+
+    In a step each chromosome's first claim that nothing blocks goes, then all scores are computed anew.
+    """
+    out, said, t = "left_0 AS (SELECT source, chrom, bin FROM boundaries)", [], 0
+
+    def at(sql: str) -> str:
+        own = lambda m: f"{m[1]} left_{t} AS boundaries" if m[2] == "boundaries" and not m[3] else f"{m[1]} left_{t}{m[3]}" if m[2] == "boundaries" else f"{m[1]} {m[2]}_{t}{m[3] or f' AS {m[2]}'}"
+        sql = re.sub(rf"\b(FROM|JOIN) ({_TABLES})\b( AS \w+)?", own, sql)
+        return re.sub(rf"^({_TABLES}) AS \(", lambda m: f"{m[1]}_{t} AS MATERIALIZED (", sql, flags=re.M)
+
+    for number, (claims, steps) in enumerate(rounds_, 1):
+        for step in range(1, steps + 1):
+            out += f""", {at(_SCORED)}, gone_{t} AS MATERIALIZED (SELECT source, chrom, {number} AS round, {step} AS step, CASE WHEN side = 'left' THEN s ELSE e END AS removed, claimed_by, phase, side, score
+ FROM (SELECT c.*, h.s, h.e FROM ({at(claims)}) AS c JOIN hs_{t} AS h ON h.source = c.source AND h.chrom = c.chrom AND h.seg = c.seg) WHERE claimed_by IS NOT NULL AND blocked IS NULL QUALIFY row_number() OVER (PARTITION BY source, chrom ORDER BY phase, CASE claimed_by WHEN 'rule0' THEN 0 ELSE 1 END, round(score, 9), s) = 1),
+ left_{t + 1} AS MATERIALIZED (SELECT b.* FROM left_{t} AS b ANTI JOIN gone_{t} AS g ON g.source = b.source AND g.chrom = b.chrom AND g.removed = b.bin)"""
+            said.append(f"SELECT * FROM gone_{t}")
+            t += 1
+    return f"{out}, merged AS ({' UNION ALL '.join(said)}), left_ AS (SELECT * FROM left_{t})"
+
+
+_SMALL_RULE = f"SELECT source, chrom, seg, claimed_by, phase, side, score, blocked FROM ({_FIRST_RULE})"
+
+
+@query("m19_merged_genome", "source chrom:i bin:i", f"WITH {merged_sql([(_RULES, 10)])} SELECT * FROM left_")
 def m19(g: Genome) -> DataFrame:
     return kernels.merged_boundaries(g.profile, g.boundaries, RULES)
 
 
-query("m20_rounds", "source chrom:i round:i step:i removed:i claimed_by phase:i side score:r")(lambda g: rounds.fold(g.profile, g.boundaries, [RuleSet(_RULE0), RULES]))
+query("m20_rounds", "source chrom:i round:i step:i removed:i claimed_by phase:i side score:r", f"WITH {merged_sql([(_SMALL_RULE, 10), (_RULES, 8)])} SELECT * FROM merged")(lambda g: rounds.fold(g.profile, g.boundaries, [RuleSet(_RULE0), RULES]))
 query("m23_boundary_candidates", "source chrom:i s:i candidate", "SELECT source, chrom, s, least(n, p) <= 31 AS candidate FROM (SELECT *, lag(n) OVER (PARTITION BY source, chrom ORDER BY seg) AS p FROM st) WHERE p IS NOT NULL")(
     lambda g: segments.with_flanks(segments.segment_summaries(labelled(g)), ["n"]).where("n_left IS NOT NULL").withColumn("candidate", F.least("n", "n_left") <= MAX_BINS)
 )
