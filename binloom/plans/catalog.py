@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -429,6 +430,12 @@ query("m15_rules", "source chrom:i seg:i claimed_by phase:i side score:r blocked
 )
 
 
+query("m15_rules_across_gaps", "source chrom:i seg:i claimed_by phase:i side score:r blocked", f"SELECT * REPLACE (nullif(blocked, 'gap') AS blocked) FROM ({_RULES})")(
+    lambda g: evaluate(scores(g), replace(RULES, cross_gaps=True)).withColumn("phase", F.coalesce("phase", F.lit(0)))
+)
+_ACROSS = f"SELECT * REPLACE (nullif(blocked, 'gap') AS blocked) FROM ({_RULES})"
+
+
 @query("m16_first_merge", "source chrom:i removed:i score:r side", f"""SELECT source, chrom, CASE WHEN side = 'left' THEN s ELSE e END AS removed, score, side FROM (SELECT *, row_number() OVER (PARTITION BY source, chrom ORDER BY round(score, 9), s) AS k FROM ({_rule_sql(_RULE0)}) WHERE outcome = 'would_merge' AND blocked IS NULL) WHERE k = 1""")
 def m16_first(g: Genome) -> DataFrame:
     return kernels.merge_step(g.profile, g.boundaries, RuleSet(_RULE0))
@@ -470,6 +477,11 @@ def m19(g: Genome) -> DataFrame:
     return kernels.merged_boundaries(g.profile, g.boundaries, RULES)
 
 
+@query("m19_merged_across_gaps", "source chrom:i bin:i", f"WITH {merged_sql([(_ACROSS, 14)])} SELECT * FROM left_")
+def m19_across(g: Genome) -> DataFrame:
+    return kernels.merged_boundaries(g.profile, g.boundaries, replace(RULES, cross_gaps=True))
+
+
 query("m20_rounds", "source chrom:i round:i step:i removed:i claimed_by phase:i side score:r", f"WITH {merged_sql([(_SMALL_RULE, 10), (_RULES, 8)])} SELECT * FROM merged")(lambda g: rounds.fold(g.profile, g.boundaries, [RuleSet(_RULE0), RULES]))
 query("m23_boundary_candidates", "source chrom:i s:i candidate", "SELECT source, chrom, s, least(n, p) <= 31 AS candidate FROM (SELECT *, lag(n) OVER (PARTITION BY source, chrom ORDER BY seg) AS p FROM st) WHERE p IS NOT NULL")(
     lambda g: segments.with_flanks(segments.segment_summaries(labelled(g)), ["n"]).where("n_left IS NOT NULL").withColumn("candidate", F.least("n", "n_left") <= MAX_BINS)

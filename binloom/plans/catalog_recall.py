@@ -111,3 +111,33 @@ def c4(g: Genome) -> DataFrame:
     a, b = (segments.labelled(g.profile, x).select(*PLACE, "i", "seg", "x") for x in (g.boundaries, _manual(g)))
     pieces = recall.piece_calls(_of_sources(a), _of_sources(b), recall.overlay(a, b), ["source"])
     return recall.changes(pieces, PLACE).withColumn("edited", F.col("chrom") == 1995)
+
+
+def _status_sql(values: str, rows: str, key: str) -> str:
+    """fit_status in SQL: values (key, x, times) are expanded, rows are the key's segments."""
+    columns = ", ".join(dict.fromkeys([key, "source", "chrom", "seg"]))
+    return f"""WITH r AS {rows}, v AS (SELECT {key}, x FROM {values}), q AS (SELECT {key}, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY {key}),
+ b AS (SELECT {key}, avg(x) AS baseline FROM v JOIN q USING ({key}) WHERE x >= 0 AND round(x - q3 - 1.5::DOUBLE * (q3 - q1), 9) <= 0 GROUP BY {key}),
+ m AS (SELECT {key}, min(mean) FILTER (c >= t / 2) AS median FROM (SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY mean, chrom, seg) AS c, sum(n) OVER (PARTITION BY {key}) AS t FROM r) GROUP BY {key}),
+ f AS (SELECT {key}, max(best_s) AS best_s FROM ({fit_sql("r", key, columns)}) GROUP BY {key})
+ SELECT {key}, baseline, median, best_s, CASE WHEN NOT coalesce(baseline > 0, false) THEN 'undefined_baseline' WHEN NOT coalesce(median > 0, false) THEN 'undefined_median' WHEN NOT coalesce(best_s > 0, false) THEN 'undefined_scale' ELSE 'ok' END AS status FROM q LEFT JOIN b USING ({key}) LEFT JOIN m USING ({key}) LEFT JOIN f USING ({key})"""
+
+
+@query("c5_source_status", "source baseline:r median:r best_s:r status", _status_sql("profile", _SOURCE_ROWS.format("lab"), "source"))
+def c5_sources(g: Genome) -> DataFrame:
+    rows = labelled(g).groupBy(*PLACE, "seg").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    fits = _of_sources(labelled(g)).groupBy("source").agg(F.max("best_s").alias("best_s"))
+    return recall.fit_status(g.profile.select("source", "x", F.lit(1).alias("times")), rows, fits, ["source"])
+
+
+_DENSE = "(SELECT c.cell, coalesce(s.x, 0)::DOUBLE AS x FROM cells AS c CROSS JOIN bins AS b LEFT JOIN signal AS s ON s.cell = c.cell AND s.g = b.g)"
+
+
+@query("c5_cell_status", "cell:i baseline:r median:r best_s:r status", _status_sql(_DENSE, _CELL_ROWS.format("lab"), "cell"))
+def c5_cells(g: Genome) -> DataFrame:
+    """Cells have signal in few of their bins, so that of most the upper fence is 0 and so is the baseline; zeros are one row with their number."""
+    fits = recall.call_cells(g.signal, _own(g), labelled(g))
+    n = g.bins.count()
+    zeros = g.signal.groupBy("cell").agg(F.count("*").alias("seen")).select("cell", F.lit(0.0).alias("x"), (n - F.col("seen")).alias("times"))
+    values = g.signal.select("cell", "x", F.lit(1).cast("long").alias("times")).union(zeros.where("times > 0"))
+    return recall.fit_status(values, fits.select("cell", "chrom", "seg", "n", "mean"), fits.groupBy("cell").agg(F.max("best_s").alias("best_s")), ["cell"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +23,14 @@ def _place(g: Genome) -> str:
     return f"{folder(g.spark)}/table-{uuid.uuid4().hex}"
 
 
+@query("s8_registry", "name status rows:i", "SELECT 'nation' AS name, 'found' AS status, count(*) AS rows FROM nation UNION ALL SELECT 'supplier', 'found', count(*) FROM supplier UNION ALL SELECT 'breakpoints', 'problem', NULL UNION ALL SELECT 'graph', 'note', NULL")
+def s8(g: Genome) -> DataFrame:
+    """Which tables of the input folder are there; a missing one is a problem if it is needed, else a note."""
+    found, said = tables.registry(g.spark, g.dir, ["nation", "breakpoints"], ["supplier", "graph"])
+    rows = [df.agg(F.lit(name).alias("name"), F.lit("found").alias("status"), F.count("*").alias("rows")) for name, df in found.items()]
+    return reduce(DataFrame.union, rows, g.spark.createDataFrame([(*x, None) for x in said], "name string, status string, rows long"))
+
+
 @query("s1_csv_bins", "seq start:i end:i bin_in_chrom:i", 'SELECT chrom::VARCHAR AS seq, "start", "end", i AS bin_in_chrom FROM bins')
 def s1(g: Genome) -> DataFrame:
     """The bins as a CSV table, written and read by schema."""

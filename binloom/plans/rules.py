@@ -129,8 +129,11 @@ class ConditionRule:
 
 @dataclass(frozen=True)
 class RuleSet:
+    """The first rule, the user's rules in order, and whether segments may merge across gaps; otherwise a gap blocks a merge."""
+
     rule0: FlankRule | None = field(default_factory=FlankRule)
     user: tuple[ConditionRule | FlankRule, ...] = ()
+    cross_gaps: bool = False
 
     def __post_init__(self):
         ids = [r.id for r in self.enabled]
@@ -149,6 +152,8 @@ class RuleSet:
             if not found:
                 continue
             found |= {"claimed_by": rule.id, "rule_order": k, "s": row["s"], "e": row["e"]}
+            if self.cross_gaps and found["blocked"] == "gap":
+                found["blocked"] = None
             if found["phase"] == 1:
                 return found
             if rule is self.rule0:
@@ -227,4 +232,7 @@ def evaluate(scores: DataFrame, rules: RuleSet) -> DataFrame:
             df = df.withColumn(f"_claim{k}", F.when(holds, claim)).drop("side")
         claims.append(f"_claim{k}")
     df = df.withColumn("_claim", F.coalesce(*claims, *late))
-    return df.select(*columns, *[F.col(f"_claim.{c}").alias(c) for c in CLAIM])
+    said = {c: F.col(f"_claim.{c}") for c in CLAIM}
+    if rules.cross_gaps:
+        said["blocked"] = F.nullif(said["blocked"], F.lit("gap"))
+    return df.select(*columns, *[c.alias(name) for name, c in said.items()])

@@ -1,13 +1,15 @@
 """Tables read, checked, written and compared; places in sorted order; greedy steps against plain loops."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from binloom.functions import shared
-from binloom.operators import allelic, cohort, kernels, ordering, segments
+from binloom.operators import allelic, cohort, kernels, ordering, recall, segments
+from binloom.plans.rules import FlankRule, RuleSet, evaluate
 from binloom.sources import tables
 
 
@@ -177,3 +179,28 @@ def test_trimmed_means_and_spliced_ids(spark):
     assert {r.k: r.level for r in segments.trimmed_means(rows, ["k"]).collect()} == {"a": 2.0, "b": None}
     ids = spark.createDataFrame([("s", c, i, c) for c in (1, 2) for i in range(6)], "source string, chrom int, i long, id int")
     assert [r.id for r in segments.spliced_ids(ids, 1, [4, 2, 2]).orderBy("chrom", "i").collect()] == [3, 3, 4, 4, 5, 5] + [2] * 6
+
+
+def test_fit_status(spark):
+    """Each of the three wants has its own name; a value's number of times counts."""
+    units = {"ok": ([3.0, 4.0, 5.0, 4.0], 4.0, 2.0), "base": ([0.0] * 9 + [5.0], 4.0, 2.0), "median": ([1.0, 2.0], 0.0, 2.0), "scale": ([1.0, 2.0], 4.0, None), "none": ([-1.0, -2.0], None, 1.0)}
+    counted = [(u, x, v.count(x)) for u, (v, _, _) in units.items() for x in set(v)]
+    values = spark.createDataFrame(counted, "unit string, x double, times long")
+    segs = spark.createDataFrame([(u, 1, k, 10 - k, m + k) for u, (_, m, _) in units.items() if m is not None for k in (0, 1)], "unit string, chrom int, seg long, n long, mean double")
+    fits = spark.createDataFrame([(u, s) for u, (_, _, s) in units.items()], "unit string, best_s double")
+    got = {r.unit: (r.baseline, r.median, r.status) for r in recall.fit_status(values, segs, fits, ["unit"]).collect()}
+    assert got == {"ok": (4.0, 4.0, "ok"), "base": (0.0, 4.0, "undefined_baseline"), "median": (1.5, 0.0, "undefined_median"), "scale": (1.5, 4.0, "undefined_scale"), "none": (None, None, "undefined_baseline")}
+
+
+def test_merging_across_gaps(spark):
+    """A gap blocks a merge unless gaps may be crossed; a row's claim and the columns agree."""
+    x = [v + i % 2 for i, v in enumerate([10.0] * 30 + [10.2] * 10 + [10.1] * 30 + [20.0] * 30)]
+    profile = spark.createDataFrame([("s", 1, i, i, i * 10 + 1 + 5 * (i >= 30) + 5 * (i >= 40), i * 10 + 10 + 5 * (i >= 30) + 5 * (i >= 40), v) for i, v in enumerate(x)], "source string, chrom int, g long, i long, start long, end long, x double")
+    cuts = spark.createDataFrame([("s", 1, b) for b in (30, 40, 70)], "source string, chrom int, bin long")
+    rules = RuleSet(FlankRule(tau=0.5, srd_ref=100.0, max_bins=40))
+    assert kernels.merged_boundaries(profile, cuts, rules).count() == 3
+    across = replace(rules, cross_gaps=True)
+    assert [r.bin for r in kernels.merged_boundaries(profile, cuts, across).collect()] == [30, 70] and across.digest() != rules.digest()
+    claims = evaluate(segments.flank_scores(segments.labelled(profile, cuts)), rules).collect()
+    free = evaluate(segments.flank_scores(segments.labelled(profile, cuts)), across).collect()
+    assert "gap" in {r.blocked for r in claims} and {r.blocked for r in free} == {None}
