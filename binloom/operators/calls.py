@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,15 +87,57 @@ def segment_estimates(rows: DataFrame, keys: list[str], method: str = "arithmeti
     return rows.join(q, keys).where(inside_fences("x", lower=method == "iqr_two_sided")).groupBy(*keys).agg(F.avg("x").alias("estimate"), F.count("*").alias("retained"))
 
 
-def best_scale(means: np.ndarray, lengths: np.ndarray, median: float, grid: int = 201) -> float:
-    """The scale near half the bin-weighted median that leaves the weighted copy numbers nearest to whole numbers.
+#: The scales that are looked at, as parts of the bin-weighted median, and digits of the misfit that count.
+SCALES, DIGITS = (0.35, 0.75), 7
 
-    The grid runs from 0.35 to 0.75 of the median; the first of equal scales wins.
+
+def best_scale(means: np.ndarray, lengths: np.ndarray, median: float) -> float:
+    """The scale near half the bin-weighted median that leaves the weighted copy numbers nearest to whole numbers; the smallest of equal ones.
+
+    Exact: as the scale falls, a rounded copy number rises by one at known points; between them the misfit
+    is a parabola in the scale's inverse u, A u^2 - 2 B u + C, whose sums are carried from point to point.
     """
-    scales = np.linspace(0.35, 0.75, grid) * median
-    cn = means[None, :] / scales[:, None]
-    # the last digits hang on the order of the sum; they don't choose among equal scales
-    return float(scales[np.round(((cn - np.rint(cn)) ** 2 * lengths).sum(1), 9).argmin()])
+    lo, hi = 1 / (SCALES[1] * median), 1 / (SCALES[0] * median)
+    first, end = np.floor(means * lo - 0.5).astype(int) + 1, np.ceil(means * hi - 0.5).astype(int)
+    jumps = np.maximum(end - first, 0)
+    at = np.repeat(np.arange(len(means)), jumps)
+    h = np.concatenate([np.arange(x, x + k) for x, k in zip(first, jumps)]) if len(at) else np.zeros(0)
+    u = (h + 0.5) / means[at] if len(at) else np.zeros(0)
+    order = np.argsort(u, kind="stable")
+    c = np.rint(means * lo)
+    a = (lengths * means**2).sum()
+    b = (lengths * means * c).sum() + np.append(0, np.cumsum((lengths[at] * means[at])[order]))
+    d = (lengths * c**2).sum() + np.append(0, np.cumsum((lengths[at] * (2 * h + 1))[order]))
+    u = np.concatenate([[lo], u[order], [hi]])
+    best = np.clip(b / a, u[:-1], u[1:])
+    misfit = np.round(a * best**2 - 2 * b * best + d, DIGITS)
+    return float(1 / best[np.flatnonzero(misfit == misfit.min())].max())
+
+
+def weighted_medians(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, median: the segments' means' median by their bins, the least mean that half of the bins don't exceed."""
+    unit = W.partitionBy(*keys)
+    ranked = segments.withColumns({"c": F.sum("n").over(unit.orderBy("mean", "chrom", "seg")), "t": F.sum("n").over(unit)})
+    return ranked.where("c >= t / 2").groupBy(*keys).agg(F.min("mean").alias("median"))
+
+
+def scales(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, best_s of segments (keys, chrom, seg, n, mean): best_scale's sweep as windows over the points at which a copy number rises, some a segment."""
+    n, mean = F.col("n").cast("double"), F.col("mean")
+    ends = {"lo": 1 / (SCALES[1] * F.col("median")), "hi": 1 / (SCALES[0] * F.col("median"))}
+    rows = segments.join(weighted_medians(segments, keys).where("median > 0"), keys).withColumns(ends)
+    c = F.rint(mean * F.col("lo"))
+    start = rows.groupBy(*keys).agg(F.first("lo").alias("u"), F.sum(n * mean * c).alias("b"), F.sum(n * c * c).alias("d"))
+    whole = rows.groupBy(*keys).agg(F.sum(n * mean * mean).alias("a"), F.first("hi").alias("hi"))
+    first, last = F.floor(mean * F.col("lo") - 0.5) + 1, F.ceil(mean * F.col("hi") - 0.5) - 1
+    risen = rows.where(last >= first).select(*keys, "n", "mean", F.explode(F.sequence(first, last)).alias("h"))
+    risen = risen.select(*keys, ((F.col("h") + 0.5) / mean).alias("u"), (n * mean).alias("b"), (n * (2 * F.col("h") + 1)).alias("d"))
+    order = W.partitionBy(*keys).orderBy("u", "b", "d")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    points = start.union(risen).select(*keys, "u", F.lead("u").over(order).alias("next"), F.sum("b").over(so_far).alias("b"), F.sum("d").over(so_far).alias("d")).join(whole, keys)
+    best = F.least(F.greatest(F.col("b") / F.col("a"), F.col("u")), F.coalesce("next", "hi"))
+    found = points.withColumn("best", best).withColumn("misfit", F.round(F.col("a") * F.col("best") * F.col("best") - 2 * F.col("b") * F.col("best") + F.col("d"), DIGITS))
+    return found.groupBy(*keys).agg((-1 / F.min(F.struct("misfit", (-F.col("best")).alias("less")))["less"]).alias("best_s"))
 
 
 def copy_numbers(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,17 +145,6 @@ def copy_numbers(segments: DataFrame, keys: list[str]) -> DataFrame:
 
     The keys' baseline is its bin-weighted median of means; without a positive one nothing is called.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["chrom", "seg"])
-        means, n = rows["mean"].to_numpy(), rows["n"].to_numpy()
-        order = np.argsort(means, kind="stable")
-        median = means[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]
-        out = rows.assign(status="undefined", best_s=np.nan, continuous=np.nan, whole=pd.array([None] * len(rows), "Int64"))
-        if median > 0:
-            s = best_scale(means, n, float(median))
-            out = rows.assign(status="ok", best_s=s, continuous=means / s, whole=pd.array(np.rint(means / s).astype(int), "Int64"))
-        return out
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema.fields)
-    found = segments.groupBy(*keys).applyInPandas(run, f"{fields}, status string, best_s double, continuous double, whole long")
-    return found.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("best_s", "continuous")}).withColumn("state", five_states(F.col("whole"), F.col("continuous")))
+    found = segments.join(scales(segments, keys), keys, "left").withColumn("continuous", F.col("mean") / F.col("best_s"))
+    found = found.withColumns({"status": F.when(F.col("best_s").isNull(), "undefined").otherwise("ok"), "whole": F.rint("continuous").cast("long")})
+    return found.withColumn("state", five_states(F.col("whole"), F.col("continuous")))

@@ -7,12 +7,11 @@ of their overlay, so bins aren't unfolded for each cell.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from binloom.functions.stats import ratio
 
-from .calls import NOT_CALLED, copy_numbers, encode_states
+from .calls import NOT_CALLED, copy_numbers, encode_states, weighted_medians
 from .segments import PLACE
 
 UNIT = ["source", "chrom", "seg"]
@@ -91,10 +90,7 @@ def fit_status(values: DataFrame, segments: DataFrame, fits: DataFrame, keys: li
     fences = values.groupBy(*keys).agg(F.percentile("x", F.lit(0.25), F.col("times")).alias("q1"), F.percentile("x", F.lit(0.75), F.col("times")).alias("q3"))
     inside = values.join(fences, keys).where((F.col("x") >= 0) & (F.round(F.col("x") - F.col("q3") - 1.5 * (F.col("q3") - F.col("q1")), 9) <= 0))
     baseline = inside.groupBy(*keys).agg((F.sum(F.col("x") * F.col("times")) / F.sum("times")).alias("baseline"))
-    unit = W.partitionBy(*keys)
-    ranked = segments.withColumns({"c": F.sum("n").over(unit.orderBy("mean", "chrom", "seg")), "t": F.sum("n").over(unit)})
-    median = ranked.where("c >= t / 2").groupBy(*keys).agg(F.min("mean").alias("median"))
-    rows = fences.select(*keys).join(baseline, keys, "left").join(median, keys, "left").join(fits, keys, "left")
+    rows = fences.select(*keys).join(baseline, keys, "left").join(weighted_medians(segments, keys), keys, "left").join(fits, keys, "left")
     wanting = lambda c: ~F.coalesce(F.col(c) > 0, F.lit(False))
     status = F.when(wanting("baseline"), "undefined_baseline").when(wanting("median"), "undefined_median").when(wanting("best_s"), "undefined_scale").otherwise("ok")
     return rows.select(*keys, "baseline", "median", "best_s", status.alias("status"))

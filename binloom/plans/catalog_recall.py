@@ -14,12 +14,18 @@ from .catalog import TAU, labelled, query
 
 
 def fit_sql(rows: str, key: str, columns: str) -> str:
-    """copy_numbers in SQL: the scale of each key on a grid, by the length-weighted squared distance to whole numbers."""
+    """copy_numbers in SQL: between the points at which a rounded copy number rises, the misfit is a parabola in the scale's inverse."""
     return f"""SELECT {columns}, best_s, continuous, whole, CASE WHEN best_s IS NULL THEN 'undefined' ELSE 'ok' END AS status, CASE WHEN r = b THEN r::DOUBLE WHEN r = 0 AND b = 1 THEN 0.5 WHEN r = 2 AND b = 1 THEN 1.5 WHEN best_s IS NOT NULL THEN -1 END AS state
  FROM (SELECT *, CASE WHEN best_s IS NOT NULL THEN greatest(1, least(3, whole)) - 1 END AS r, CASE WHEN continuous <= 1 THEN 0 WHEN continuous >= 3 THEN 2 WHEN continuous IS NOT NULL THEN 1 END AS b
- FROM (SELECT f.*, best_s, mean / best_s AS continuous, round_even(mean / best_s, 0)::BIGINT AS whole FROM {rows} AS f LEFT JOIN (SELECT {key}, arg_min(scale, struct_pack(o := round(o, 9), k := k)) AS best_s
- FROM (SELECT {key}, k, any_value(scale) AS scale, sum(n * power(mean / scale - round_even(mean / scale, 0), 2)) AS o FROM (SELECT {key}, n, mean, k, (0.35::DOUBLE + k * 0.002::DOUBLE) * med AS scale
- FROM {rows} JOIN (SELECT {key}, min_by(mean, c) FILTER (c >= t / 2) AS med FROM (SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY mean, chrom, seg) AS c, sum(n) OVER (PARTITION BY {key}) AS t FROM {rows}) GROUP BY {key}) USING ({key}), range(0, 201) AS g(k) WHERE med > 0) GROUP BY {key}, k) GROUP BY {key}) USING ({key})))"""
+ FROM (SELECT f.*, best_s, mean / best_s AS continuous, round_even(mean / best_s, 0)::BIGINT AS whole FROM {rows} AS f LEFT JOIN (
+ WITH med AS (SELECT {key}, min(mean) AS med FROM (SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY mean, chrom, seg) AS c, sum(n) OVER (PARTITION BY {key}) AS t FROM {rows}) WHERE c >= t / 2 GROUP BY {key} HAVING min(mean) > 0),
+ near AS (SELECT {key}, n::DOUBLE AS n, mean, 1 / (0.75::DOUBLE * med) AS lo, 1 / (0.35::DOUBLE * med) AS hi FROM {rows} JOIN med USING ({key})),
+ risen AS (SELECT {key}, n, mean, unnest(range((floor(mean * lo - 0.5::DOUBLE) + 1)::BIGINT, ceil(mean * hi - 0.5::DOUBLE)::BIGINT)) AS h FROM near),
+ points AS (SELECT {key}, any_value(lo) AS u, sum(n * mean * round_even(mean * lo, 0)) AS b, sum(n * power(round_even(mean * lo, 0), 2)) AS d FROM near GROUP BY {key} UNION ALL SELECT {key}, (h + 0.5::DOUBLE) / mean, n * mean, n * (2 * h + 1) FROM risen),
+ sums AS (SELECT {key}, u, lead(u) OVER w AS next, sum(b) OVER (w ROWS UNBOUNDED PRECEDING) AS b, sum(d) OVER (w ROWS UNBOUNDED PRECEDING) AS d FROM points WINDOW w AS (PARTITION BY {key} ORDER BY u, b, d)),
+ tops AS (SELECT {key}, a, b, d, least(greatest(b / a, u), coalesce(next, hi)) AS x FROM sums JOIN (SELECT {key}, sum(n * mean * mean) AS a, any_value(hi) AS hi FROM near GROUP BY {key}) USING ({key})),
+ fits AS (SELECT {key}, x, round(a * x * x - 2 * b * x + d, 7) AS misfit FROM tops)
+ SELECT {key}, 1 / arg_min(x, struct_pack(m := misfit, less := -x)) AS best_s FROM fits GROUP BY {key}) USING ({key})))"""
 
 
 def kept_boundaries(g: Genome) -> DataFrame:

@@ -149,6 +149,20 @@ def test_states_and_scale(spark):
     rows = spark.createDataFrame([("a", 1, k, int(c), float(m)) for k, (m, c) in enumerate(zip(means, n))] + [("z", 1, 0, 5, 0.0)], "source string, chrom int, seg long, n long, mean double")
     got = {(r.source, r.seg): (r.status, r.state) for r in copy_numbers(rows, ["source"]).collect()}
     assert got[("a", 1)][1] in (2.0, 1.5) and got[("a", 0)][1] == 1.0 and got[("z", 0)] == ("undefined", None)
+    rng = np.random.default_rng(2)
+    many = [(str(k), 1, j, int(rng.integers(1, 60)), float(m)) for k in range(40) for j, m in enumerate(rng.gamma(3, 1, rng.integers(1, 12)).round(3) * (rng.random() < 0.9))]
+    scaled = {r.source: r.best_s for r in copy_numbers(spark.createDataFrame(many, "source string, chrom int, seg long, n long, mean double"), ["source"]).select("source", "best_s").distinct().collect()}
+    for k in scaled:
+        m, c = (np.array([r[j] for r in many if r[0] == k], float) for j in (4, 3))
+        order = np.argsort(m, kind="stable")
+        median = m[order][np.searchsorted(np.cumsum(c[order]), c.sum() / 2)]
+        if not median > 0:
+            assert scaled[k] is None
+            continue
+        misfit = lambda s: ((m / s - np.rint(m / s)) ** 2 * c).sum()  # noqa: B023, E731
+        grid = np.linspace(0.35, 0.75, 2001) * median
+        assert abs(scaled[k] - best_scale(m, c, median)) < 1e-9 and misfit(scaled[k]) <= min(map(misfit, grid)) + 1e-6
+        assert 0.35 * median - 1e-9 <= scaled[k] <= 0.75 * median + 1e-9
     from pyspark.sql import functions as F
 
     pairs = spark.createDataFrame([(1, 0.9), (1, 1.4), (2, 2.0), (3, 2.6), (3, 3.1), (2, 0.9)], "w long, c double")
