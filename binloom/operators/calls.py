@@ -122,21 +122,28 @@ def weighted_medians(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scales(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, best_s of segments (keys, chrom, seg, n, mean): best_scale's sweep as windows over the points at which a copy number rises, some a segment."""
-    n, mean = F.col("n").cast("double"), F.col("mean")
-    ends = {"lo": 1 / (SCALES[1] * F.col("median")), "hi": 1 / (SCALES[0] * F.col("median"))}
-    rows = segments.join(weighted_medians(segments, keys).where("median > 0"), keys).withColumns(ends)
-    c = F.rint(mean * F.col("lo"))
-    start = rows.groupBy(*keys).agg(F.first("lo").alias("u"), F.sum(n * mean * c).alias("b"), F.sum(n * c * c).alias("d"))
-    whole = rows.groupBy(*keys).agg(F.sum(n * mean * mean).alias("a"), F.first("hi").alias("hi"))
-    first, last = F.floor(mean * F.col("lo") - 0.5) + 1, F.ceil(mean * F.col("hi") - 0.5) - 1
-    risen = rows.where(last >= first).select(*keys, "n", "mean", F.explode(F.sequence(first, last)).alias("h"))
-    risen = risen.select(*keys, ((F.col("h") + 0.5) / mean).alias("u"), (n * mean).alias("b"), (n * (2 * F.col("h") + 1)).alias("d"))
-    order = W.partitionBy(*keys).orderBy("u", "b", "d")
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    points = start.union(risen).select(*keys, "u", F.lead("u").over(order).alias("next"), F.sum("b").over(so_far).alias("b"), F.sum("d").over(so_far).alias("d")).join(whole, keys)
+    """keys, best_s of segments (keys, chrom, seg, n, mean): best_scale's sweep as windows over the points at which a copy number rises, some a segment.
+
+    All of it goes by the keys, so the segments are dealt out once.
+    """
+    unit, n, mean = W.partitionBy(*keys), F.col("n").cast("double"), F.col("mean")
+    rows = segments.withColumns({"c": F.sum("n").over(unit.orderBy("mean", "chrom", "seg")), "t": F.sum("n").over(unit)})
+    rows = rows.withColumns({"median": F.min(F.when(F.col("c") >= F.col("t") / 2, mean)).over(unit), "a": F.sum(n * mean * mean).over(unit)}).where("median > 0")
+    rows = rows.withColumns({"lo": 1 / (SCALES[1] * F.col("median")), "hi": 1 / (SCALES[0] * F.col("median"))})
+    c, first, last = F.rint(mean * F.col("lo")), F.floor(mean * F.col("lo") - 0.5) + 1, F.ceil(mean * F.col("hi") - 0.5) - 1
+
+    def point(u: Column, b: Column, d: Column) -> Column:
+        return F.struct(u.alias("u"), b.alias("b"), d.alias("d"))
+
+    risen = F.when(last >= first, F.transform(F.sequence(first, last), lambda h: point((h + 0.5) / mean, n * mean, n * (2 * h + 1))))
+    points = F.concat(F.array(point(F.col("lo"), n * mean * c, n * c * c)), F.coalesce(risen, F.array().cast("array<struct<u:double,b:double,d:double>>")))
+    rows = rows.select(*keys, "a", "hi", F.explode(points).alias("p")).select(*keys, "a", "hi", "p.*")
+    # points at one place count together, as all segments start at one
+    order = unit.orderBy("u")
+    so_far = order.rangeBetween(W.unboundedPreceding, W.currentRow)
+    sums = rows.select(*keys, "a", "hi", "u", F.lead("u").over(order).alias("next"), F.sum("b").over(so_far).alias("b"), F.sum("d").over(so_far).alias("d"))
     best = F.least(F.greatest(F.col("b") / F.col("a"), F.col("u")), F.coalesce("next", "hi"))
-    found = points.withColumn("best", best).withColumn("misfit", F.round(F.col("a") * F.col("best") * F.col("best") - 2 * F.col("b") * F.col("best") + F.col("d"), DIGITS))
+    found = sums.withColumn("best", best).withColumn("misfit", F.round(F.col("a") * F.col("best") * F.col("best") - 2 * F.col("b") * F.col("best") + F.col("d"), DIGITS))
     return found.groupBy(*keys).agg((-1 / F.min(F.struct("misfit", (-F.col("best")).alias("less")))["less"]).alias("best_s"))
 
 

@@ -41,7 +41,7 @@ def test_query(spark, db, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert canonical(got) == canonical(want)
     else:
-        assert len(got.columns)
+        assert len(got)
 
 
 def plain_ad(x, cut):
