@@ -9,7 +9,9 @@ hashed byte trigrams by spherical k-means.  It is told from the text alone, neve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,12 +27,13 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 #: First bytes that have an embedding beside the whole word's.
 STEMS = (4, 6)
 EPOCHS, BATCH, RATE = 9, 32, 0.01
-#: Bytes of text hashed at a time; longer texts go in pieces that overlap by OVERLAP.
-CHUNK, OVERLAP = 1 << 18, 256
-#: Numbers of a language profile, and bytes of a piece of a long text that is fitted.
-PROFILE, PIECE = 256, 4096
+#: Bytes of text hashed, and words pooled, at a time; longer texts go in blocks whose responses are carried on.
+CHUNK, BLOCK_WORDS = 1 << 18, 1 << 15
+#: Numbers of a language profile.
+PROFILE = 256
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _BASE = 0x9E3779B97F4A7C15 | 1
+_NO_WORD = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -45,9 +48,21 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    return (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+
+
+def buckets_of(h: np.ndarray, kind: int) -> np.ndarray:
+    """Buckets of the sums of words (kind 0) or of stems."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(kind)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
 def word_buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets (words x (1 + stems)) of the words of lower-cased bytes, and where they start; words are letters, digits and bytes beyond ASCII."""
-    in_word = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    in_word = word_bytes(data)
     change = np.diff(np.concatenate([[False], in_word, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     power, inverse = powers(len(data) + 1)
@@ -56,15 +71,38 @@ def word_buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = np.empty((len(starts), 1 + len(STEMS)), np.int64)
         for k, stem in enumerate((None, *STEMS)):
             to = ends if stem is None else np.minimum(starts + stem, ends)
-            h = (total[to] - total[starts]) * inverse[starts] + np.uint64(k)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-            out[:, k] = (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+            out[:, k] = buckets_of((total[to] - total[starts]) * inverse[starts], k)
     return out, starts
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """A text's parts of at most CHUNK bytes; each starts OVERLAP before the last one's end, so no few words are torn apart."""
-    return [text[lo : lo + CHUNK] for lo in range(0, max(1, len(text) - OVERLAP), CHUNK - OVERLAP)]
+def long_word(word: bytes) -> np.ndarray:
+    """The buckets of one lower-cased word of any length, CHUNK bytes at a time."""
+    out, total = word_buckets(np.frombuffer(word[:CHUNK], np.uint8))[0], 0
+    for lo in range(0, len(word), CHUNK):
+        data = np.frombuffer(word[lo : lo + CHUNK], np.uint8)
+        part = ((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)]).sum(dtype=np.uint64)
+        total += int(part) * pow(_BASE, lo, 1 << 64)
+    out[:, 0] = buckets_of(np.array([total % (1 << 64)], np.uint64), 0)
+    return out
+
+
+def word_blocks(text: bytes) -> Iterator[np.ndarray]:
+    """The word buckets of a text, about CHUNK bytes at a time; no word is torn."""
+    lo = 0
+    while lo < len(text):
+        part = text[lo : lo + CHUNK].lower()
+        end = len(part)
+        if lo + end < len(text):
+            gaps = np.flatnonzero(~word_bytes(np.frombuffer(part, np.uint8)))
+            if not len(gaps):
+                after = _NO_WORD.search(text, lo + end)
+                end = (after.start() if after else len(text)) - lo
+                yield long_word(text[lo : lo + end].lower())
+                lo += end
+                continue
+            end = int(gaps[-1]) + 1
+        yield word_buckets(np.frombuffer(part[:end], np.uint8))[0]
+        lo += end
 
 
 def buckets_by_text(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +113,6 @@ def buckets_by_text(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def fitted_parts(text: bytes, most: int) -> list[bytes]:
-    """The whole text, or of a longer one than `most` bytes pieces at even distances that add up to that."""
-    if len(text) <= most:
-        return [text]
-    n = max(1, most // PIECE)
-    return [text[lo : lo + PIECE] for lo in np.linspace(0, len(text) - PIECE, n).astype(int).tolist()]
-
-
 def profiles(texts: list[bytes]) -> np.ndarray:
     """A row of unit length for each text: roots of its byte trigrams' shares, hashed to PROFILE places; zeros for a text without any."""
     counts = term_counts(texts)[0].astype(np.float64).reshape(len(texts), PROFILE, -1).sum(2)
@@ -130,8 +160,12 @@ class Network:
         self.centres = np.zeros((0, PROFILE))
         self.thresholds: dict[int, float] = {}
 
-    def pooled(self, found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each filter's largest response in each text, the word rows, and where each text's rows start.  A text is followed by rows of zeros, so a short one fits the widest filter."""
+    def pooled(self, found: np.ndarray, sizes: np.ndarray, more: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Each filter's largest response in each text, where each text's rows start, and the responses of each width.
+
+        A text is followed by rows of zeros, so a short one fits the widest filter.  With more, the last text
+        goes on after these words, so what reaches beyond them isn't a response.
+        """
         gap = max(WIDTHS)
         first = np.cumsum(sizes + gap) - sizes - gap
         x = np.zeros((int((sizes + gap).sum()), DIM), np.float32)
@@ -140,15 +174,48 @@ class Network:
         x[at] = e[found[:, 0]]
         for k in range(1, found.shape[1]):
             x[at] += e[found[:, k]]
-        best = []
+        best, responses = [], []
         for w in WIDTHS:
             y = x @ self.p[f"filter{w}"][0]
             for j in range(1, w):
                 y[:-j] += x[j:] @ self.p[f"filter{w}"][j]
             for j in range(1, w):  # windows from a text's last zeros on reach into the next text
                 y[first + sizes + gap - j] = -np.inf
-            best.append((np.maximum.reduceat(y, first) + self.p[f"shift{w}"], y))
-        return np.hstack([b for b, _ in best]), x, first, [y for _, y in best], at
+            if more:
+                y[max(first[-1], first[-1] + sizes[-1] - w + 1) :] = -np.inf
+            best.append(np.maximum.reduceat(y, first) + self.p[f"shift{w}"])
+            responses.append(y)
+        return np.hstack(best), first, responses
+
+    def across(self, blocks: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest response in one text whose words come in blocks, and the word at which its window starts."""
+        keep, offset = max(WIDTHS) - 1, 0
+        carried = np.zeros((0, 1 + len(STEMS)), np.int64)
+        best, tops = np.full(FILTERS * len(WIDTHS), -np.inf, self.p["out"].dtype), np.zeros(FILTERS * len(WIDTHS), np.int64)
+        for block in chain(blocks, [None]):
+            words = carried if block is None else np.concatenate([carried, block])
+            value, _, responses = self.pooled(words, np.array([len(words)]), block is not None)
+            better = value[0] > best
+            best = np.where(better, value[0], best)
+            tops = np.where(better, offset + np.concatenate([y.argmax(0) for y in responses]), tops)
+            carried = words[max(0, len(words) - keep) :]
+            offset += len(words) - len(carried)
+        return best, tops
+
+    def peaks(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for several texts' word buckets, BLOCK_WORDS words or so at a time."""
+        best, tops = [], []
+        for lo, hi in slices([len(t) for t in texts], BLOCK_WORDS):
+            if len(texts[lo]) > BLOCK_WORDS:
+                value, top = self.across(texts[lo][k : k + BLOCK_WORDS] for k in range(0, len(texts[lo]), BLOCK_WORDS))
+                value, top = value[None], top[None]
+            else:
+                value, first, responses = self.pooled(*together(texts[lo:hi]))
+                ends = np.append(first[1:], len(responses[0]))
+                top = np.array([np.concatenate([y[a:b].argmax(0) for y in responses]) for a, b in zip(first, ends)])
+            best.append(value)
+            tops.append(top)
+        return np.vstack(best), np.vstack(tops)
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled, 0) @ self.p["out"] + self.p["bias"]
@@ -186,26 +253,27 @@ class Network:
 
     def gradient(self, found: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         """By parameter: which rows, and their gradient.  Only the words under each filter's largest response have any."""
-        pooled, x, first, responses, at = self.pooled(found, sizes)
+        pooled, tops = self.peaks(np.split(found, np.cumsum(sizes)[:-1]))
         probability = 1 / (1 + np.exp(-np.clip(self.logits(pooled), -30, 30)))
         d = ((probability - y) * weight / len(y)).astype(np.float32)
         out = {"out": (slice(None), np.maximum(pooled, 0).T @ d), "bias": (slice(None), d.sum(keepdims=True))}
         up = d[:, None] * self.p["out"] * (pooled > 0)
-        dx = np.zeros_like(x)
-        last = np.append(first[1:], len(x))
+        start = (np.cumsum(sizes) - sizes)[:, None]
+        cells, moves = [], []
         for k, w in enumerate(WIDTHS):
-            u = up[:, k * FILTERS : (k + 1) * FILTERS]
-            top = np.stack([a + responses[k][a:b].argmax(0) for a, b in zip(first, last)])
+            u, top = (v[:, k * FILTERS : (k + 1) * FILTERS] for v in (up, tops))
             g = np.zeros_like(self.p[f"filter{w}"])
             for j in range(w):
-                where = np.minimum(top + j, len(x) - 1)
-                inside = (top + j < len(x))[..., None]
-                g[j] = np.einsum("dfe,df->ef", x[where] * inside, u)
-                np.add.at(dx, where.ravel(), (u[..., None] * self.p[f"filter{w}"][j].T * inside).reshape(-1, DIM))
+                inside = (u != 0) & (top + j < sizes[:, None])
+                filters, strength = np.nonzero(inside)[1], u[inside][:, None]
+                words = found[(start + top + j)[inside]]
+                np.add.at(g[j].T, filters, self.p["embed"][words].sum(1) * strength)
+                cells.append(words)
+                moves.append(strength * self.p[f"filter{w}"][j].T[filters])
             out[f"filter{w}"] = (slice(None), g)
             out[f"shift{w}"] = (slice(None), u.sum(0))
-        moved = np.flatnonzero(dx[at].any(1))
-        cells, moves = found[moved].ravel(), np.repeat(dx[at[moved]], found.shape[1], axis=0)
+        cells = np.concatenate(cells)
+        moves, cells = np.repeat(np.concatenate(moves), cells.shape[1], axis=0), cells.ravel()
         rows, inverse = np.unique(cells[self.learned[cells]], return_inverse=True)
         g = np.zeros((len(rows), DIM), np.float32)
         np.add.at(g, inverse, moves[self.learned[cells]])
@@ -214,11 +282,13 @@ class Network:
 
     def probabilities(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, and its language's number, -1 for want of trigrams."""
-        parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
         best = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
-        for lo, hi in slices([len(p) for _, p in parts], CHUNK):
-            found, sizes = buckets_by_text([p for _, p in parts[lo:hi]])
-            np.maximum.at(best, np.array([i for i, _ in parts[lo:hi]]), self.pooled(found, sizes)[0])
+        short = [i for i, t in enumerate(texts) if len(t) <= CHUNK]
+        for lo, hi in slices([len(texts[i]) for i in short], CHUNK):
+            best[short[lo:hi]] = self.pooled(*buckets_by_text([texts[i] for i in short[lo:hi]]))[0]
+        for i, text in enumerate(texts):
+            if len(text) > CHUNK:
+                best[i] = self.across(word_blocks(text))[0]
         language = np.concatenate([nearest_language(profiles(texts[lo:hi]), self.centres) for lo, hi in slices([1] * len(texts), 256)] or [np.zeros(0, int)])
         return 1 / (1 + np.exp(-np.clip(self.logits(best).astype(np.float64), -30, 30))), language
 
@@ -247,12 +317,12 @@ class Network:
         return np.where(p < t, 0.5 * p / t, 0.5 + 0.5 * (p - t) / (1 - t))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], fit_bytes: int, languages: int) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], languages: int) -> Network | float:
     """The trained network; the share of label 1 if only one label is known, 0.0 without any."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            words = [np.concatenate([buckets_by_text([p])[0] for p in fitted_parts(t, fit_bytes)]).astype("<u2").tobytes() for t in texts]
+            words = [np.concatenate([np.zeros((0, 1 + len(STEMS)), np.int64), *word_blocks(t)]).astype("<u2").tobytes() for t in texts]
             shapes = [r.astype("<f2").tobytes() for r in profiles(texts)] if texts else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(words, pa.binary()), pa.array(shapes, pa.binary())], ["doc_id", "y", "words", "profile"])
 
@@ -263,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], fit_byte
 
 def together(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The word buckets of several texts in one array, and words per text."""
-    return np.concatenate(texts).astype(np.int64), np.array([len(t) for t in texts])
+    return np.concatenate(texts), np.array([len(t) for t in texts])
 
 
 def train(words: list[bytes], shapes: np.ndarray, y: np.ndarray, languages: int) -> Network | float:
@@ -276,22 +346,22 @@ def train(words: list[bytes], shapes: np.ndarray, y: np.ndarray, languages: int)
     network, apart = Network(), np.arange(len(y)) % 5 == 0
     network.train([t for t, a in zip(texts, apart) if not a], y[~apart].astype(np.float32))
     network.centres = language_profiles(shapes, languages)
-    logits = [network.logits(network.pooled(*together([texts[i]]))[0])[0] for i in np.flatnonzero(apart)]
+    logits = [network.logits(network.peaks([texts[i]])[0])[0] for i in np.flatnonzero(apart)]
     network.calibrate(1 / (1 + np.exp(-np.clip(np.array(logits, np.float64), -30, 30))), nearest_language(shapes[apart], network.centres), y[apart])
     return network
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000), fit_bytes: int = 1 << 16, languages: int = 8) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2000), languages: int = 8) -> DataFrame:
     """One row per document: doc_id, held_out, score (higher: more toxic), predicted (1 if score >= 0.5).
 
     The network is fitted on at most per_class labelled documents of label 0 and of label 1, never on held-out
-    ones; of a labelled text over fit_bytes, pieces spread over it are fitted.  At most `languages` profiles
+    ones; their texts are fitted whole, six bytes a word on the driver.  At most `languages` profiles
     are learned.  Scores read the text alone, whole.  Null texts are scored as empty; a null
     doc_id stays null and isn't held out; repeated rows are scored alike.  Without labels of both kinds
     each score is the share of label 1, or 0.0 without any.  Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    model = fit(docs, labels, per_class, fit_bytes, languages)
+    model = fit(docs, labels, per_class, languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

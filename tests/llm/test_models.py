@@ -142,8 +142,50 @@ def test_languages_are_told_apart():
     assert len(t.language_profiles(np.zeros((4, t.PROFILE)), 3)) == 0 and (t.nearest_language(x, np.zeros((0, t.PROFILE))) == -1).all()
 
 
-def test_long_texts_are_fitted_by_pieces():
-    text = bytes(range(97, 123)) * 10000
-    parts = t.fitted_parts(text, 1 << 16)
-    assert sum(map(len, parts)) == 1 << 16 and parts[0] == text[:4096] and parts[-1] == text[-4096:]
-    assert t.fitted_parts(b"abc", 1 << 16) == [b"abc"]
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1000])
+def test_no_word_is_torn(texts, chunk, monkeypatch):
+    """Texts in blocks give the words of the whole text, words longer than several blocks too."""
+    long = [b" ".join(texts), b"a" * 500, b"!" * 200, b"x " + b"Wort" * 100 + b"! y", b"" , "éß ".encode() * 90, b"ab" * 60 + b" "]
+    whole = [t.word_buckets(np.frombuffer(text.lower(), np.uint8))[0] for text in long]
+    monkeypatch.setattr(t, "CHUNK", chunk)
+    for text, expected in zip(long, whole):
+        got = np.concatenate([np.zeros((0, 1 + len(t.STEMS)), np.int64), *t.word_blocks(text)])
+        # a stem of a word cut below its stems' length needs blocks of at least those
+        assert got.shape == expected.shape and (got[:, 0] == expected[:, 0]).all() and (chunk < max(t.STEMS) or (got == expected).all())
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 10, 1000])
+def test_pooling_in_blocks_is_pooling_the_whole(texts, words, monkeypatch):
+    network = t.Network()
+    found, sizes = t.buckets_by_text(texts)
+    value, first, responses = network.pooled(found, sizes)
+    ends = np.append(first[1:], len(responses[0]))
+    tops = [np.concatenate([y[a:b].argmax(0) for y in responses]) for a, b in zip(first, ends)]
+    monkeypatch.setattr(t, "BLOCK_WORDS", words)
+    got, at = network.peaks(np.split(found, np.cumsum(sizes)[:-1]))
+    assert np.allclose(got, value, atol=1e-6)
+    # equal responses of repeated words are told apart by rounding only
+    picked = np.array([[responses[c // t.FILTERS][first[i] + at[i, c], c % t.FILTERS] for c in range(at.shape[1])] for i in range(len(at))])
+    best = np.array([[responses[c // t.FILTERS][first[i] + tops[i][c], c % t.FILTERS] for c in range(at.shape[1])] for i in range(len(at))])
+    assert np.allclose(picked, best, atol=1e-6)
+
+
+def test_long_labelled_texts_are_fitted_whole(spark, monkeypatch):
+    long = "alpha beta " * 100_000 + "omega"
+    docs = spark.createDataFrame([(k, long if k == 1 else f"gamma {k}") for k in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 9)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(t, "train", lambda words, shapes, y, languages: seen.append(words))
+    t.fit(docs, labels, (10, 10), 8)
+    assert (np.frombuffer(seen[0][0], "<u2").reshape(-1, 3) == t.word_buckets(np.frombuffer(long.encode(), np.uint8))[0]).all()
+
+
+def test_one_word_of_a_very_long_text_tells(spark):
+    """A toxic word at the far end of a text of a megabyte, labelled or not, is found."""
+    rng = np.random.default_rng(8)
+    mild = lambda n: " ".join(rng.choice(WORDS, n))
+    rows = [(k, f"{mild(150_000 if k % 60 == 0 else 30)} {'vile' if k % 2 else 'kind'} {mild(3)}", k % 2) for k in range(400)]
+    rows += [(1000, f"{mild(150_000)} vile", 1), (1001, f"{mild(150_000)} kind", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.predicted for r in t.score_toxicity(docs.drop("toxic"), docs.where("doc_id < 1000").select("doc_id", "toxic")).collect()}
+    assert got[1000] == 1 and got[1001] == 0 and sum(got[k] != y for k, _, y in rows) <= 4
