@@ -11,6 +11,10 @@ from binloom.functions.stats import log2_ratio, signed_srd
 from .segments import PLACE
 
 
+#: Draws of one task.
+DRAWS = 1 << 19
+
+
 def hashed_number(*parts: Column) -> Column:
     """A reproducible number from 0 to 2**32 - 1 of text parts, the same in any engine that has md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
@@ -21,6 +25,8 @@ def bootstrap_weights(membership: DataFrame, replicates: int, seed: int = 42) ->
 
     Each (source, rep) has one draw per member; a draw is an ordinal, joined to the member that has it.
     Ordinals are counted within hashed parts of a source, then offset, so no source is sorted as a whole.
+    Members are few and their draws many, which Spark can't tell from the members' size: they are dealt to
+    tasks of DRAWS draws before they are drawn, and the join says which side is built, never broadcast.
     """
     part = hashed_number(F.col("cell").cast("string")) % 64
     counted = membership.withColumn("part", part)
@@ -29,10 +35,11 @@ def bootstrap_weights(membership: DataFrame, replicates: int, seed: int = 42) ->
     sizes = sizes.select("source", "part", (F.sum("k").over(ends) - F.col("k")).alias("offset"), F.sum("k").over(W.partitionBy("source")).alias("n"))
     members = counted.join(sizes, ["source", "part"]).withColumn("ordinal", F.col("offset") + F.row_number().over(W.partitionBy("source", "part").orderBy("cell")) - 1)
     rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
-    drawn = members.select("source", "n", "ordinal", rep)
-    drawn = drawn.withColumn("drawn", F.pmod(hashed_number(F.lit(str(seed)), F.col("source"), F.col("rep").cast("string"), F.col("ordinal").cast("string")), F.col("n")))
-    weights = drawn.groupBy("source", "rep", F.col("drawn").alias("ordinal")).agg(F.count("*").alias("w"))
-    return weights.join(members.select("source", "ordinal", "cell"), ["source", "ordinal"]).select("source", "rep", "cell", "w")
+    tasks = max(1, -(-membership.count() * replicates // DRAWS))
+    drawn = members.select("source", "n", "ordinal").repartition(tasks, "source", "ordinal").select("source", "n", "ordinal", rep)
+    number = F.pmod(hashed_number(F.lit(str(seed)), F.col("source"), F.col("rep").cast("string"), F.col("ordinal").cast("string")), F.col("n"))
+    weights = drawn.select("source", "rep", number.alias("ordinal")).repartition(tasks, "source", "ordinal").groupBy("source", "rep", "ordinal").agg(F.count("*").alias("w"))
+    return weights.join(members.select("source", "ordinal", "cell").hint("shuffle_hash"), ["source", "ordinal"]).select("source", "rep", "cell", "w")
 
 
 def bootstrap_ratio(levels: DataFrame, weights: DataFrame, a: str, b: str) -> DataFrame:
