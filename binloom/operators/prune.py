@@ -60,7 +60,8 @@ def replicate_profiles(signal: DataFrame, weights: DataFrame, replicates: int) -
                     tile = np.zeros((min(width, len(bins) - lo), replicates))
                     for step in range(part.start, part.stop, width):
                         some = slice(step, min(step + width, part.stop))
-                        np.add.at(tile, at[some] - lo, x[some, None] * counts[cell[some]])
+                        first = np.flatnonzero(np.diff(at[some], prepend=-1))
+                        tile[at[some][first] - lo] += np.add.reduceat(x[some, None] * counts[cell[some]], first, axis=0)
                     boot = pa.ListArray.from_arrays(np.arange(len(tile) + 1, dtype=np.int32) * replicates, tile.ravel())
                     yield pa.RecordBatch.from_arrays([pa.array([source] * len(tile)), pa.array(bins[lo : lo + width]), boot], ["source", "g", "boot"])
 
