@@ -66,9 +66,12 @@ def s12(g: Genome) -> DataFrame:
     return tables.sum_by_source(g.spark, path, members)
 
 
-query("l2_input_problems", "name problem n:i", "SELECT 'HA' AS name, 'barcodes_missing' AS problem, count(*) AS n FROM nation WHERE n_nationkey % 10 = 3 HAVING count(*) > 0")(
-    lambda g: tables.input_problems(_wide(g).drop("n3", "n13", "n23"), g.bins.withColumn("chr", F.col("chrom").cast("string")), g.read("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("cell")), "HA")
-)
+@query("l2_input_problems", "name problem n:i", "SELECT 'HA' AS name, 'barcodes_missing' AS problem, count(*) AS n FROM cells WHERE cell % 10 = 3 HAVING count(*) > 0")
+def l2(g: Genome) -> DataFrame:
+    """What the matrix of all cells lacks without every tenth; its barcodes are rows, as no plan has a column a cell."""
+    rows = g.signal.join(g.bins.select("g", "start", "end"), "g").withColumn("chr", F.col("chrom").cast("string"))
+    own = rows.where("cell % 10 <> 3").select("cell").distinct()
+    return tables.axis_problems(rows.select("chr", "start", "end").distinct(), own, g.bins.withColumn("chr", F.col("chrom").cast("string")), g.membership.where("source = 'all'").select("cell"), "HA")
 
 
 def _matrix(g: Genome, rows: DataFrame, kind: str) -> DataFrame:

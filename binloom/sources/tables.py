@@ -86,8 +86,13 @@ def sum_by_source(spark: SparkSession, path: str, members: DataFrame, columns: i
 
 def input_problems(wide: DataFrame, bins: DataFrame, cells: DataFrame, name: str) -> DataFrame:
     """name, problem, n: bins (chr, start, end) and barcodes (cell) that a wide matrix lacks or has beyond the given ones; no rows, no problem."""
-    have, want = wide.select(*COORDINATES), bins.select(*COORDINATES)
     own = wide.sparkSession.createDataFrame([(c,) for c in wide_columns(wide)], "cell string")
+    return axis_problems(wide, own, bins, cells, name)
+
+
+def axis_problems(rows: DataFrame, own: DataFrame, bins: DataFrame, cells: DataFrame, name: str) -> DataFrame:
+    """input_problems of a matrix with any number of cells, given as its bins, a row each, and the table of its barcodes."""
+    have, want = rows.select(*COORDINATES), bins.select(*COORDINATES)
     sides = {"bins_missing": want.exceptAll(have), "bins_extra": have.exceptAll(want), "barcodes_missing": cells.select("cell").subtract(own), "barcodes_extra": own.subtract(cells.select("cell"))}
     rows = None
     for problem, side in sides.items():
