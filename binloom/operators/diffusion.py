@@ -20,15 +20,36 @@ from binloom.functions.shared import written
 APART, SLOW = "the graph isn't connected", "the component didn't converge"
 
 
-def normalised(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(source, target, t): the transition matrix in its symmetric form, each weight first divided by both ends' sums; (node, q): its first eigenvector, not scaled.
-
-    edges: source, target, weight; both directions of a pair are averaged, a missing one counts 0, and
-    weights that aren't positive numbers are no edges.
-    """
+def averaged(edges: DataFrame) -> DataFrame:
+    """source, target, w of edges (source, target, weight): both directions of a pair are averaged, a missing one counts 0, and weights that aren't positive numbers are no edges."""
     sound = edges.where("weight > 0 AND weight < double('infinity') AND source IS NOT NULL AND target IS NOT NULL")
     both = sound.select("source", "target", "weight").union(sound.select("target", "source", "weight"))
-    both = written(both.groupBy("source", "target").agg((F.sum("weight") / 2).alias("w")))
+    return written(both.groupBy("source", "target").agg((F.sum("weight") / 2).alias("w")))
+
+
+def is_apart(both: DataFrame) -> bool:
+    """Whether the graph of edges (source, target), each in both directions, has several parts.
+
+    Parts take the least label next to them, all at once, so each pass over the edges leaves half as many or
+    fewer; labels, a row a node, are then followed to their ends.
+    """
+    labels = written(both.select(F.col("source").alias("node")).distinct().withColumn("label", F.col("node")))
+    while labels.select("label").distinct().limit(2).count() == 2:
+        beside = both.join(labels.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node")).agg(F.min("label").alias("beside"))
+        to = written(labels.join(beside, "node").groupBy("label").agg(F.min("beside").alias("to")).select("label", F.least("label", "to").alias("to")))
+        if to.where("to < label").isEmpty():
+            return True
+        while True:
+            ahead = written(to.join(to.select(F.col("label").alias("to"), F.col("to").alias("next")), "to").select("label", "to", "next"))
+            to = ahead.select("label", F.col("next").alias("to"))
+            if ahead.where("next < to").isEmpty():
+                break
+        labels = written(labels.join(to, "label").select("node", F.col("to").alias("label")))
+    return False
+
+
+def normalised(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, target, t): the transition matrix of averaged edges in its symmetric form, each weight first divided by both ends' sums; (node, q): its first eigenvector, not scaled."""
 
     def sums(rows: DataFrame) -> DataFrame:
         return written(rows.groupBy("source").agg(F.sum("w").alias("s")))
@@ -96,9 +117,12 @@ def diffusion_component(edges: DataFrame, tolerance: float = 1e-7, rounds: int =
     """node, value, note: the component's value at each node that has an edge; NULL and a note where there is none.
 
     The vector has length 1, and its value of the largest size (ties: the least node) is positive.  A graph
-    of several parts has no such component, nor one of fewer than two nodes.
+    of several parts, told before anything is multiplied, has no such component, nor one of fewer than two nodes.
     """
-    matrix, first = normalised(edges)
+    both = averaged(edges)
+    if is_apart(both):
+        return both.select(F.col("source").alias("node")).distinct().select("node", F.lit(None).cast("double").alias("value"), F.lit(APART).alias("note"))
+    matrix, first = normalised(both)
     total = first.agg(F.sum(F.col("q") * F.col("q"))).first()[0]
     if total is None:
         return first.select("node", F.lit(None).cast("double").alias("value"), F.lit(APART).alias("note"))
