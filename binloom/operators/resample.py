@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +17,8 @@ from .segments import PLACE
 
 #: Draws of one task.
 DRAWS = 1 << 19
+#: Numbers of a tile of cells by segments or replicates.
+TILE = 1 << 20
 
 
 def hashed_number(*parts: Column) -> Column:
@@ -89,12 +95,56 @@ def region_draws(rows: DataFrame, donors: DataFrame, lo: int, hi: int, seed: int
     return rows.join(n, PLACE, "left").withColumn("drawn", drawn).join(picked, [*PLACE, "drawn"], "left").withColumn("edited", F.coalesce("donor", "x")).drop("n", "drawn", "donor")
 
 
-def flank_replicates(cell_segments: DataFrame, weights: DataFrame) -> DataFrame:
+def replicate_sums(cell_segments: DataFrame, weights: DataFrame, replicates: int, first: int = 1) -> DataFrame:
+    """source, rep, chrom, seg, y: the sum of x times w over the cells that a replicate drew and that have the segment; no row without such a cell.
+
+    cell_segments: source, cell, chrom, seg, x, where NULL adds nothing; weights: source, rep, cell, w with rep from first to replicates.
+    A cell is a row of its segments and one of its draws, never a row for each replicate and segment: tasks multiply
+    cells by segments with cells by replicates, a tile of cells at a time, and hand on one array for each segment.
+    """
+    at = F.shiftleft(F.col("chrom").cast("long"), 32) + F.col("seg")  # both in one number
+    vectors = cell_segments.withColumn("at", at).groupBy("source", "cell").agg(F.collect_list("at").alias("at"), F.collect_list(F.coalesce(F.col("x").cast("double"), F.lit(0.0))).alias("x"))
+    drawn = weights.groupBy("source", "cell").agg(F.collect_list("rep").alias("rep"), F.collect_list("w").alias("w"))
+    width = replicates + 1 - first
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = np.array(b.column("source").to_pylist())
+            for source in np.unique(names):
+                rows = b.filter(pa.array(names == source))
+                columns, where = np.unique(rows.column("at").flatten().to_numpy(), return_inverse=True)
+                x, rep, w = (rows.column(c).flatten().to_numpy() for c in ("x", "rep", "w"))
+                ends = {c: np.append(0, np.cumsum(rows.column(c).value_lengths().to_numpy())) for c in ("at", "rep")}
+                y, n = np.zeros((len(columns), width)), np.zeros((len(columns), width))
+                step = max(1, TILE // max(width, len(columns)))
+                for lo in range(0, rows.num_rows, step):
+                    hi = min(lo + step, rows.num_rows)
+                    own, draws = (slice(ends[c][lo], ends[c][hi]) for c in ("at", "rep"))
+                    cell = {c: np.repeat(np.arange(hi - lo), np.diff(ends[c][lo : hi + 1])) for c in ("at", "rep")}
+                    values, has, counts = np.zeros((hi - lo, len(columns))), np.zeros((hi - lo, len(columns))), np.zeros((hi - lo, width))
+                    np.add.at(values, (cell["at"], where[own]), x[own])
+                    has[cell["at"], where[own]] = 1
+                    counts[cell["rep"], rep[draws] - first] = w[draws]
+                    odd = ~np.isfinite(values)
+                    for k in np.flatnonzero(odd.any(axis=1)):  # 0 times such a number isn't 0
+                        y[odd[k]] += np.where(counts[k] > 0, values[k, odd[k], None] * counts[k], 0)
+                    y += np.where(odd, 0, values).T @ counts
+                    n += has.T @ (counts > 0).astype(float)
+                lists = [pa.ListArray.from_arrays(np.arange(len(columns) + 1, dtype=np.int32) * width, v.ravel()) for v in (y, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(columns)), pa.array(columns), *lists], ["source", "at", "y", "n"])
+
+    sums = vectors.join(drawn, ["source", "cell"]).mapInArrow(multiplied, "source string, at long, y array<double>, n array<double>")
+    each = sums.select("source", "at", F.posexplode(F.arrays_zip("y", "n")).alias("k", "e")).groupBy("source", "at", "k").agg(F.sum("e.y").alias("y"), F.sum("e.n").alias("n"))
+    place = [F.shiftright("at", 32).cast("int").alias("chrom"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("seg")]
+    return each.where("n > 0").select("source", (F.col("k") + first).alias("rep"), *place, "y")
+
+
+def flank_replicates(cell_segments: DataFrame, weights: DataFrame, replicates: int) -> DataFrame:
     """source, rep, chrom, seg, delta_left, delta_right of resampled segment means.
 
     cell_segments: source, cell, chrom, seg, mean.  The weighted sums of a replicate replace copies of its cells.
     """
-    rows = cell_segments.join(weights, ["source", "cell"]).groupBy("source", "rep", "chrom", "seg").agg((F.sum(F.col("mean") * F.col("w"))).alias("m"))
+    rows = replicate_sums(cell_segments.withColumnRenamed("mean", "x"), weights, replicates).withColumnRenamed("y", "m")
     order = W.partitionBy("source", "rep", "chrom").orderBy("seg")
     deltas = {f"delta_{side}": log2_ratio(F.col("m"), f("m").over(order)) for side, f in (("left", F.lag), ("right", F.lead))}
     return rows.withColumns(deltas).drop("m")
@@ -118,7 +168,7 @@ def side_replicates(cell_sums: DataFrame, segments: DataFrame, membership: DataF
     every segment, so one without signal stays the neighbour that it is.  All is drawn as a source of its own.
     """
     draws = weights.select("source", "cell", "rep", "w").union(membership.select("source", "cell", F.lit(0).alias("rep"), F.lit(1).cast("long").alias("w")))
-    sums = cell_sums.join(draws, ["source", "cell"]).groupBy("source", "rep", "chrom", "seg").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
+    sums = replicate_sums(cell_sums, draws, replicates, first=0)
     grid = segments.join(membership.groupBy("source").agg(F.count("*").alias("n_cells")), "source").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     rows = grid.join(sums, ["source", "rep", "chrom", "seg"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)) / F.col("n_cells"))
     order = W.partitionBy("source", "rep", "chrom").orderBy("seg")

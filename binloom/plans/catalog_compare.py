@@ -167,12 +167,24 @@ query("c6_cluster_rows", "source chrom:i bin_start:i bin_end:i n_bins:i state:r"
 
 # resampled flanks and edits
 
+#: Numbers of the signal in one task.
+ENTRIES = 1 << 20
+
+
+def _cell_sums(g: Genome) -> DataFrame:
+    """source, chrom, seg, cell, x: cells are dealt to tasks of ENTRIES numbers, which add up theirs and keep them."""
+    tasks = max(1, -(-g.signal.count() // ENTRIES))
+    dealt = g.with_sources(g.signal.select("cell", "g", "x").repartition(tasks, "cell"))
+    return dealt.join(labelled(g).select("source", "g", "chrom", "seg"), ["source", "g"]).groupBy(*PLACE, "seg", "cell").agg(F.sum("x").alias("x"))
+
+
+def _sizes(g: Genome) -> DataFrame:
+    return labelled(g).groupBy(*PLACE, "seg").agg(F.count("*").alias("n"))
+
 
 def _replicates(g: Genome, replicates: int = 20) -> DataFrame:
-    sizes = labelled(g).groupBy(*PLACE, "seg").agg(F.count("*").alias("n"))
-    labels = labelled(g).select("source", "g", "seg")
-    sums = g.with_sources(g.signal).join(labels, ["source", "g"]).groupBy(*PLACE, "seg", "cell").agg(F.sum("x").alias("x"))
-    return resample.flank_replicates(sums.join(sizes, [*PLACE, "seg"]).withColumn("mean", F.col("x") / F.col("n")), resample.bootstrap_weights(g.membership, replicates))
+    means = _cell_sums(g).join(_sizes(g), [*PLACE, "seg"]).select(*PLACE, "seg", "cell", (F.col("x") / F.col("n")).alias("mean"))
+    return resample.flank_replicates(means, resample.bootstrap_weights(g.membership, replicates), replicates)
 
 
 _DELTAS = """, means AS (SELECT m.source, s.cell, l.chrom, l.seg, sum(s.x) / any_value(st.n) AS mean FROM signal AS s JOIN membership AS m USING (cell) JOIN lab AS l ON l.source = m.source AND l.g = s.g JOIN st ON st.source = l.source AND st.chrom = l.chrom AND st.seg = l.seg GROUP BY ALL),
@@ -186,9 +198,7 @@ query("b8_flank_uncertainty", _UNCERTAIN, _FLANKS + _UNCERTAINTY)(lambda g: resa
 
 
 def _side_summary(g: Genome) -> DataFrame:
-    sizes = labelled(g).groupBy(*PLACE, "seg").agg(F.count("*").alias("n"))
-    sums = g.with_sources(g.signal).join(labelled(g).select("source", "g", "seg"), ["source", "g"]).groupBy(*PLACE, "seg", "cell").agg(F.sum("x").alias("x"))
-    return resample.side_summary(resample.side_replicates(sums, sizes, g.membership, resample.bootstrap_weights(g.membership, REPLICATES), REPLICATES))
+    return resample.side_summary(resample.side_replicates(_cell_sums(g), _sizes(g), g.membership, resample.bootstrap_weights(g.membership, REPLICATES), REPLICATES))
 
 
 _ROOT = "sqrt(greatest(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * (y + ry) / (n + rn))) ELSE 0 END) + (CASE WHEN ry > 0 THEN ry * ln(ry / (rn * (y + ry) / (n + rn))) ELSE 0 END)), 0::DOUBLE))"
