@@ -112,16 +112,30 @@ def _written_signal(g: Genome) -> str:
 _SHARED = "SELECT a.l_suppkey AS source, b.l_suppkey AS target, count(*) AS weight FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL"
 
 
+#: Lines of one task; an order has four on average, so four times as many pairs.
+LINES = 1 << 18
+
+
+def _tasks(g: Genome) -> int:
+    return max(1, -(-g.read("lineitem").count() // LINES))
+
+
 def shared_orders(g: Genome) -> DataFrame:
-    """source, target, weight of a graph of suppliers: how often two of them have lines of one order, which has few lines."""
-    lines = g.read("lineitem").select("l_orderkey", "l_suppkey")
-    other = lines.select("l_orderkey", F.col("l_suppkey").alias("target"))
-    return lines.withColumnRenamed("l_suppkey", "source").join(other, "l_orderkey").where("source <> target").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
+    """source, target, weight of a graph of suppliers: how often two of them have lines of one order, which has few lines.
 
+    Lines and pairs are dealt to tasks by their number; the join says how it is made, as pruned lines look small enough to be broadcast.
+    """
+    lines = g.read("lineitem").select("l_orderkey", "l_suppkey").repartition(_tasks(g), "l_orderkey")
+    other = lines.select("l_orderkey", F.col("l_suppkey").alias("target")).hint("merge")
+    pairs = lines.withColumnRenamed("l_suppkey", "source").join(other, "l_orderkey").where("source <> target").select("source", "target")
+    return pairs.repartition(_tasks(g), "source", "target").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
 
-query("s9_graph_edges", "source:i target:i weight:r", _SHARED)(
-    lambda g: matrix.entries(_matrix(g, matrix.sparse_rows(shared_orders(g), "source", "target", "weight"), "sparse")).toDF("source", "target", "weight")
-)
+
+def _graph_rows(g: Genome) -> DataFrame:
+    return matrix.sparse_rows(shared_orders(g).repartition(_tasks(g), "source"), "source", "target", "weight")
+
+
+query("s9_graph_edges", "source:i target:i weight:r", _SHARED)(lambda g: matrix.entries(_matrix(g, _graph_rows(g), "sparse")).toDF("source", "target", "weight"))
 
 
 query("x7_diffusion_component", "node:i value:r note")(lambda g: diffusion.diffusion_component(shared_orders(g)))
