@@ -120,14 +120,16 @@ def _tasks(g: Genome) -> int:
     return max(1, -(-g.read("lineitem").count() // LINES))
 
 
-def shared_orders(g: Genome) -> DataFrame:
-    """source, target, weight of a graph of suppliers: how often two of them have lines of one order, which has few lines.
-
-    Lines and pairs are dealt to tasks by their number; the join says how it is made, as pruned lines look small enough to be broadcast.
-    """
+def _order_pairs(g: Genome) -> DataFrame:
+    """source, target for any two lines of one order, which has few lines; lines are dealt to tasks by their number, and the join says how it is made, as pruned lines look small enough to be broadcast."""
     lines = g.read("lineitem").select("l_orderkey", "l_suppkey").repartition(_tasks(g), "l_orderkey")
     other = lines.select("l_orderkey", F.col("l_suppkey").alias("target")).hint("merge")
-    pairs = lines.withColumnRenamed("l_suppkey", "source").join(other, "l_orderkey").where("source <> target").select("source", "target")
+    return lines.withColumnRenamed("l_suppkey", "source").join(other, "l_orderkey").select("source", "target")
+
+
+def shared_orders(g: Genome) -> DataFrame:
+    """source, target, weight of a graph of suppliers: how often two of them have lines of one order. Pairs are dealt to tasks by their number."""
+    pairs = _order_pairs(g).where("source <> target")
     return pairs.repartition(_tasks(g), "source", "target").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -138,7 +140,10 @@ def _graph_rows(g: Genome) -> DataFrame:
 query("s9_graph_edges", "source:i target:i weight:r", _SHARED)(lambda g: matrix.entries(_matrix(g, _graph_rows(g), "sparse")).toDF("source", "target", "weight"))
 
 
-query("x7_diffusion_component", "node:i value:r note")(lambda g: diffusion.diffusion_component(shared_orders(g)))
+@query("x7_diffusion_component", "node:i value:r note")
+def x7(g: Genome) -> DataFrame:
+    """The component of shared_orders' graph: its edges weigh the same both ways, so each pair of lines comes one way and counts for two."""
+    return diffusion.diffusion_component(_order_pairs(g).where("source < target").withColumn("weight", F.lit(2.0)), tasks=_tasks(g))
 
 
 @query("s13_packed_codes", "source n:i digest", "SELECT source, count(*) AS n, md5(string_agg(code, '' ORDER BY g)) AS digest FROM (SELECT lab.source, lab.g, printf('%02X', coalesce(round_even(state * 2, 0), 255)::INT) AS code FROM lab JOIN states USING (source, chrom, seg)) GROUP BY source")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from binloom.operators import diffusion
 from binloom.operators.diffusion import APART, SLOW, diffusion_component
 
 EDGES = "source long, target long, weight double"
@@ -42,3 +43,16 @@ def test_no_component(spark):
     assert diffusion_component(spark.createDataFrame([(0, 1, -1.0), (0, 2, None), (0, 3, float("nan")), (0, 4, float("inf"))], EDGES)).count() == 0
     ring = [(i, (i + 1) % 30, 1.0 + i % 3) for i in range(30)]
     assert {r.note for r in diffusion_component(spark.createDataFrame(ring, EDGES), rounds=1).collect()} == {SLOW}
+
+
+def test_many_nodes_in_few_products(spark, monkeypatch):
+    """Values that lie close together, in tiles of several parts."""
+    monkeypatch.setattr(diffusion, "ENTRIES", 1 << 8)
+    rng = np.random.default_rng(6)
+    n = 700
+    edges = [(i, (i + 1) % n, 1.0) for i in range(n)] + [(int(a), int(b), float(x)) for a, b, x in zip(rng.integers(0, n, 6 * n), rng.integers(0, n, 6 * n), rng.random(6 * n))]
+    rows = diffusion_component(spark.createDataFrame(edges, EDGES), rounds=14).collect()
+    nodes, want = dense(edges)
+    got = {r.node: r.value for r in rows}
+    assert {r.note for r in rows} == {None} and len(rows) == n
+    assert np.allclose([got[k] for k in nodes], want, atol=1e-5)

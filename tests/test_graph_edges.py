@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from binloom.operators import diffusion
 from binloom.plans import catalog_tables
 from binloom.sources.genome import Genome
 
@@ -23,3 +24,14 @@ def test_pairs_are_dealt(spark, monkeypatch):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     for keys in ("l_orderkey", "source", "source, target"):
         assert any("hashpartitioning(" in x and "13), REPARTITION_BY_NUM" in x and all(k in x for k in keys.split(", ")) for x in plan.splitlines()), keys
+
+
+def test_a_pair_of_lines_comes_one_way(spark, monkeypatch):
+    g = Genome(spark, SF)
+    seen = {}
+    monkeypatch.setattr(diffusion, "diffusion_component", lambda edges, tasks: seen.update(edges=edges, tasks=tasks) or edges)
+    catalog_tables.x7(g)
+    once = {(r.source, r.target): r.w for r in diffusion.averaged(seen["edges"], 3).collect()}
+    assert once == {(r.source, r.target): r.weight for r in catalog_tables.shared_orders(g).collect()} and len(once) == 90
+    assert once == {(r.source, r.target): r.w for r in diffusion.averaged(catalog_tables.shared_orders(g)).collect()}
+    assert seen["edges"].where("source >= target").isEmpty() and seen["tasks"] == 1
